@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from treeloom.llm import bpe, jaccard, mixing, quality, toxicity
 from treeloom.llm.common import fresh_path
+from treeloom.session import ship
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/labels.parquet")
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,6 +26,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
+    ship(spark)
     return jaccard.keep_first(docs)
 
 
@@ -35,9 +37,9 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and its text as decoded from them."""
-    vocabulary = public_tokenizers.path("word_bpe_49k.json")
-    digests = bpe.digests(docs, vocabulary)
-    return digests
+    ship(spark)
+    encoded = bpe.encode(docs.select("doc_id", "text", "lang", "source"), public_tokenizers.path("word_bpe_49k.json"))
+    return bpe.decode(encoded, public_tokenizers.path("word_bpe_49k.json")).select("doc_id", "lang", "source", "token_ids", "decoded")
 
 
 STAGES = [("quality", good), ("toxicity", clean), ("near duplicates", distinct), ("mixture", mixed), ("tokens", tokenized)]

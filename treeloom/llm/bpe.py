@@ -28,8 +28,8 @@ _ODD_SPACE = regex.compile("[\x1c-\x1f]")
 #: Marks the end of a word inside the trie; no byte symbol uses it.
 _END = "\x00"
 
-#: Entries of the per-worker memo of chunks; it is emptied when full.
-MEMO_ENTRIES = 400_000
+#: Entries of each of a worker's memos (chunks, words, pairs); a memo is emptied when full.
+MEMO_ENTRIES = 60_000
 
 
 def byte_symbols() -> list[str]:
@@ -98,6 +98,8 @@ class Vocabulary:
         key = (left, right)
         known = self.compatible.get(key)
         if known is None:
+            if len(self.compatible) >= 4 * MEMO_ENTRIES:
+                self.compatible.clear()
             known = self.compatible[key] = self._fits(left, right)
         return known
 

@@ -32,7 +32,7 @@ WORDS, PERCENT = 5, 80
 #: Each band of sizes reaches to this many times its least size.
 RATIO = 1.6
 #: Sketches that a task holds before it passes them on; words in the memo of hashes.
-FLUSH, MEMO = 3_000_000, 500_000
+FLUSH, MEMO = 1_000_000, 150_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -179,7 +179,7 @@ def _dealt(docs: DataFrame, key: str, text: str, words: int, percent: int, bucke
                 if size >= FLUSH:
                     yield from flush()
                     size = 0
-                if len(seen) > 1_000_000:
+                if len(seen) > 200_000:
                     seen.clear()
         yield from flush()
 

@@ -85,22 +85,23 @@ def count_grams(docs: DataFrame, text: str = "text") -> DataFrame:
     """(gram, n): how often each n-gram of the highest order occurs in all texts; counted in each task before the shuffle."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SIZE**ORDER, np.int64)
+        total = np.zeros(SIZE**ORDER, np.uint32)
         for batch in source:
             for texts in _portions(batch.column(0).to_pylist()):
                 codes, starts = classes(texts)
                 keys = grams(codes)
                 inside = codes[ORDER - 1 :] != BORDER
-                total += np.bincount(keys[inside], minlength=len(total))
+                found, n = np.unique(keys[inside], return_counts=True)
+                total[found] += n.astype(np.uint32)
         found = np.flatnonzero(total)
         for k in range(0, len(found), 100_000):
             part = found[k : k + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int64)), pa.array(total[part])], names=["gram", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int64)), pa.array(total[part].astype(np.int64))], names=["gram", "n"])
 
     return docs.where(F.col(text).isNotNull()).select(text).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def _portions(texts: list[str | None], most: int = 4_000_000) -> Iterator[list[str]]:
+def _portions(texts: list[str | None], most: int = 500_000) -> Iterator[list[str]]:
     """Lists of texts of about that many characters; one text may be longer. Character 0 is the border's own and becomes a space."""
     held, size = [], 0
     for t in texts:

@@ -38,7 +38,7 @@ CANDIDATES = 50_000
 #: Log-odds are held in these bounds, so that no single word outweighs all else.
 HIGHEST = 8.0
 #: Distinct words that a task counts before it passes them on.
-FLUSH = 300_000
+FLUSH = 150_000
 
 
 @dataclass
