@@ -38,8 +38,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and its text as decoded from them."""
     ship(spark)
-    encoded = bpe.encode(docs.select("doc_id", "text", "lang", "source"), public_tokenizers.path("word_bpe_49k.json"))
-    return bpe.decode(encoded, public_tokenizers.path("word_bpe_49k.json")).select("doc_id", "lang", "source", "token_ids", "decoded")
+    encoded = bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), decoded="decoded")
+    return encoded.select("doc_id", "lang", "source", "token_ids", "decoded")
 
 
 STAGES = [("quality", good), ("toxicity", clean), ("near duplicates", distinct), ("mixture", mixed), ("tokens", tokenized)]

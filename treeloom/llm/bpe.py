@@ -15,9 +15,14 @@ import unicodedata
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from treeloom.llm.common import small_batches
 
 #: The characters that have Unicode's White_Space property.
 WHITE_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -233,28 +238,35 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
-    """docs with an array column of the token ids of each whole text.
+def encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "token_ids", decoded: str | None = None) -> DataFrame:
+    """docs with an array column of the token ids of each whole text, and with the text decoded from them where ``decoded`` names a column for it.
 
-    A null or empty text gives an empty array. A column called like ``ids`` is replaced; other columns pass unchanged.
+    A null or empty text gives an empty array. Columns called like a new one are replaced; other columns pass unchanged.
     vocabulary is the path of the tokenizers file on every executor (an installed package's file, for instance).
     """
-    from pyspark.sql import functions as F
-    from pyspark.sql import types as T
+    small_batches(docs.sparkSession)
+    new = {ids.lower(), (decoded or ids).lower()}
+    rest = [c for c in docs.columns if c.lower() not in new]
+    source = docs.select(*rest, F.col(text).alias("_text"))
+    schema = T.StructType([*docs.select(*rest).schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType())), *([T.StructField(decoded, T.StringType())] if decoded else [])])
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def run(texts):  # noqa: ANN001, ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(vocabulary)
-        return texts.map(lambda t: own.ids(t or ""))
+        for batch in batches:
+            values, edges, tokens = [], [0], []
+            for value in batch.column(len(rest)).to_pylist():
+                as_text, back, n = own.text(value) if value else ("", "", 0)
+                values.append(np.fromstring(as_text, np.int32, sep=" ") if n else np.zeros(0, np.int32))
+                edges.append(edges[-1] + n)
+                tokens.append(back)
+            lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(np.concatenate(values) if values else np.zeros(0, np.int32)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], lists, *([pa.array(tokens, pa.string())] if decoded else [])], names=schema.fieldNames())
 
-    return docs.withColumn(ids, run(F.col(text)))
+    return source.mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, vocabulary: str, ids: str = "token_ids", text: str = "decoded") -> DataFrame:
     """encoded with a text column decoded from the ids; null ids give an empty text."""
-    from pyspark.sql import functions as F
-    from pyspark.sql import types as T
-
     @F.pandas_udf(T.StringType())
     def run(column):  # noqa: ANN001, ANN202
         own = encoder(vocabulary).vocabulary
@@ -269,6 +281,7 @@ def digests(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "
     Null and empty texts have no tokens and the digests of the empty string. Repeated rows give repeated results.
     A text is worked on as a whole, whatever its length; memory is that of one Arrow batch and the memo.
     """
+    small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,6 +24,18 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Rows of an Arrow batch between the engine and Python: texts can be long.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Have Arrow batches hold BATCH_ROWS rows at most; a lower setting of the session stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+    return spark
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other call uses."""
     return f"{shared_folder(spark)}/treeloom/{name}-{uuid.uuid4().hex}"
@@ -69,6 +81,14 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+_ASCII_ALNUM = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))
+
+
+def lower_words(text: str | None) -> list[bytes]:
+    """The words of a text, lower-cased, in UTF-8: stretches of ASCII letters and digits and of all other characters beyond ASCII."""
+    return text.lower().encode("utf-8", "surrogatepass").translate(_ASCII_ALNUM).split() if text else []
+
+
 def free_name(taken: Iterable[str], wanted: str) -> str:
     """wanted, with underscores before it until no column of this name (in any case) is taken."""
     names = {c.lower() for c in taken}

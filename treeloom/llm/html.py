@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import batches, written
+from treeloom.llm.common import batches, small_batches, written
 
 #: Elements by how they are treated.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -342,6 +342,7 @@ def extract(pages: DataFrame) -> DataFrame:
     points. Pages with a null URL are a host of their own. Repeated rows give repeated results; other columns are not
     looked at.
     """
+    small_batches(pages.sparkSession)
     found = written(wrappers(pages), "wrappers")
 
     @F.pandas_udf("array<string>")

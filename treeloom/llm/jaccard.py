@@ -16,6 +16,7 @@ in full, so that components are exact without listing all pairs of a group of co
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,27 +26,48 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import partitions, written
+from treeloom.llm.common import partitions, small_batches, written
 
 WORDS, PERCENT = 5, 80
 
 #: Each band of sizes reaches to this many times its least size.
 RATIO = 1.6
-#: Sketches that a task holds before it passes them on; words in the memo of hashes.
-FLUSH, MEMO = 1_000_000, 150_000
+#: Sketches that a task holds before it passes them on.
+FLUSH = 1_000_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > MEMO:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+_bytes = np.random.default_rng(0x5E7).integers(1, 1 << 63, 256, dtype=np.int64).astype(np.uint64)
+_space = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-_hashes = _Hashes()
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2 ** 64, up to n at least; kept for texts of common lengths."""
+    if len(_powers[0]) >= n:
+        return _powers[0], _powers[1]
+    size = max(n, 1 << 17)
+    inverse = np.uint64(pow(int(_ODD), -1, 1 << 64))
+    tables = [np.cumprod(np.concatenate(([np.uint64(1)], np.full(size, base, np.uint64)))) for base in (_ODD, inverse)]
+    if size <= 1 << 22:
+        _powers[:] = tables
+    return tables[0], tables[1]
+
+
+def words_of(text: str) -> np.ndarray:
+    """A 64-bit hash of each word: A-Z lower-cased, words between ASCII white space. A polynomial over random values of
+    the bytes, read off from running sums, without a step for each word."""
+    raw = np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), np.uint8)
+    inside = ~_space[raw]
+    if not inside.any():
+        return np.zeros(0, np.uint64)
+    edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0, append=0))
+    begin, end = edge[::2], edge[1::2]
+    power, inverse = _power_tables(len(raw) + 1)
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_bytes[raw] * power[: len(raw)], out=sums[1:])
+    return _mixed((sums[end] - sums[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -58,11 +80,10 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     """The distinct hashes, in order, of all word shingles of a text; of the whole sequence if it has fewer words; none without words."""
-    found = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    n = len(found)
+    each = words_of(text) if text else np.zeros(0, np.uint64)
+    n = len(each)
     if not n:
-        return np.zeros(0, np.uint64)
-    each = np.fromiter(map(_hashes.__getitem__, found), np.uint64, n)
+        return each
     width = min(words, n)
     value = each[: n - width + 1].copy()
     for k in range(1, width):
@@ -99,12 +120,12 @@ def blocks(band: int, percent: int) -> tuple[int, int]:
 def sketches(found: np.ndarray, band: int, percent: int) -> np.ndarray:
     """The keys on which a set is joined in a band: hashes of (band, block, XOR of the block's shingles)."""
     m, spare = blocks(band, percent)
-    block = (found >> np.uint64(20)) % np.uint64(m)
+    block = ((found >> np.uint64(20)) % np.uint64(m)).astype(np.uint16 if m < 1 << 16 else np.uint64)  # short numbers are sorted by radix
     order = np.argsort(block, kind="stable")
     dealt = block[order]
     begin = np.flatnonzero(np.concatenate(([True], dealt[1:] != dealt[:-1])))
-    parity = np.bitwise_xor.reduceat(_mixed(found[order] + np.uint64(band)), begin)
-    at = dealt[begin]
+    parity = np.bitwise_xor.reduceat(found[order], begin)
+    at = dealt[begin].astype(np.uint64)
     keys = _mixed(parity ^ _mixed(at * np.uint64(4096) + np.uint64(band)))
     if m - len(begin) > spare:  # one of the few texts that need their empty blocks
         empty = np.setdiff1d(np.arange(m, dtype=np.uint64), at)
@@ -116,7 +137,7 @@ def keys_of(found: np.ndarray, percent: int) -> np.ndarray:
     """All join keys of a set: in its own band, and in the bands whose sets it may be the larger partner of."""
     n = len(found)
     edges = bands()
-    band = int(np.searchsorted(edges, n, side="right")) - 1
+    band = bisect_right(edges, n) - 1
     out = []
     while band >= 0 and 100 * (edges[band + 1] - 1) >= percent * n:
         if bound(band, percent) > 0:  # otherwise only equal sets are near enough, and those are classes already
@@ -157,7 +178,7 @@ def _dealt(docs: DataFrame, key: str, text: str, words: int, percent: int, bucke
             edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
             for k in range(0, len(edge) - 1, 512):
                 part = list(zip(edge[k : k + 512], edge[k + 1 : k + 513], strict=False))
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[[a for a, _ in part]]), pa.array([keys[a:b].tobytes() for a, b in part], pa.binary()), pa.array([ids[a:b].tobytes() for a, b in part], pa.binary())], names=["bucket", "keys", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[[a for a, _ in part]]), pa.array([keys[a:b].astype(np.uint32).tobytes() for a, b in part], pa.binary()), pa.array([ids[a:b].tobytes() for a, b in part], pa.binary())], names=["bucket", "keys", "ids"])
             held_keys.clear()
             held_ids.clear()
 
@@ -190,7 +211,8 @@ def _groups(source: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, n
     """(ids in order of key and id, begin of each group of two or more, their sizes) of one partition."""
     keys, ids = [], []
     for batch in source:
-        keys += [np.frombuffer(b, np.uint64) for b in batch.column(1).to_pylist()]
+        # the bucket is the rest of the key; what few keys meet by chance are refused when sets are compared
+        keys += [np.frombuffer(k, np.uint32).astype(np.uint64) | np.uint64(b << 32) for b, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
         ids += [np.frombuffer(b, np.int64) for b in batch.column(2).to_pylist()]
     if not keys:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -326,7 +348,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     not even with each other. Rows with a null key get a null component. Rows of equal key are repeated as they come.
     Other columns of docs are not looked at.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs.sparkSession)
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     own = written(sets(docs, "doc_id", "text", words), "sets")
     links = own.where("signature is not null and doc_id is not null")

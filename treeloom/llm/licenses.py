@@ -10,7 +10,6 @@ directory above them that has one.
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,9 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import batches, small, written
-
-WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
+from treeloom.llm.common import batches, lower_words, small, small_batches, written
 
 #: Notices by which well-known licences are declared.
 TEMPLATES = {
@@ -42,12 +39,8 @@ TEMPLATES = {
 COSINE, PART = 0.7, 0.3
 
 
-def terms(text: str) -> list[str]:
-    return WORD.findall(text.lower())
-
-
-def vocabulary() -> set[str]:
-    return {t for texts in TEMPLATES.values() for x in texts for t in terms(x)}
+def vocabulary() -> set[bytes]:
+    return {t for texts in TEMPLATES.values() for x in texts for t in lower_words(x)}
 
 
 @dataclass
@@ -55,30 +48,32 @@ class Scanner:
     """Templates under the document frequencies (of template terms) over n documents."""
 
     n: int
-    frequency: dict[str, int]
+    frequency: dict[bytes, int]
 
     def __post_init__(self) -> None:
         self.unknown = math.log(1 + self.n) + 1
         self.weight = {t: math.log((1 + self.n) / (1 + self.frequency.get(t, 0))) + 1 for t in vocabulary()}
         self.names: list[str] = []
-        self.postings: dict[str, list[tuple[int, float]]] = {}
+        self.postings: dict[bytes, list[tuple[int, float]]] = {}
         for name, texts in TEMPLATES.items():
             for x in texts:
-                counts = Counter(terms(x))
+                counts = Counter(lower_words(x))
                 norm = math.sqrt(sum((c * self.weight[t]) ** 2 for t, c in counts.items()))
                 for t, c in counts.items():
                     self.postings.setdefault(t, []).append((len(self.names), c * self.weight[t] / norm))
                 self.names.append(name)
 
-    def best(self, counts: Counter) -> tuple[str | None, float]:
-        """The template nearest to the term counts and its cosine, if that is COSINE at least; equal cosines go to the first template."""
-        known = [(t, c) for t, c in counts.items() if t in self.postings]
-        inner = sum((c * self.weight[t]) ** 2 for t, c in known)
-        outer = sum(c * c for t, c in counts.items() if t not in self.postings) * self.unknown**2
-        if not known or inner < COSINE**2 * (inner + outer):  # no template can be near enough
+    def best(self, words: list[bytes]) -> tuple[str | None, float]:
+        """The template nearest to the terms and its cosine, if that is COSINE at least; equal cosines go to the first template."""
+        known = Counter([t for t in words if t in self.postings])
+        inner = sum((c * self.weight[t]) ** 2 for t, c in known.items())
+        least = COSINE**2
+        # each unknown term adds its weight at least; most lines end here
+        if not known or inner < least * (inner + (len(words) - known.total()) * self.unknown**2):
             return None, 0.0
+        outer = sum(c * c for t, c in Counter(words).items() if t not in self.postings) * self.unknown**2
         dots = [0.0] * len(self.names)
-        for t, c in known:
+        for t, c in known.items():
             for k, w in self.postings[t]:
                 dots[k] += c * self.weight[t] * w
         k = max(range(len(dots)), key=lambda i: (dots[i], -i))
@@ -88,42 +83,40 @@ class Scanner:
     def scan(self, text: str | None) -> tuple[str | None, float, bool]:
         """(licence, cosine, whether it is a licence file) of a whole text; (None, 0, False) where nothing is near enough."""
         best: tuple[str | None, float] = (None, 0.0)
-        total = inside = 0
-        whole: Counter = Counter()
+        inside = 0
+        whole: list[bytes] = []
         for line in (text or "").split("\n"):
-            words = terms(line)
-            total += len(words)
-            counts = Counter(words)
-            whole.update(counts)
-            found = self.best(counts)
+            words = lower_words(line)
+            whole += words
+            found = self.best(words)
             if found[0]:
                 inside += len(words)
                 if found[1] > best[1]:
                     best = found
         found = self.best(whole)
         if found[0]:
-            inside = total
+            inside = len(whole)
             if found[1] > best[1]:
                 best = found
-        return best[0], best[1], best[0] is not None and inside >= PART * total
+        return best[0], best[1], best[0] is not None and inside >= PART * len(whole)
 
 
 def frequencies(files: DataFrame) -> Scanner:
     """A scanner with the document frequencies of the templates' terms over all files (text)."""
-    schema = pa.schema([("term", pa.string()), ("n", pa.int64())])
+    schema = pa.schema([("term", pa.binary()), ("n", pa.int64())])
     known = vocabulary()
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         counts: Counter = Counter()
         for batch in source:
             for text in batch.column(0).to_pylist():
-                counts[""] += 1
-                counts.update(known.intersection(terms(text or "")))
+                counts[b""] += 1
+                counts.update(known.intersection(lower_words(text)))
         yield from counts.items()
 
-    rows = files.select("text").mapInArrow(lambda source: batches(run(source), schema), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # a row a template term
-    found = {r["term"]: r["n"] for r in rows}
-    return Scanner(found.pop("", 0), found)
+    rows = files.select("text").mapInArrow(lambda source: batches(run(source), schema), "term binary, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # a row a template term
+    found = {bytes(r["term"]): r["n"] for r in rows}
+    return Scanner(found.pop(b"", 0), found)
 
 
 def scan(files: DataFrame, scanner: Scanner) -> DataFrame:
@@ -169,5 +162,6 @@ def licensed(files: DataFrame) -> DataFrame:
     Null and empty texts have no licence of their own; a null path lies at the root. Repeated rows are files of their
     own. Columns called like a new one are replaced; the other columns pass.
     """
+    small_batches(files.sparkSession)
     scanned = written(scan(files, frequencies(files)), "licenses")
     return inherit(scanned.drop("license", "license_from"))

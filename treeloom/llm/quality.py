@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import free_name, labels_of, small, written
+from treeloom.llm.common import free_name, labels_of, small, small_batches, written
 
 ORDER = 4
 
@@ -232,6 +232,7 @@ def _score(mean: F.Column) -> F.Column:
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[Model, Thresholds]:
     """Model and thresholds from all documents that the labels call good."""
+    small_batches(docs.sparkSession)
     trusted = trusted_texts(docs, labels)
     model = estimate(written(count_grams(trusted), "trusted-grams"))
     return model, thresholds(trusted, model)

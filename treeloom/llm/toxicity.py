@@ -24,9 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import batches, labels_of, small, written
+from treeloom.llm.common import batches, labels_of, lower_words, small, small_batches, written
 
-WORD = re.compile(r"[^\W_]+")
+#: What lower_words takes for a word, to find it in the text.
+WORD = re.compile(r"[^\x00-/:-@\[-`{-\x7f]+")
 
 #: Pseudo-tokens of the Dirichlet prior, spread by the words' shares, and what each word gets besides.
 PRIOR, LEAST_PRIOR = 500.0, 0.5
@@ -43,7 +44,7 @@ FLUSH = 150_000
 
 @dataclass
 class Model:
-    words: dict[str, float] = field(default_factory=dict)
+    words: dict[bytes, float] = field(default_factory=dict)
     drift: float = -0.02
     scale: float = 1.0
     #: Expected number of high segments a token: the K of extreme-value statistics.
@@ -51,7 +52,7 @@ class Model:
     weight: float = 1.0
     bias: float = -3.0
 
-    def segments(self, words: list[str]) -> list[tuple[int, int, float]]:
+    def segments(self, words: list[bytes]) -> list[tuple[int, int, float]]:
         """All maximal scoring segments (start, end, score) of the tokens, in one linear scan."""
         get = self.words.get
         hits = [(i, s) for i, w in enumerate(words) if (s := get(w)) is not None]
@@ -76,7 +77,7 @@ class Model:
             stack.append((begin, end, before, after))
         return [(b, e, after - before) for b, e, before, after in stack]
 
-    def feature(self, words: list[str]) -> float:
+    def feature(self, words: list[bytes]) -> float:
         """Bits above chance of the best segment, and the logarithm of how many are significant."""
         if self.words.keys().isdisjoint(words):
             return 0.0
@@ -86,21 +87,17 @@ class Model:
         return max(strong) + math.log(len(strong)) if strong else 0.0
 
     def score(self, text: str | None) -> float:
-        x = self.weight * self.feature(tokens(text)) + self.bias
+        x = self.weight * self.feature(lower_words(text)) + self.bias
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, x))))
 
     def passages(self, text: str | None) -> list[tuple[int, int, float]]:
         """(start, end, bits above chance) of each significant passage, in code points of the text."""
         found = list(WORD.finditer(text or ""))
-        words = [m[0].lower() for m in found]
+        words = [m[0].lower().encode("utf-8", "surrogatepass") for m in found]
         chance = math.log(max(self.rate * len(words), 1e-12)) if words else 0.0
         return [(found[b].start(), found[e - 1].end(), bits) for b, e, s in self.segments(words) if (bits := self.scale * s - chance) > 0]
 
 
-def tokens(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
-
-
 def _odds(toxic: np.ndarray, clean: np.ndarray, all_toxic: float, all_clean: float) -> np.ndarray:
     """Log-odds of the shares of toxic and of clean documents that have a word, with an informative Dirichlet prior."""
     prior = LEAST_PRIOR + (toxic + clean) / (all_toxic + all_clean + 1)
@@ -133,13 +130,13 @@ def _word_counts(rows: DataFrame) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             words = counts[0].keys() | counts[1].keys()
-            yield from batches(((w, counts[1][w], counts[0][w]) for w in words), schema, 50_000)
+            yield from batches(((w.decode("utf-8", "replace"), counts[1][w], counts[0][w]) for w in words), schema, 50_000)
             for c in counts:
                 c.clear()
 
         for batch in source:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts[1 if toxic else 0].update(tokens(text))
+                counts[1 if toxic else 0].update(lower_words(text))
                 if len(counts[0]) + len(counts[1]) > FLUSH:
                     yield from flush()
         yield from flush()
@@ -147,7 +144,7 @@ def _word_counts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def _contexts(rows: DataFrame, candidates: set[str]) -> DataFrame:
+def _contexts(rows: DataFrame, candidates: set[bytes]) -> DataFrame:
     """(word, toxic, contexts): in how many documents, by label, each candidate stands, where documents in which it
     first stands between the same two words count once: copies of one text are one finding."""
     shared = rows.sparkSession.sparkContext.broadcast(candidates)
@@ -158,10 +155,10 @@ def _contexts(rows: DataFrame, candidates: set[str]) -> DataFrame:
         for batch in source:
             seen = set()
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = tokens(text)
+                words = lower_words(text)
                 for w in known.intersection(words):
                     i = words.index(w)
-                    seen.add((w, int(bool(toxic)), " ".join(words[max(0, i - 1) : i + 2])))
+                    seen.add((w.decode(), int(bool(toxic)), b" ".join(words[max(0, i - 1) : i + 2]).decode("utf-8", "replace")))
             yield from seen
 
     return rows.mapInArrow(lambda source: batches(found(source), schema), "word string, toxic int, context string").distinct().groupBy("word", "toxic").agg(F.count(F.lit(1)).alias("contexts"))
@@ -172,6 +169,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
     Null texts and labels are left out; no labelled documents at all give a model that finds nothing toxic.
     """
+    small_batches(docs.sparkSession)
     rows = labelled(docs, labels)
     counts = written(_word_counts(rows), "toxic-words")
     sums = counts.agg(F.sum("toxic"), F.sum("clean"), F.count(F.lit(1))).first()
@@ -189,17 +187,17 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         return model
     own = {r["word"]: (r["toxic"], r["clean"]) for r in top}
     contexts: dict[str, list[int]] = {w: [0, 0] for w in own}
-    for r in _contexts(rows, set(own)).collect():  # two rows a candidate at most
+    for r in _contexts(rows, {w.encode() for w in own}).collect():  # two rows a candidate at most
         contexts[r["word"]][r["toxic"]] = r["contexts"]
     words = sorted(own)
     pairs = np.array([contexts[w] for w in words], float)
     odds = _odds(pairs[:, 1], pairs[:, 0], texts[True], texts[False])
     surprise = _surprise(pairs[:, 1], pairs[:, 0], texts[True] / (texts[True] + texts[False]))
     chosen = (pairs[:, 1] >= LEAST_CONTEXTS) & (surprise >= math.log(vocabulary) + AGAINST_CHANCE) & (odds > 0.5)
-    model.words = {w: float(min(s, HIGHEST)) for w, s, k in zip(words, odds, chosen, strict=True) if k}
+    model.words = {w.encode(): float(min(s, HIGHEST)) for w, s, k in zip(words, odds, chosen, strict=True) if k}
     if not model.words:
         return model
-    inside = np.array([own[w] for w in model.words], float)
+    inside = np.array([own[w.decode()] for w in model.words], float)
     rest = np.log((all_toxic - inside[:, 0].sum() + 1) / (all_toxic + 1)) - np.log((all_clean - inside[:, 1].sum() + 1) / (all_clean + 1))
     model.drift = float(min(-0.02, rest))
     # the scale and rate of chance segments in clean text
@@ -234,7 +232,7 @@ def _calibrate(model: Model, rows: DataFrame) -> Model:
         own, counts = shared.value, Counter()
         for batch in source:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts[round(min(own.feature(tokens(text)), 50) * 10), int(bool(toxic))] += 1
+                counts[round(min(own.feature(lower_words(text)), 50) * 10), int(bool(toxic))] += 1
         yield from ((*k, n) for k, n in counts.items())
 
     bins = rows.mapInArrow(lambda source: batches(run(source), schema), "bin int, toxic int, n long").groupBy("bin", "toxic").agg(F.sum("n").alias("n")).collect()

@@ -27,7 +27,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import BROADCAST_ROWS, batches, fresh_path, partitions, written
+from treeloom.llm.common import BROADCAST_ROWS, batches, fresh_path, partitions, small_batches, written
 
 BLOCK_LINES = 1000
 #: zlib level: speed before size.
@@ -249,7 +249,7 @@ def keyed(pages: DataFrame) -> DataFrame:
 
 def round_trip(pages: DataFrame) -> DataFrame:
     """Archive all pages, index the archives, look every page up and read its record back: (page_id, payload_bytes, payload_digest, record_type, refers_to)."""
-    spark = pages.sparkSession
+    spark = small_batches(pages.sparkSession)
     archives, index = fresh_path(spark, "warc"), fresh_path(spark, "cdx")
     captures = written(write_archives(pages, archives), "captures")
     directory = written(write_index(captures, index), "directory")
