@@ -1,4 +1,4 @@
-"""Ships this package to the executors of a session."""
+"""What belongs to a session: this package on its executors, and the folder they share."""
 
 from __future__ import annotations
 
@@ -29,3 +29,15 @@ def ship(spark: SparkSession) -> SparkSession:
             context.addPyFile(archive)
         _shipped.add(context.applicationId)
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (local mode, tests)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        own = tempfile.mkdtemp(prefix="treeloom-")
+        atexit.register(shutil.rmtree, own, True)
+        folder = f"file://{own}"
+        spark.sparkContext.setCheckpointDir(folder)
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
