@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from treeloom.llm.common import written
+
 #: About how many vectors a block holds.
 ROWS = 4096
 
@@ -24,7 +26,7 @@ def usable(vectors: DataFrame, key: str, column: str, zero: bool) -> DataFrame:
 
 
 def packed(rows: DataFrame, n_blocks: int, parts: int) -> DataFrame:
-    """Blocks (block, dims, ids, vectors) of rows (id, v); a block holds vectors of one length, and is split where it grows beyond twice ROWS."""
+    """A written table of blocks (block, dims, ids, vectors) of rows (id, v); a block holds vectors of one length, and is split where it grows beyond twice ROWS."""
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")).repartition(parts, "block")
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -42,7 +44,7 @@ def packed(rows: DataFrame, n_blocks: int, parts: int) -> DataFrame:
         for (b, dims), own in held.items():
             yield _pack(b, dims, *own)
 
-    return dealt.mapInArrow(run, SCHEMA)
+    return written(dealt.mapInArrow(run, SCHEMA), "blocks")  # written once: a second run could pack rows in another order, under other names
 
 
 def _pack(block: int, dims: int, ids: list[int], vectors: list[np.ndarray]) -> pa.RecordBatch:

@@ -6,9 +6,12 @@ distance, block by block) is a lower bound of the symmetric difference. Two sets
 least t differ in at most (1 - t) / (1 + t) * (a + b) shingles; with more blocks than that, one block at least is equal
 (pigeonhole), and sets are joined on (size band, block, sketch). Every candidate is then verified on the whole sets.
 
-Blocks that hold no shingle are alike in unrelated texts and say nothing. Each band has some blocks more than the bound
-asks for; a text whose empty blocks are no more than these spares loses nothing if they are left out, and the few texts
-with more of them are joined on their empty blocks with each other. No pair is lost either way.
+Blocks that hold no shingle are alike in unrelated texts, and passages that are repeated everywhere make blocks alike too.
+So shingles of frequent passages are left out of the sketches (never out of the comparison): what two sets differ in
+without them is no more than with them. Each band has spare blocks, more than the bound asks for; a text with no more
+empty blocks than spares must share a block that isn't empty with each near text. Texts with more empty blocks (they
+consist of frequent passages, or are short) are also joined with each other by sketches of all their shingles. No pair is
+lost either way, whatever counts as frequent.
 
 Of the texts that share a block, all are compared with the first of them. What these links don't connect is compared
 in full, so that components are exact without listing all pairs of a group of copies.
@@ -26,12 +29,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import partitions, small_batches, written
+from treeloom.llm.common import partitions, small, small_batches, written
 
 WORDS, PERCENT = 5, 80
 
 #: Each band of sizes reaches to this many times its least size.
-RATIO = 1.6
+RATIO = 1.5
+#: A shingle is frequent if it is in this part (and number) of the different texts that a task reads in a row, so any
+#: that is in this part of all texts is found; the most frequent ones are told to all tasks (8 bytes each).
+FREQUENT, LEAST_FREQUENT, TOLD = 0.002, 5, 200_000
+#: Shingles that a task counts at once.
+COUNTED = 1_500_000
 #: Sketches that a task holds before it passes them on.
 FLUSH = 1_000_000
 
@@ -113,27 +121,55 @@ def bound(band: int, percent: int) -> int:
 def blocks(band: int, percent: int) -> tuple[int, int]:
     """(number of blocks, spares) of a band."""
     most = bound(band, percent)
-    spare = 3 + (most * 3) // 20
+    spare = 6 + most * 2 // 5
     return most + 1 + spare, spare
 
 
-def sketches(found: np.ndarray, band: int, percent: int) -> np.ndarray:
-    """The keys on which a set is joined in a band: hashes of (band, block, XOR of the block's shingles)."""
-    m, spare = blocks(band, percent)
+class Frequent:
+    """The frequent shingles: a bit map that most others fail, then a search."""
+
+    def __init__(self, found: np.ndarray) -> None:
+        self.sorted = np.sort(found)
+        self.bits = np.zeros(1 << 20, bool)
+        self.bits[self.sorted & np.uint64((1 << 20) - 1)] = True
+
+    def without(self, found: np.ndarray) -> np.ndarray:
+        if not len(self.sorted):
+            return found
+        maybe = np.flatnonzero(self.bits[found & np.uint64((1 << 20) - 1)])
+        if not len(maybe):
+            return found
+        at = np.searchsorted(self.sorted, found[maybe])
+        hit = maybe[self.sorted[np.minimum(at, len(self.sorted) - 1)] == found[maybe]]
+        return np.delete(found, hit) if len(hit) else found
+
+
+def _sketched(found: np.ndarray, band: int, m: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, blocks that have shingles): hashes of (band, block, XOR of the block's shingles)."""
+    if not len(found):
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     block = ((found >> np.uint64(20)) % np.uint64(m)).astype(np.uint16 if m < 1 << 16 else np.uint64)  # short numbers are sorted by radix
     order = np.argsort(block, kind="stable")
     dealt = block[order]
     begin = np.flatnonzero(np.concatenate(([True], dealt[1:] != dealt[:-1])))
-    parity = np.bitwise_xor.reduceat(found[order], begin)
     at = dealt[begin].astype(np.uint64)
-    keys = _mixed(parity ^ _mixed(at * np.uint64(4096) + np.uint64(band)))
-    if m - len(begin) > spare:  # one of the few texts that need their empty blocks
+    return _mixed(np.bitwise_xor.reduceat(found[order], begin) ^ _mixed(at * np.uint64(4096) + np.uint64(band + salt))), at
+
+
+def sketches(found: np.ndarray, band: int, percent: int, frequent: Frequent) -> np.ndarray:
+    """The keys on which a set is joined in a band."""
+    m, spare = blocks(band, percent)
+    keys, at = _sketched(frequent.without(found), band, m, 0)
+    if m - len(at) <= spare:
+        return keys
+    more, at = _sketched(found, band, m, 128)
+    if m - len(at) > spare:  # even so: its empty blocks count as well
         empty = np.setdiff1d(np.arange(m, dtype=np.uint64), at)
-        keys = np.concatenate((keys, _mixed(_mixed(empty * np.uint64(4096) + np.uint64(band)) ^ np.uint64(0x5EED))))
-    return keys
+        more = np.concatenate((more, _mixed(_mixed(empty * np.uint64(4096) + np.uint64(band)) ^ np.uint64(0x5EED))))
+    return np.concatenate((keys, more))
 
 
-def keys_of(found: np.ndarray, percent: int) -> np.ndarray:
+def keys_of(found: np.ndarray, percent: int, frequent: Frequent) -> np.ndarray:
     """All join keys of a set: in its own band, and in the bands whose sets it may be the larger partner of."""
     n = len(found)
     edges = bands()
@@ -141,44 +177,77 @@ def keys_of(found: np.ndarray, percent: int) -> np.ndarray:
     out = []
     while band >= 0 and 100 * (edges[band + 1] - 1) >= percent * n:
         if bound(band, percent) > 0:  # otherwise only equal sets are near enough, and those are classes already
-            out.append(sketches(found, band, percent))
+            out.append(sketches(found, band, percent, frequent))
         band -= 1
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+_SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("signature", pa.binary()), ("shingle", pa.int64()), ("times", pa.int64())])
+
+
 def sets(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
-    """(doc_id, n_shingles, signature): size and 128-bit hash of each text's set; no signature for empty sets."""
+    """(doc_id, n_shingles, signature, shingle, times): size and 128-bit hash of each text's set (no signature for empty
+    sets), with null in the last two; and frequent shingles of the texts that a task read in a row, with null in the first three."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, seen = [], 0, set()
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            every = np.sort(np.concatenate(held))
+            edge = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1], [True])))
+            times = np.diff(edge)
+            many = times >= max(LEAST_FREQUENT, FREQUENT * len(held))
+            found, times = every[edge[:-1][many]].astype(np.int64), times[many]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(found), pa.int64()), pa.nulls(len(found), pa.int64()), pa.nulls(len(found), pa.binary()), pa.array(found), pa.array(times)], schema=_SETS)
+
         for batch in source:
             number, signature = [], []
             for t in batch.column(1).to_pylist():
                 found = shingles(t, words)
                 number.append(len(found))
-                signature.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(number, pa.int64()), pa.array(signature, pa.binary())], names=["doc_id", "n_shingles", "signature"])
-
-    return docs.select(key, text).mapInArrow(run, "doc_id long, n_shingles long, signature binary")
-
-
-def _dealt(docs: DataFrame, key: str, text: str, words: int, percent: int, buckets: int) -> DataFrame:
+                mark = xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None
+                signature.append(mark)
+                if mark and mark not in seen:
+                    seen.add(mark)
+                    held.append(found)
+                    size += len(found)
+                    if size >= COUNTED:
+                        yield from counted()
+                        held, size = [], 0
+                        seen.clear()
+            n = len(number)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(number, pa.int64()), pa.array(signature, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], schema=_SETS)
+        if held:
+            yield from counted()
+
+    return docs.select(key, text).mapInArrow(run, "doc_id long, n_shingles long, signature binary, shingle long, times long")
+
+
+def told(found: DataFrame) -> np.ndarray:
+    """The TOLD most frequent shingles of sets()."""
+    rows = found.where("times is not null").groupBy("shingle").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "shingle").limit(TOLD).select("shingle").toArrow()
+    return rows.column(0).to_numpy().astype(np.uint64)
+
+
+def _dealt(docs: DataFrame, key: str, text: str, words: int, percent: int, buckets: int, frequent: np.ndarray) -> DataFrame:
     """(bucket, keys, ids): the join keys of all texts, packed by bucket. Of equal sets within a task only the first is passed on."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Frequent(shared.value)
         held_keys, held_ids, size, seen = [], [], 0, set()
 
         def flush() -> Iterator[pa.RecordBatch]:
             if not held_keys:
                 return
-            keys = np.concatenate(held_keys)
-            ids = np.repeat(np.array(held_ids, np.int64), [len(k) for k in held_keys])
+            keys, ids = np.concatenate(held_keys), np.repeat(np.array(held_ids, np.int64), [len(k) for k in held_keys])
             bucket = ((keys >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
-            bucket, keys, ids = bucket[order], keys[order], ids[order]
+            bucket, keys, ids = bucket[order], keys[order].astype(np.uint32), ids[order]
             edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
             for k in range(0, len(edge) - 1, 512):
                 part = list(zip(edge[k : k + 512], edge[k + 1 : k + 513], strict=False))
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[[a for a, _ in part]]), pa.array([keys[a:b].astype(np.uint32).tobytes() for a, b in part], pa.binary()), pa.array([ids[a:b].tobytes() for a, b in part], pa.binary())], names=["bucket", "keys", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[[a for a, _ in part]]), *(pa.array([x[a:b].tobytes() for a, b in part], pa.binary()) for x in (keys, ids))], names=["bucket", "keys", "ids"])
             held_keys.clear()
             held_ids.clear()
 
@@ -191,12 +260,11 @@ def _dealt(docs: DataFrame, key: str, text: str, words: int, percent: int, bucke
                 if mark in seen:
                     continue
                 seen.add(mark)
-                keys = keys_of(found, percent)
-                if not len(keys):
-                    continue
-                held_keys.append(keys)
-                held_ids.append(doc)
-                size += len(keys)
+                keys = keys_of(found, percent, known)
+                if len(keys):
+                    held_keys.append(keys)
+                    held_ids.append(doc)
+                    size += len(keys)
                 if size >= FLUSH:
                     yield from flush()
                     size = 0
@@ -217,6 +285,7 @@ def _groups(source: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, n
     if not keys:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     key, who = np.concatenate(keys), np.concatenate(ids)
+    del keys, ids
     # most keys occur once: those go before the sort by id
     order = np.argsort(key, kind="stable")
     key, who = key[order], who[order]
@@ -232,9 +301,14 @@ def _groups(source: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, n
     return who, begin[size > 1], size[size > 1]
 
 
+_CANDIDATES = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("mark", pa.binary()), ("members", pa.binary())])
+
+
 def _candidates(dealt: DataFrame) -> DataFrame:
-    """(a, b, mark, members): the first of each group that shares a key with every other; and the different groups of three or more, packed, smallest member first."""
-    pairs = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("mark", pa.binary()), ("members", pa.binary())])
+    """Of the groups that share a key: (a, b) the first with every other; (mark, members) the different groups of three or more, packed, smallest member first."""
+
+    def rows(n: int, **columns: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in _CANDIDATES], schema=_CANDIDATES)
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         who, begin, size = _groups(source)
@@ -249,16 +323,15 @@ def _candidates(dealt: DataFrame) -> DataFrame:
         first, other = first[keep], other[keep]
         for k in range(0, len(first), 100_000):
             a, b = first[k : k + 100_000], other[k : k + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.binary()), pa.nulls(len(a), pa.binary())], schema=pairs)
+            yield rows(len(a), a=pa.array(a), b=pa.array(b))
         groups: dict[bytes, bytes] = {}
-        for at, n in zip(begin[size > 2], size[size > 2], strict=True):
-            blob = who[at : at + n].tobytes()
+        for start, n in zip(begin[size > 2], size[size > 2], strict=True):
+            blob = who[start : start + n].tobytes()
             groups.setdefault(xxhash.xxh3_128_digest(blob), blob)
         found = list(groups.items())
         for k in range(0, len(found), 1000):
             part = found[k : k + 1000]
-            none = pa.nulls(len(part), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, pa.array([m for m, _ in part], pa.binary()), pa.array([x for _, x in part], pa.binary())], schema=pairs)
+            yield rows(len(part), mark=pa.array([m for m, _ in part], pa.binary()), members=pa.array([x for _, x in part], pa.binary()))
 
     return dealt.mapInArrow(run, "a long, b long, mark binary, members binary")
 
@@ -277,9 +350,9 @@ def _unpacked(groups: DataFrame) -> DataFrame:
     return groups.select("mark", "members").mapInArrow(run, "mark binary, first long, node long")
 
 
-def _unconnected(groups: DataFrame, roots: DataFrame) -> DataFrame:
-    """(a, b): pairs of members of one group that the links so far don't connect, apart from those with its first member, which are known."""
-    rows = _unpacked(groups).hint("merge").join(roots.hint("merge"), "node", "left").select("mark", "first", "node", F.coalesce("component", "node").alias("component"))
+def _unconnected(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b): pairs of members of one group (mark, first, node) that the links so far don't connect, apart from those with its first member, which are known."""
+    rows = rows.hint("merge").join(roots.hint("merge"), "node", "left").select("mark", "first", "node", F.coalesce("component", "node").alias("component"))
     rows = written(rows, "members")
     mixed = rows.groupBy("mark").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("mark")
     rows = rows.hint("merge").join(mixed.hint("merge"), "mark").where("node <> first")
@@ -293,8 +366,9 @@ def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, words: int,
     Each text is sent once for each pair it is b in, and once for all pairs it is a in; pairs of one a that is in very
     many of them are split among tasks by the engine.
     """
-    left = docs.select(F.col(key).alias("a"), F.col(text).alias("ta"))
-    right = docs.select(F.col(key).alias("b"), F.col(text).alias("tb"))
+    of = lambda side: small(written(pairs.select(F.col(side).alias(key)).distinct(), "candidates-of"))
+    left = docs.join(of("a"), key, "left_semi").select(F.col(key).alias("a"), F.col(text).alias("ta"))
+    right = docs.join(of("b"), key, "left_semi").select(F.col(key).alias("b"), F.col(text).alias("tb"))
     joined = pairs.hint("merge").join(right.hint("merge"), "b").hint("merge").join(left.hint("merge"), "a").select("a", "b", "ta", "tb")
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,17 +424,18 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     """
     spark = small_batches(docs.sparkSession)
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    own = written(sets(docs, "doc_id", "text", words), "sets")
+    found = written(sets(docs, "doc_id", "text", words), "sets")
+    own = found.where("times is null").select("doc_id", "n_shingles", "signature")
     links = own.where("signature is not null and doc_id is not null")
     first = links.groupBy("signature").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     copies = links.join(first, "signature").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).where("a <> b")
     n = partitions(spark)
-    dealt = _dealt(docs, "doc_id", "text", words, percent, 3 * n).repartition(n, "bucket")
+    dealt = _dealt(docs, "doc_id", "text", words, percent, 3 * n, told(found)).repartition(n, "bucket")
     found = written(_candidates(dealt), "candidates")
-    pairs = found.where("a is not null").select("a", "b").distinct()
+    pairs = written(found.where("b is not null").select("a", "b").distinct(), "pairs")
     near = written(verified(pairs, docs, "doc_id", "text", words, percent).union(copies), "links")
     roots = components(near)
-    groups = found.where("mark is not null").select("mark", "members").dropDuplicates(["mark"])
+    groups = _unpacked(found.where("mark is not null").select("mark", "members").dropDuplicates(["mark"]))
     more = written(_unconnected(groups, roots), "unconnected")
     if not more.isEmpty():
         late = verified(more, docs, "doc_id", "text", words, percent)
