@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import written
+from treeloom.llm.common import lean, written
 
 #: About how many vectors a block holds.
 ROWS = 4096
@@ -44,7 +44,7 @@ def packed(rows: DataFrame, n_blocks: int, parts: int) -> DataFrame:
         for (b, dims), own in held.items():
             yield _pack(b, dims, *own)
 
-    return written(dealt.mapInArrow(run, SCHEMA), "blocks")  # written once: a second run could pack rows in another order, under other names
+    return written(dealt.mapInArrow(lean(run), SCHEMA), "blocks")  # written once: a second run could pack rows in another order, under other names
 
 
 def _pack(block: int, dims: int, ids: list[int], vectors: list[np.ndarray]) -> pa.RecordBatch:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from treeloom.llm.common import small_batches
+from treeloom.llm.common import lean, small_batches
 
 #: The characters that have Unicode's White_Space property.
 WHITE_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -262,7 +262,7 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "tok
             lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(np.concatenate(values) if values else np.zeros(0, np.int32)))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], lists, *([pa.array(tokens, pa.string())] if decoded else [])], names=schema.fieldNames())
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)
 
 
 def decode(encoded: DataFrame, vocabulary: str, ids: str = "token_ids", text: str = "decoded") -> DataFrame:
@@ -296,4 +296,4 @@ def digests(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "
                 of_text.append(sha(tokens.encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(number, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(key, text).mapInArrow(lean(run), f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

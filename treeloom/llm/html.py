@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import batches, small_batches, written
+from treeloom.llm.common import batches, lean, small_batches, written
 
 #: Elements by how they are treated.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -327,7 +327,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
             whole.fold(Wrapper.loaded(text))
         return pa.table({"host": [table.column("host")[0].as_py()], "wrapper": [whole.dumped()]})
 
-    each = pages.select("url", "html").mapInArrow(lambda source: batches(fold(source), salted, 500), "host string, salt int, wrapper string")
+    each = pages.select("url", "html").mapInArrow(lean(lambda source: batches(fold(source), salted, 500)), "host string, salt int, wrapper string")
     return each.groupBy("host", "salt").applyInArrow(merged, "host string, wrapper string").groupBy("host").applyInArrow(merged, "host string, wrapper string")
 
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import partitions, small, small_batches, written
+from treeloom.llm.common import lean, partitions, small, small_batches, written
 
 WORDS, PERCENT = 5, 80
 
@@ -39,9 +39,9 @@ RATIO = 1.5
 #: that is in this part of all texts is found; the most frequent ones are told to all tasks (8 bytes each).
 FREQUENT, LEAST_FREQUENT, TOLD = 0.002, 5, 200_000
 #: Shingles that a task counts at once.
-COUNTED = 1_500_000
+COUNTED = 700_000
 #: Sketches that a task holds before it passes them on.
-FLUSH = 1_000_000
+FLUSH = 500_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -220,7 +220,7 @@ def sets(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
         if held:
             yield from counted()
 
-    return docs.select(key, text).mapInArrow(run, "doc_id long, n_shingles long, signature binary, shingle long, times long")
+    return docs.select(key, text).mapInArrow(lean(run), "doc_id long, n_shingles long, signature binary, shingle long, times long")
 
 
 def told(found: DataFrame) -> np.ndarray:
@@ -272,7 +272,7 @@ def _dealt(docs: DataFrame, key: str, text: str, words: int, percent: int, bucke
                     seen.clear()
         yield from flush()
 
-    return docs.select(key, text).mapInArrow(run, "bucket int, keys binary, ids binary")
+    return docs.select(key, text).mapInArrow(lean(run), "bucket int, keys binary, ids binary")
 
 
 def _groups(source: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -333,7 +333,7 @@ def _candidates(dealt: DataFrame) -> DataFrame:
             part = found[k : k + 1000]
             yield rows(len(part), mark=pa.array([m for m, _ in part], pa.binary()), members=pa.array([x for _, x in part], pa.binary()))
 
-    return dealt.mapInArrow(run, "a long, b long, mark binary, members binary")
+    return dealt.mapInArrow(lean(run), "a long, b long, mark binary, members binary")
 
 
 def _unpacked(groups: DataFrame) -> DataFrame:
@@ -347,7 +347,7 @@ def _unpacked(groups: DataFrame) -> DataFrame:
                     part = who[k : k + 100_000]
                     yield pa.RecordBatch.from_arrays([pa.array([mark] * len(part), pa.binary()), pa.array(np.full(len(part), who[0])), pa.array(part)], names=["mark", "first", "node"])
 
-    return groups.select("mark", "members").mapInArrow(run, "mark binary, first long, node long")
+    return groups.select("mark", "members").mapInArrow(lean(run), "mark binary, first long, node long")
 
 
 def _unconnected(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -385,7 +385,7 @@ def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, words: int,
             chosen = pa.array(keep)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(chosen), batch.column(1).filter(chosen)], names=["a", "b"])
 
-    return joined.mapInArrow(run, "a long, b long")
+    return joined.mapInArrow(lean(run), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import batches, lower_words, small, small_batches, written
+from treeloom.llm.common import batches, lean, lower_words, small, small_batches, written
 
 #: Notices by which well-known licences are declared.
 TEMPLATES = {
@@ -114,7 +114,7 @@ def frequencies(files: DataFrame) -> Scanner:
                 counts.update(known.intersection(lower_words(text)))
         yield from counts.items()
 
-    rows = files.select("text").mapInArrow(lambda source: batches(run(source), schema), "term binary, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # a row a template term
+    rows = files.select("text").mapInArrow(lean(lambda source: batches(run(source), schema)), "term binary, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # a row a template term
     found = {bytes(r["term"]): r["n"] for r in rows}
     return Scanner(found.pop(b"", 0), found)
 

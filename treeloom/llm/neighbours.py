@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treeloom.llm import blocks
-from treeloom.llm.common import partitions, small, written
+from treeloom.llm.common import lean, partitions, small, written
 
 TABLES, SALTS, SEED = 8, 8, 29
 #: Vectors from which the cell size is fitted: those of the smallest hash of their id.
@@ -158,7 +158,7 @@ def _entries(rows: DataFrame, width: int, cell: float, n_probes: int, queries: b
                 part = pa.array(at[k : k + 8192], pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + 8192], pa.int64()), pa.array(salts[k : k + 8192], pa.int32()), pa.array(np.full(len(part), 0 if queries else 1, np.int32)), batch.column(0).take(part), batch.column(1).cast(pa.list_(pa.float64())).take(part)], schema=schema)
 
-    return rows.mapInArrow(run, "key long, salt int, kind int, id long, v array<double>")
+    return rows.mapInArrow(lean(run), "key long, salt int, kind int, id long, v array<double>")
 
 
 def _compare(source: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -202,7 +202,7 @@ def _all_distances(meetings: DataFrame, k: int) -> DataFrame:
                     best.add(query, ids, found[n])
                 yield from best.rows()
 
-    return meetings.mapInArrow(run, "query_id long, vec_id long, score double")
+    return meetings.mapInArrow(lean(run), "query_id long, vec_id long, score double")
 
 
 def cell_size(rows: DataFrame) -> float:
@@ -233,7 +233,7 @@ def search(vectors: DataFrame, is_query: F.Column, k: int = 10, key: str = "vec_
     width, cell = width_for(n), cell_size(rows)
     entries = _entries(queries, width, cell, 10 * width, True).union(_entries(rows, width, cell, 0, False))
     dealt = entries.repartition(partitions(spark), "key", "salt").sortWithinPartitions("key", "salt", "kind")
-    partial = written(dealt.mapInArrow(lambda source: _compare(source, k), "query_id long, vec_id long, score double"), "near")
+    partial = written(dealt.mapInArrow(lean(lambda source: _compare(source, k)), "query_id long, vec_id long, score double"), "near")
     order = [F.col("score").asc(), F.col("vec_id").asc()]
     once = partial.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     enough = once.groupBy("query_id").count().where(F.col("count") >= min(k, n - 1)).select(F.col("query_id").alias("id"))

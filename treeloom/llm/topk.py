@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treeloom.llm import blocks
-from treeloom.llm.common import partitions, written
+from treeloom.llm.common import lean, partitions, written
 
 SCALE = 1024
 #: Entries of each list that are taken at first; each further step takes twice as many.
@@ -120,7 +120,7 @@ def search(vectors: DataFrame, is_query: F.Column, k: int = 10, key: str = "vec_
                     if len(found):
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), query)), pa.array(found), pa.array(scores)], schema=FOUND)
 
-    partial = met.mapInArrow(run, "query_id long, vec_id long, score long")
+    partial = met.mapInArrow(lean(run), "query_id long, vec_id long, score long")
     once = partial.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return blocks.best(once, k, [F.col("score").desc(), F.col("vec_id").asc()])
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import batches, labels_of, lower_words, small, small_batches, written
+from treeloom.llm.common import batches, labels_of, lean, lower_words, small, small_batches, written
 
 #: What lower_words takes for a word, to find it in the text.
 WORD = re.compile(r"[^\x00-/:-@\[-`{-\x7f]+")
@@ -141,7 +141,7 @@ def _word_counts(rows: DataFrame) -> DataFrame:
                     yield from flush()
         yield from flush()
 
-    return rows.mapInArrow(run, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    return rows.mapInArrow(lean(run), "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def _contexts(rows: DataFrame, candidates: set[bytes]) -> DataFrame:
@@ -161,7 +161,7 @@ def _contexts(rows: DataFrame, candidates: set[bytes]) -> DataFrame:
                     seen.add((w.decode(), int(bool(toxic)), b" ".join(words[max(0, i - 1) : i + 2]).decode("utf-8", "replace")))
             yield from seen
 
-    return rows.mapInArrow(lambda source: batches(found(source), schema), "word string, toxic int, context string").distinct().groupBy("word", "toxic").agg(F.count(F.lit(1)).alias("contexts"))
+    return rows.mapInArrow(lean(lambda source: batches(found(source), schema)), "word string, toxic int, context string").distinct().groupBy("word", "toxic").agg(F.count(F.lit(1)).alias("contexts"))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
@@ -235,7 +235,7 @@ def _calibrate(model: Model, rows: DataFrame) -> Model:
                 counts[round(min(own.feature(lower_words(text)), 50) * 10), int(bool(toxic))] += 1
         yield from ((*k, n) for k, n in counts.items())
 
-    bins = rows.mapInArrow(lambda source: batches(run(source), schema), "bin int, toxic int, n long").groupBy("bin", "toxic").agg(F.sum("n").alias("n")).collect()
+    bins = rows.mapInArrow(lean(lambda source: batches(run(source), schema)), "bin int, toxic int, n long").groupBy("bin", "toxic").agg(F.sum("n").alias("n")).collect()
     x = np.array([r["bin"] / 10 for r in bins])
     y = np.array([float(r["toxic"]) for r in bins])
     n = np.array([float(r["n"]) for r in bins])

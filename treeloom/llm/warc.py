@@ -27,7 +27,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import BROADCAST_ROWS, batches, fresh_path, partitions, small_batches, written
+from treeloom.llm.common import BROADCAST_ROWS, batches, fresh_path, lean, partitions, small_batches, written
 
 BLOCK_LINES = 1000
 #: zlib level: speed before size.
@@ -139,7 +139,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
         if out:
             out.close()
 
-    return planned.mapInArrow(lambda source: batches(run(source), CAPTURE, 2000), "key string, page_id long, file string, offset long, length long")
+    return planned.mapInArrow(lean(lambda source: batches(run(source), CAPTURE, 2000)), "key string, page_id long, file string, offset long, length long")
 
 
 def write_index(captures: DataFrame, folder: str) -> DataFrame:
@@ -174,7 +174,7 @@ def write_index(captures: DataFrame, folder: str) -> DataFrame:
             out.close()
 
     ordered = captures.repartitionByRange(partitions(spark), "key", "page_id").sortWithinPartitions("key", "page_id")
-    return ordered.mapInArrow(lambda source: batches(run(source), DIRECTORY, 500), "first_key string, first_page long, file string, offset long, length long, lines long")
+    return ordered.mapInArrow(lean(lambda source: batches(run(source), DIRECTORY, 500)), "first_key string, first_page long, file string, offset long, length long, lines long")
 
 
 def _located(wanted: DataFrame, directory: DataFrame) -> DataFrame:
@@ -192,7 +192,7 @@ def _located(wanted: DataFrame, directory: DataFrame) -> DataFrame:
                     if k >= 0:
                         yield (key, page, *places[k])
 
-        return wanted.select("key", "page_id").mapInArrow(lambda source: batches(run(source), schema), "key string, page_id long, block_file string, block_offset long, block_length long")
+        return wanted.select("key", "page_id").mapInArrow(lean(lambda source: batches(run(source), schema)), "key string, page_id long, block_file string, block_offset long, block_length long")
     # a directory too large for one worker is merged with the wanted keys by range, each range with the block that begins before it
     from pyspark.sql import Window
 
@@ -234,7 +234,7 @@ def fetch(wanted: DataFrame, directory: DataFrame, index: str, archives: str, pa
         blocks.close()
         files.close()
 
-    return dealt.mapInArrow(lambda source: batches(run(source), RECORD, 500), "page_id long, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return dealt.mapInArrow(lean(lambda source: batches(run(source), RECORD, 500)), "page_id long, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def keyed(pages: DataFrame) -> DataFrame:
