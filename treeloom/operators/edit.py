@@ -12,8 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from treeloom import schema as S
-
-_id = "array<double>"
+from treeloom.session import written
 
 
 def _loose(nodes: DataFrame) -> DataFrame:
@@ -24,8 +23,8 @@ def _loose(nodes: DataFrame) -> DataFrame:
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
-    """The node table of loose rows."""
-    rows = rows.withColumn("pre", (F.row_number().over(Window.partitionBy("doc_id").orderBy("place")) - 1).cast("int"))
+    """The node table of loose rows, as a written table: edits can follow each other without their plans growing."""
+    rows = written(rows.withColumn("pre", (F.row_number().over(Window.partitionBy("doc_id").orderBy("place")) - 1).cast("int")), "edit-rows")
     places = rows.select("doc_id", F.col("id").alias("a"), F.col("pre").alias("above"))
     chains = rows.select("doc_id", "pre", "kind", "value", F.explode("up").alias("a")).join(places, ["doc_id", "a"])
     anc = chains.groupBy("doc_id", "pre").agg(F.array_sort(F.collect_list("above")).alias("anc"))
@@ -38,7 +37,7 @@ def _numbered(rows: DataFrame) -> DataFrame:
     own = F.when(F.col("kind").isin("element", "document"), F.coalesce("texts", F.lit(""))).when(F.col("kind").isin("declaration", "doctype"), "").otherwise(F.col("value"))
     same = Window.partitionBy("doc_id", "parent", "is_attribute", "name").orderBy("pre")
     out = out.withColumns({"ord": F.row_number().over(beside.orderBy("pre")), "nsib": F.count(F.lit(1)).over(beside).cast("int"), "sval": own, "dup": F.col("is_attribute") & (F.row_number().over(same) > 1)})
-    return out.select(*[F.col(c).cast(S.NODES[c].dataType).alias(c) for c in S.NODE_COLUMNS])
+    return written(out.select(*[F.col(c).cast(S.NODES[c].dataType).alias(c) for c in S.NODE_COLUMNS]), "edited")
 
 
 def _marked(nodes: DataFrame, targets: DataFrame, **values: Column | str) -> DataFrame:
@@ -83,7 +82,7 @@ def _spots(nodes: DataFrame, targets: DataFrame, where: str, attribute: bool) ->
     else:
         rows = rows.where((F.col("kind") == "attribute") if attribute else (~F.col("kind").isin("attribute", "document")))
         after = F.col("pre") - 1 if where == "before" else F.col("pre") + F.col("size")
-        owner, up = F.col("parent"), F.slice("anc", F.lit(1), F.size("anc") - 1)
+        owner, up = F.col("parent"), F.slice("anc", F.lit(1), F.greatest(F.lit(0), F.size("anc") - 1))
     number = F.transform(F.concat(up, F.array(owner)), lambda x: F.array(x.cast("double")))
     # what is added at one place comes in the order of calls: later ones at the end sort behind by the deeper level of their owner
     rows = rows.withColumns({"_anchor": after.cast("double") + 0.5, "_up": number, "_depth": (-F.size(up)).cast("double")})
@@ -170,13 +169,11 @@ def append_fragments(nodes: DataFrame, fragments: DataFrame, flags: int = S.DEFA
     fragments has doc_id, pre and xml. Returns the new node table and (doc_id, pre, status): append_invalid_root for
     targets of other kinds. What was parsed before an error is appended.
     """
-    from treeloom.sources import parser
     from treeloom.sources.shred import shred
 
     owners = nodes.select("doc_id", "pre", "kind", "size", "anc")
     known = fragments.join(owners, ["doc_id", "pre"])
     good = known.where("kind in ('element', 'document')").withColumn("key", F.xxhash64("doc_id", "pre"))
-    del parser
     below = shred(good.select("key", "xml"), "key", "xml", flags | S.FRAGMENT)
     parsed = below.withColumnRenamed("doc_id", "key").drop("status", "error_offset", "encoding", "size")
     spots = good.select("key", "doc_id", F.col("pre").alias("_target"), F.col("size").alias("_size"), F.col("anc").alias("_anc"))

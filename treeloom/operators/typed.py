@@ -26,22 +26,22 @@ def _integer(value: Column, low: int, high: int) -> Column:
 
 
 def as_int(value: Column, default: int = 0) -> Column:
-    return F.coalesce(_integer(value, -(2**31), 2**31 - 1).cast("int"), F.lit(default))
+    return F.when(value.isNull(), F.lit(default)).otherwise(_integer(value, -(2**31), 2**31 - 1).cast("int"))
 
 
 def as_llong(value: Column, default: int = 0) -> Column:
-    return F.coalesce(_integer(value, -(2**63), 2**63 - 1).cast("long"), F.lit(default).cast("long"))
+    return F.when(value.isNull(), F.lit(default).cast("long")).otherwise(_integer(value, -(2**63), 2**63 - 1).cast("long"))
 
 
 def as_uint(value: Column, default: int = 0) -> Column:
     """A negative number wraps around."""
     n = _integer(value, -(2**32) + 1, 2**32 - 1)
-    return F.coalesce(F.when(n < 0, n + F.lit(2**32).cast("decimal(38,0)")).otherwise(n).cast("long"), F.lit(default).cast("long"))
+    return F.when(value.isNull(), F.lit(default).cast("long")).otherwise(F.when(n < 0, n + F.lit(2**32).cast("decimal(38,0)")).otherwise(n).cast("long"))
 
 
 def as_ullong(value: Column, default: int = 0) -> Column:
     n = _integer(value, -(2**64) + 1, 2**64 - 1)
-    return F.coalesce(F.when(n < 0, n + F.lit(str(2**64)).cast("decimal(38,0)")).otherwise(n).cast("decimal(20,0)"), F.lit(default).cast("decimal(20,0)"))
+    return F.when(value.isNull(), F.lit(default).cast("decimal(20,0)")).otherwise(F.when(n < 0, n + F.lit(str(2**64)).cast("decimal(38,0)")).otherwise(n).cast("decimal(20,0)"))
 
 
 def as_double(value: Column, default: float = 0.0) -> Column:
