@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -27,14 +28,16 @@ from treeloom.llm.common import lean, small_batches
 #: The characters that have Unicode's White_Space property.
 WHITE_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
-#: Code points that str.split() takes for white space and Unicode doesn't.
-_ODD_SPACE = regex.compile("[\x1c-\x1f]")
+#: The Latin letters that stay single letters of this range in lower case and under NFC. Texts of these,
+#: ASCII and nothing else are split by the standard library's engine, others by one that knows all of Unicode.
+LATIN = "\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u012f\\u0131-\\u0148\\u014a-\\u017e"
+_OTHER = re.compile(f"[^\\x00-\\x7f{LATIN}]")
 
 #: Marks the end of a word inside the trie; no byte symbol uses it.
 _END = "\x00"
 
-#: Entries of each of a worker's memos (chunks, words, pairs); a memo is emptied when full.
-MEMO_ENTRIES = 60_000
+#: Entries of each of a worker's memos (words, pairs); a memo is emptied when full.
+MEMO_ENTRIES = 200_000
 
 
 def byte_symbols() -> list[str]:
@@ -77,15 +80,22 @@ class Vocabulary:
             if whole not in self.parts:
                 self.parts[whole] = pair
                 self.rank[whole] = rank
+        self.most = max(map(len, self.inner.values()))
         self.trie = ahocorasick.Automaton()
         for i, text in self.inner.items():
             if i in self.parts or self._is_symbol(text):
                 self.trie.add_word(text, i)
-        self.compatible: dict[tuple[int, int], bool] = {}
+        #: token to the longest token that is a proper prefix of it, or -1
+        self.shorter: dict[int, int] = {}
+        by_text = {text: i for i, text in self.inner.items() if i in self.parts or self._is_symbol(text)}
+        for text, i in by_text.items():
+            self.shorter[i] = next((by_text[text[:n]] for n in range(len(text) - 1, 0, -1) if text[:n] in by_text), -1)
+        self.lengths = [len(self.inner.get(i, "")) for i in range(size)]
+        self.compatible: dict[int, bool] = {}
         self.symbols = byte_symbols()
-        self.known: dict[str, list[int]] = {}
         pattern = f"'s|'t|'re|'ve|'m|'ll|'d|[\\p{{L}}]+|[\\p{{N}}]|[^{WHITE_SPACE}\\p{{L}}\\p{{N}}]+"
         self.words = regex.compile(pattern)
+        self.latin_words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{LATIN}]+|[0-9]|[^\\t-\\r a-z0-9{LATIN}]+")
         self.space = regex.compile(f"[{WHITE_SPACE}]+")
         self.specials = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
 
@@ -100,10 +110,10 @@ class Vocabulary:
 
     def fits(self, left: int, right: int) -> bool:
         """Whether the two tokens can stand side by side in a BPE result."""
-        key = (left, right)
+        key = left << 32 | right
         known = self.compatible.get(key)
         if known is None:
-            if len(self.compatible) >= 4 * MEMO_ENTRIES:
+            if len(self.compatible) >= MEMO_ENTRIES:
                 self.compatible.clear()
             known = self.compatible[key] = self._fits(left, right)
         return known
@@ -128,71 +138,52 @@ class Vocabulary:
         """Ids of one word, given in byte symbols without the end mark."""
         text = word + _END if self.suffix else word
         n = len(text)
+        lengths, shorter = self.lengths, self.shorter
         dead = bytearray(n + 1)
         path: list[int] = []
         starts: list[int] = []
         at = 0
-        token = self._longest(text, 0, n)
+        token = self._longest(text, 0)
         while at < n:
-            step = -1
             while token >= 0:
-                end = at + len(self.inner[token])
+                end = at + lengths[token]
                 if not dead[end] and (not path or self.fits(path[-1], token)):
-                    step = end
                     break
-                token = self._longest(text, at, end - 1)
-            if step >= 0:
+                token = shorter[token]
+            if token >= 0:
                 path.append(token)
                 starts.append(at)
-                at = step
+                at = end
                 if at < n:
-                    token = self._longest(text, at, n)
+                    token = self._longest(text, at)
             else:
                 dead[at] = 1
                 if not path:
                     raise ValueError(f"no encoding of {word!r}")
                 at = starts.pop()
-                last = path.pop()
-                token = self._longest(text, at, at + len(self.inner[last]) - 1)
+                token = shorter[path.pop()]
         return path
 
-    def _longest(self, text: str, start: int, end: int) -> int:
-        """The longest token that stands at start and ends by end, or -1."""
-        stretch = text[start:end]
-        length = self.trie.longest_prefix(stretch)
+    def _longest(self, text: str, start: int) -> int:
+        """The longest token that stands at start, or -1."""
+        length = self.trie.longest_prefix(text[start : start + self.most])
         while length > 0:
-            found = self.trie.get(stretch[:length], -1)
+            found = self.trie.get(text[start : start + length], -1)
             if found >= 0:
                 return found
             length -= 1
         return -1
 
-    def _plain(self, text: str) -> list[int]:
+    def split(self, text: str) -> list[str]:
+        """The words of a text without special tokens."""
+        if not _OTHER.search(text):
+            return self.latin_words.findall(text.lower())
         text = self.space.sub(" ", unicodedata.normalize("NFC", text))
-        text = "".join(map(str.lower, text)) if "Σ" in text else text.lower()
-        out: list[int] = []
-        symbols, known = self.symbols, self.known
-        for word in self.words.findall(text):
-            ids = known.get(word)
-            if ids is None:
-                ids = self.encode_word("".join([symbols[b] for b in word.encode("utf-8")]))
-                if len(known) >= MEMO_ENTRIES:
-                    known.clear()
-                known[word] = ids
-            out += ids
-        return out
-
-    def encode_chunk(self, text: str) -> list[int]:
-        """Ids of a stretch of text; special tokens in it are taken first, as they stand."""
-        if self.specials is None:
-            return self._plain(text)
-        out: list[int] = []
-        at = 0
-        for m in self.specials.finditer(text):
-            out += self._plain(text[at : m.start()])
-            out.append(self.special[m[0]])
-            at = m.end()
-        return out + self._plain(text[at:])
+        return self.words.findall("".join(map(str.lower, text)) if "Σ" in text else text.lower())
+
+    def encode_split(self, word: str) -> list[int]:
+        """Ids of a word of split()."""
+        return self.encode_word(word if word.isalpha() and word.isascii() else "".join([self.symbols[b] for b in word.encode("utf-8")]))
 
     def decode(self, ids: list[int]) -> str:
         """Tokens as they are written in the vocabulary, with one space between: what a file without a decoder gives."""
@@ -200,28 +191,40 @@ class Vocabulary:
 
 
 class Encoder:
-    """Vocabulary with a memo from chunks of text (no white space inside) to (ids as text, tokens as text, number)."""
+    """Vocabulary with a memo from words to (ids as text, tokens as text)."""
 
     def __init__(self, path: str) -> None:
         self.vocabulary = Vocabulary(path)
-        self.memo: dict[str, tuple[str, str, int]] = {}
+        self.memo: dict[str, tuple[str, str]] = {}
 
-    def chunk(self, text: str) -> tuple[str, str, int]:
-        ids = self.vocabulary.encode_chunk(text)
-        got = (" ".join(map(str, ids)), self.vocabulary.decode(ids), len(ids))
+    def _word(self, word: str) -> tuple[str, str]:
+        ids = self.vocabulary.encode_split(word)
+        got = (" ".join(map(str, ids)), self.vocabulary.decode(ids))
         if len(self.memo) >= MEMO_ENTRIES:
             self.memo.clear()
-        self.memo[text] = got
+        self.memo[word] = got
         return got
 
+    def _parts(self, text: str) -> list[tuple[str, str]]:
+        get, word = self.memo.get, self._word
+        return [get(w) or word(w) for w in self.vocabulary.split(text)]
+
     def text(self, text: str) -> tuple[str, str, int]:
-        """Ids and decoded tokens, each joined by one space, and the number of ids, of a whole text."""
-        if _ODD_SPACE.search(text):
-            return self.chunk(text)
-        memo = self.memo
-        parts = [memo.get(c) or self.chunk(c) for c in text.split()]
-        parts = [p for p in parts if p[2]]
-        return " ".join([p[0] for p in parts]), " ".join([p[1] for p in parts]), sum([p[2] for p in parts])
+        """Ids and decoded tokens, each joined by one space, and the number of ids, of a whole text; special tokens in it are taken first, as they stand."""
+        own = self.vocabulary
+        if own.specials is None or "<" not in text:
+            parts = self._parts(text)
+        else:
+            parts, at = [], 0
+            for m in own.specials.finditer(text):
+                parts += self._parts(text[at : m.start()])
+                parts.append((str(own.special[m[0]]), m[0]))
+                at = m.end()
+            parts += self._parts(text[at:])
+        if not parts:
+            return "", "", 0
+        ids = " ".join([p[0] for p in parts])
+        return ids, " ".join([p[1] for p in parts]), ids.count(" ") + 1
 
     def ids(self, text: str) -> list[int]:
         joined = self.text(text)[0]
