@@ -128,6 +128,16 @@ def test_sketch_bound():
                 assert len(np.intersect1d(jaccard.keys_of(a, 80, frequent), jaccard.keys_of(b, 80, frequent)))
 
 
+def test_bit_sketches_never_refuse_near_sets():
+    rng = np.random.default_rng(9)
+    sets = [np.unique(rng.integers(0, 1 << 40, n).astype(np.uint64)) for n in (30, 33, 64, 65, 120, 3000)]
+    sets += [np.unique(np.concatenate((s[: int(len(s) * 0.93)], rng.integers(0, 1 << 40, 1 + len(s) // 20).astype(np.uint64)))) for s in sets]
+    sizes = np.array([len(s) for s in sets])
+    found = {tuple(sorted(p)) for i, j in jaccard.near_pairs(sizes, np.arange(len(sets)), [jaccard.bit_sketch(s) for s in sets], 80) for p in zip(i.tolist(), j.tolist(), strict=True)}
+    near = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if 100 * (both := len(np.intersect1d(sets[i], sets[j]))) >= 80 * (sizes[i] + sizes[j] - both)}
+    assert near and near <= found and len(found) < len(near) + 4
+
+
 # searches
 
 

@@ -13,8 +13,9 @@ empty blocks than spares must share a block that isn't empty with each near text
 consist of frequent passages, or are short) are also joined with each other by sketches of all their shingles. No pair is
 lost either way, whatever counts as frequent.
 
-Of the texts that share a block, all are compared with the first of them. What these links don't connect is compared
-in full, so that components are exact without listing all pairs of a group of copies.
+Of the texts that share a block, all are compared with the first of them. What these links don't connect is gone through
+pair by pair with bit sketches (each shingle flips one bit, and again the Hamming distance is a lower bound), and what
+these allow is compared in full: components are exact without listing all pairs of a group of copies.
 """
 
 from __future__ import annotations
@@ -37,9 +38,11 @@ WORDS, PERCENT = 5, 80
 RATIO = 1.5
 #: A shingle is frequent if it is in this part (and number) of the different texts that a task reads in a row, so any
 #: that is in this part of all texts is found; the most frequent ones are told to all tasks (8 bytes each).
-FREQUENT, LEAST_FREQUENT, TOLD = 0.002, 5, 200_000
+FREQUENT, LEAST_FREQUENT, TOLD = 0.0008, 3, 200_000
 #: Shingles that a task counts at once.
-COUNTED = 700_000
+COUNTED = 2_000_000
+#: Bits of the largest sketch by which pairs are refused before their sets are compared.
+MOST_BITS = 4096
 #: Sketches that a task holds before it passes them on.
 FLUSH = 500_000
 
@@ -350,14 +353,89 @@ def _unpacked(groups: DataFrame) -> DataFrame:
     return groups.select("mark", "members").mapInArrow(lean(run), "mark binary, first long, node long")
 
 
-def _unconnected(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """(a, b): pairs of members of one group (mark, first, node) that the links so far don't connect, apart from those with its first member, which are known."""
+def bit_sketch(found: np.ndarray) -> np.ndarray:
+    """The parity sketch of a set in 64-bit words: each shingle flips one bit. The number of bits is a power of two, twice the set's size at least, MOST_BITS at most."""
+    bits = min(MOST_BITS, max(64, 1 << (2 * len(found) - 1).bit_length()))
+    flipped = np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(flipped.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    """Rows of sketches at fewer words: what the same sets would have there."""
+    while sketch.shape[1] > words:
+        half = sketch.shape[1] // 2
+        sketch = sketch[:, :half] ^ sketch[:, half:]
+    return sketch
+
+
+def near_pairs(sizes: np.ndarray, groups: np.ndarray, sketch: list[np.ndarray], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j), i < j, of all pairs of different groups whose sizes and sketches allow the similarity."""
+    order = np.argsort(sizes, kind="stable")
+    words = np.array([len(x) for x in sketch])
+    for at in range(len(order) - 1):
+        i = order[at]
+        # partners no smaller than i, within the size bound
+        last = np.searchsorted(sizes[order], 100 * sizes[i] // percent, side="right")
+        rest = order[at + 1 : last]
+        rest = rest[groups[rest] != groups[i]]
+        hits = []
+        for w in np.unique(words[rest]):
+            some = rest[words[rest] == w]
+            least = min(int(w), int(words[i]))
+            differ = folded(np.stack([sketch[k] for k in some]), least) ^ folded(sketch[i][None], least)
+            hits.append(some[(100 + percent) * np.bitwise_count(differ).sum(axis=1, dtype=np.int64) <= (100 - percent) * (sizes[some] + sizes[i])])
+        found = np.concatenate(hits) if hits else rest
+        if len(found):
+            yield np.full(len(found), i), found
+
+
+def _unconnected(rows: DataFrame, roots: DataFrame, docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
+    """(a, b): pairs of members of one group (mark, first, node) that the links so far don't connect, apart from those
+    with its first member, which are known. Only pairs are given whose bit sketches differ in no more bits than near sets
+    may differ in shingles; groups are gone through pair by pair in memory, and no other pair leaves a task."""
     rows = rows.hint("merge").join(roots.hint("merge"), "node", "left").select("mark", "first", "node", F.coalesce("component", "node").alias("component"))
     rows = written(rows, "members")
     mixed = rows.groupBy("mark").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("mark")
-    rows = rows.hint("merge").join(mixed.hint("merge"), "mark").where("node <> first")
-    x, y = rows.select("mark", F.col("node").alias("a"), F.col("component").alias("ca")), rows.select("mark", F.col("node").alias("b"), F.col("component").alias("cb"))
-    return x.hint("merge").join(y.hint("merge"), "mark").where("a < b and ca <> cb").select("a", "b").distinct()
+    rows = written(rows.hint("merge").join(mixed.hint("merge"), "mark").where("node <> first").select("mark", "node", "component"), "mixed")
+    wanted = small(written(rows.select(F.col("node").alias(key)).distinct(), "mixed-nodes"))
+
+    def sketched(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            sets_ = [shingles(t, words) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets_], pa.int64()), pa.array([bit_sketch(x).tobytes() for x in sets_], pa.binary())], names=["node", "n", "sketch"])
+
+    bits = docs.join(wanted, key, "left_semi").dropDuplicates([key]).select(key, text).mapInArrow(lean(sketched), "node long, n long, sketch binary")
+    parts = partitions(docs.sparkSession)
+    dealt = rows.hint("merge").join(bits.hint("merge"), "node").select("mark", "node", "component", "n", "sketch").repartition(parts, "mark").sortWithinPartitions("mark")
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        mark, held = None, []
+
+        def pairs() -> Iterator[pa.RecordBatch]:
+            ids = np.array([h[0] for h in held])
+            a, b = [], []
+            for i, j in near_pairs(np.array([h[2] for h in held]), np.array([h[1] for h in held]), [np.frombuffer(h[3], np.uint64) for h in held], percent):
+                for x, y in zip(ids[i].tolist(), ids[j].tolist(), strict=True):
+                    pair = (min(x, y), max(x, y))
+                    if pair not in seen:
+                        seen.add(pair)
+                        a.append(pair[0])
+                        b.append(pair[1])
+            if len(seen) > 500_000:
+                seen.clear()
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for batch in source:
+            for row in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                if row[0] != mark:
+                    yield from pairs()
+                    mark, held = row[0], []
+                held.append(row[1:])
+        yield from pairs()
+
+    return dealt.mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
@@ -436,7 +514,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     near = written(verified(pairs, docs, "doc_id", "text", words, percent).union(copies), "links")
     roots = components(near)
     groups = _unpacked(found.where("mark is not null").select("mark", "members").dropDuplicates(["mark"]))
-    more = written(_unconnected(groups, roots), "unconnected")
+    more = written(_unconnected(groups, roots, docs, "doc_id", "text", words, percent), "unconnected")
     if not more.isEmpty():
         late = verified(more, docs, "doc_id", "text", words, percent)
         roots = components(near.union(late))
