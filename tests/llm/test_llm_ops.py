@@ -239,7 +239,7 @@ def test_html_articles_of_the_table(tables):
 
 
 def test_licenses(spark):
-    rows = [(1, "a/LICENSE", "Licensed under the Apache License, Version 2.0."), (2, "a/b/x", "nothing to see"), (3, "a/b/y", "text\nReleased under the MIT License.\nmore"), (4, "c/z", None), (5, None, ""), (6, "a/c/d/e", "plain")]
+    rows = [(1, "a/LICENSE", "Licensed under the Apache License, Version 2.0."), (2, "a/b/x", "nothing to see"), (3, "a/b/y", "some text " * 30 + "\nReleased under the MIT License.\nmore"), (4, "c/z", None), (5, None, ""), (6, "a/c/d/e", "plain")]
     got = {r["doc_id"]: (r["license"], r["license_from"]) for r in licenses.licensed(frame(spark, rows, "doc_id long, path string, text string")).collect()}
     assert got == {1: ("Apache-2.0", "own"), 2: ("Apache-2.0", "inherited"), 3: ("MIT", "own"), 4: (None, "none"), 5: (None, "none"), 6: ("Apache-2.0", "inherited")}
     scanner = licenses.Scanner(10, {})

@@ -82,7 +82,7 @@ def budgets(leaves: DataFrame, percent: int = PERCENT, epochs: int = EPOCHS, dom
 
 def _place(seed: int, epoch: str = "_whole") -> Column:
     """60 bits of the seeded order of an epoch."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(epoch).cast("string"), F.col("doc_id").cast("string"))), 1, 15), 16, 10).cast("long")
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(epoch).cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
 
 
 def mix(docs: DataFrame, percent: int = PERCENT, epochs: int = EPOCHS, seed: int = SEED, **weights: dict[str, int]) -> DataFrame:
@@ -138,7 +138,7 @@ langs AS (SELECT domain, lang, sum(cap)::BIGINT AS cap, CASE lang {cases} ELSE 1
 {level("m", "(SELECT langs.*, t.budget AS total FROM langs JOIN t ON t.domain = langs.domain)", "domain", "lang").strip()},
 {level("b", "(SELECT leaves.domain, leaves.lang, leaves.source, leaves.tokens, leaves.cap, 1 AS weight, m.budget AS total FROM leaves JOIN m ON m.domain = leaves.domain AND m.lang = leaves.lang)", "domain, lang", "source").strip()},
 p AS (SELECT d.*, (b.budget // b.tokens) AS whole, b.budget % b.tokens AS rest,
-       ('0x' || substr(md5('{seed}:' || (b.budget // b.tokens)::VARCHAR || ':' || d.doc_id::VARCHAR), 1, 15))::BIGINT AS place
+       ('0x' || substr(md5('{seed}:' || (b.budget // b.tokens)::VARCHAR || ':' || coalesce(d.doc_id::VARCHAR, '')), 1, 15))::BIGINT AS place
       FROM d JOIN b ON b.domain = d.domain AND b.lang = d.lang AND b.source = d.source),
 r AS (SELECT *, sum(n) OVER (PARTITION BY domain, lang, source ORDER BY place, doc_id, n ROWS UNBOUNDED PRECEDING) AS running FROM p),
 e AS (SELECT *, unnest(generate_series(0, (whole + CASE WHEN running <= rest THEN 1 ELSE 0 END - 1)::BIGINT)) AS epoch FROM r)
