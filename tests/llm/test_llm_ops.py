@@ -159,6 +159,23 @@ def test_topk_equals_brute_force(spark):
     assert topk.search(df.limit(0), F.col("_id") % 100 == 0).count() == 0
 
 
+def test_topk_with_every_row_repeated(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(k), [float(x) for x in v]) for k, v in enumerate(rng.standard_normal((300, 8)))]
+    rows += rows + [(7, [float(c) for c in 3 * rng.standard_normal(8)]) for _ in range(15)] + [(8, [9.0] * 8)] * 12
+    exact = [(k, np.floor(1024 * np.array(v, np.float32).astype(float)).astype(np.int64)) for k, v in rows]
+    expected = set()
+    for q in (0, 100, 200):
+        best = {}
+        for own in (v for k, v in exact if k == q):
+            for k, v in exact:
+                if k != q:
+                    best[k] = max(best.get(k, -(2**63)), int(own @ v))
+        expected |= {(q, rank, k, s) for rank, (k, s) in enumerate(sorted(best.items(), key=lambda x: (-x[1], x[0]))[:10], 1)}
+    got = topk.search(frame(spark, rows, "vec_id long, embedding array<float>"), F.col("_id") % 100 == 0).collect()
+    assert len(got) == 30 and {tuple(r) for r in got} == expected
+
+
 def test_topk_walk_stops_early_and_right():
     rng = np.random.default_rng(4)
     rows = rng.integers(-1000, 1000, (3000, 3))

@@ -49,9 +49,10 @@ class Lists:
         self.order = np.argsort(vectors, axis=0, kind="stable")
         self.floats = vectors.astype(np.float64)
         self.exact = float(np.abs(vectors).max(initial=0)) * vectors.shape[1]
+        self.repeated = len(np.unique(ids)) < len(ids)
 
     def top(self, query_id: int, query: np.ndarray, k: int, floor: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of at most k vectors other than the query's own with the highest scores (ties to smaller ids), without those that score under floor."""
+        """(ids, scores) of at most k different ids other than the query's own with the highest scores (ties to smaller ids), without those that score under floor. Of a repeated id the highest score counts."""
         n = len(self.ids)
         used = np.flatnonzero(query)
         weights = query[used]
@@ -78,9 +79,11 @@ class Lists:
             if floor is not None:
                 keep &= got >= floor
             ids, scores = np.concatenate((ids, self.ids[fresh][keep])), np.concatenate((scores, got[keep]))
-            if len(ids) > k:
-                order = np.lexsort((ids, ~scores))[:k]  # ~x falls as x grows, without leaving 64 bits
-                ids, scores = ids[order], scores[order]
+            if len(ids) > k or self.repeated:
+                order = np.lexsort((ids, ~scores))  # ~x falls as x grows, without leaving 64 bits
+                if self.repeated:  # copies must not fill the k places, nor raise the floor
+                    order = order[np.sort(np.unique(ids[order], return_index=True)[1])]
+                ids, scores = ids[order[:k]], scores[order[:k]]
             if bound is not None:
                 if floor is not None and bound < floor:
                     break
