@@ -374,6 +374,15 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.keep_clean(clashing, labels).columns == clashing.columns
 
 
+def test_toxicity_takes_all_candidates(spark, monkeypatch):
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    whole = toxicity.train(docs, labels)
+    monkeypatch.setattr(toxicity, "CANDIDATES", 1)
+    joined = toxicity.train(docs, labels)
+    assert len(whole.words) > 1 and joined == whole
+
+
 # mixing
 
 

@@ -34,8 +34,10 @@ PRIOR, LEAST_PRIOR = 500.0, 0.5
 #: Least z score of a candidate; least number of toxic documents with contexts of their own of a word of the lexicon; and
 #: the odds against chance, over all words of the vocabulary, that such a word must have (natural logarithm).
 Z_COUNT, LEAST_CONTEXTS, AGAINST_CHANCE = 1.5, 3, 2.0
-#: Most words that may be candidates: those of the highest z. A limit on the model's size, not on rows.
+#: Candidates that are sent to the workers as a set; more are joined, with the same results.
 CANDIDATES = 50_000
+#: Words of the lexicon that may be broadcast; a larger one is an error, never cut.
+LEXICON = 1_000_000
 #: Log-odds are held in these bounds, so that no single word outweighs all else.
 HIGHEST = 8.0
 #: Distinct words that a task counts before it passes them on.
@@ -144,24 +146,49 @@ def _word_counts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(lean(run), "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def _contexts(rows: DataFrame, candidates: set[bytes]) -> DataFrame:
-    """(word, toxic, contexts): in how many documents, by label, each candidate stands, where documents in which it
-    first stands between the same two words count once: copies of one text are one finding."""
-    shared = rows.sparkSession.sparkContext.broadcast(candidates)
+def _contexts(rows: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(word, toxic, contexts): in how many documents, by label, each candidate (word) stands, where documents in which
+    it first stands between the same two words count once: copies of one text are one finding."""
+    few = candidates.select("word").limit(CANDIDATES + 1).collect()
+    shared = rows.sparkSession.sparkContext.broadcast({r["word"].encode() for r in few}) if len(few) <= CANDIDATES else None
     schema = pa.schema([("word", pa.string()), ("toxic", pa.int32()), ("context", pa.string())])
 
     def found(source: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        known = shared.value
+        known = shared.value if shared is not None else None
         for batch in source:
             seen = set()
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = lower_words(text)
-                for w in known.intersection(words):
-                    i = words.index(w)
-                    seen.add((w.decode(), int(bool(toxic)), b" ".join(words[max(0, i - 1) : i + 2]).decode("utf-8", "replace")))
+                first = {w: i for i, w in zip(range(len(words) - 1, -1, -1), reversed(words), strict=True)} if known is None else {w: words.index(w) for w in known.intersection(words)}
+                for w, i in first.items():
+                    seen.add((w.decode("utf-8", "replace"), int(bool(toxic)), b" ".join(words[max(0, i - 1) : i + 2]).decode("utf-8", "replace")))
+                if len(seen) > FLUSH:
+                    yield from seen
+                    seen.clear()
             yield from seen
 
-    return rows.mapInArrow(lean(lambda source: batches(found(source), schema)), "word string, toxic int, context string").distinct().groupBy("word", "toxic").agg(F.count(F.lit(1)).alias("contexts"))
+    each = rows.mapInArrow(lean(lambda source: batches(found(source), schema)), "word string, toxic int, context string")
+    if shared is None:
+        each = each.join(small(candidates.select("word")), "word", "left_semi")
+    return each.distinct().groupBy("word", "toxic").agg(F.count(F.lit(1)).alias("contexts"))
+
+
+def _lexicon(candidates: DataFrame, contexts: DataFrame, texts: dict[bool, float], vocabulary: int) -> DataFrame:
+    """(word, toxic, clean, odds) of the candidates whose contexts chance can't explain."""
+    n = lambda label: F.sum(F.when(F.col("toxic") == label, F.col("contexts")).otherwise(0))
+    pairs = contexts.groupBy("word").agg(n(1).alias("own_toxic"), n(0).alias("own_clean"))
+    schema = pa.schema([("word", pa.string()), ("toxic", pa.int64()), ("clean", pa.int64()), ("odds", pa.float64())])
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            toxic, clean = (batch.column(k).to_numpy(zero_copy_only=False).astype(float) for k in (3, 4))
+            odds = _odds(toxic, clean, texts[True], texts[False])
+            surprise = _surprise(toxic, clean, texts[True] / (texts[True] + texts[False]))
+            chosen = pa.array((toxic >= LEAST_CONTEXTS) & (surprise >= math.log(vocabulary) + AGAINST_CHANCE) & (odds > 0.5))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(odds)], schema=schema).filter(chosen)
+
+    joined = candidates.join(pairs, "word").select("word", "toxic", "clean", "own_toxic", "own_clean")
+    return joined.mapInArrow(lean(run), "word string, toxic long, clean long, odds double")
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
@@ -182,22 +209,17 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     prior = LEAST_PRIOR + PRIOR * (t + c) / (all_toxic + all_clean)
     odds = F.log((t + prior) / F.lit(all_toxic)) - F.log((c + prior) / F.lit(all_clean))
     z = odds / F.sqrt(1 / (t + prior) + 1 / (c + prior))
-    top = counts.withColumn("z", z).where((F.col("z") >= Z_COUNT) & (t >= LEAST_CONTEXTS)).orderBy(F.desc("z"), "word").limit(CANDIDATES).collect()
-    if not top:
+    candidates = written(counts.withColumn("z", z).where((F.col("z") >= Z_COUNT) & (t >= LEAST_CONTEXTS)).select("word", "toxic", "clean"), "toxic-candidates")
+    if candidates.isEmpty():
         return model
-    own = {r["word"]: (r["toxic"], r["clean"]) for r in top}
-    contexts: dict[str, list[int]] = {w: [0, 0] for w in own}
-    for r in _contexts(rows, {w.encode() for w in own}).collect():  # two rows a candidate at most
-        contexts[r["word"]][r["toxic"]] = r["contexts"]
-    words = sorted(own)
-    pairs = np.array([contexts[w] for w in words], float)
-    odds = _odds(pairs[:, 1], pairs[:, 0], texts[True], texts[False])
-    surprise = _surprise(pairs[:, 1], pairs[:, 0], texts[True] / (texts[True] + texts[False]))
-    chosen = (pairs[:, 1] >= LEAST_CONTEXTS) & (surprise >= math.log(vocabulary) + AGAINST_CHANCE) & (odds > 0.5)
-    model.words = {w.encode(): float(min(s, HIGHEST)) for w, s, k in zip(words, odds, chosen, strict=True) if k}
+    lexicon = written(_lexicon(candidates, _contexts(rows, candidates), texts, vocabulary), "toxic-lexicon")
+    chosen = sorted(lexicon.limit(LEXICON + 1).collect(), key=lambda r: r["word"])
+    if len(chosen) > LEXICON:
+        raise ValueError(f"the lexicon has more than {LEXICON} words, too many to broadcast")
+    model.words = {r["word"].encode(): float(min(r["odds"], HIGHEST)) for r in chosen}
     if not model.words:
         return model
-    inside = np.array([own[w.decode()] for w in model.words], float)
+    inside = np.array([(r["toxic"], r["clean"]) for r in chosen], float)
     rest = np.log((all_toxic - inside[:, 0].sum() + 1) / (all_toxic + 1)) - np.log((all_clean - inside[:, 1].sum() + 1) / (all_clean + 1))
     model.drift = float(min(-0.02, rest))
     # the scale and rate of chance segments in clean text
