@@ -202,6 +202,31 @@ def test_neighbours_recall_and_values(spark):
     assert [(r["query_id"], r["rank"]) for r in sorted(few, key=lambda r: r["rank"])] == [(0, 1), (0, 2), (0, 3)]
 
 
+@pytest.mark.parametrize("n", [200_000, 1_000_000, 10_000_000])
+def test_neighbours_recall_of_large_tables(n):
+    """The width of n vectors on 200,000 random directions: more vectors have nearer neighbours, which are found more often."""
+    rng, width = np.random.default_rng(3), neighbours.width_for(n)
+    rows = rng.standard_normal((200_000, 64), dtype=np.float32)
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    tables = neighbours.Tables(64, width, 1.41 * math.sqrt(2))
+    hits = 0
+    for i in range(40):
+        score = rows @ rows[i]
+        score[i] = -9
+        near = rows[np.argpartition(-score, 10)[:10]].astype(float)
+        found = np.zeros(10, bool)
+        for t in range(neighbours.TABLES):
+            place = tables.places(rows[i][None].astype(float), t)[0]
+            steps = neighbours.probes(place - np.floor(place), 10 * width)
+            cells = np.repeat(np.floor(place)[None], len(steps), axis=0)
+            for cell, step in zip(cells, steps, strict=True):
+                for direction, by in step:
+                    cell[direction] += by
+            found |= np.isin(tables.keys(np.floor(tables.places(near, t)), t), tables.keys(cells, t))
+        hits += found.sum()
+    assert hits >= 0.9 * 400
+
+
 # warc
 
 

@@ -25,6 +25,8 @@ from treeloom.llm import blocks
 from treeloom.llm.common import lean, partitions, small, written
 
 TABLES, SALTS, SEED = 8, 8, 29
+#: Most directions of a table: with more, tables and probes as they are reach too few cells for a recall of 0.9.
+WIDEST = 8
 #: Vectors from which the cell size is fitted: those of the smallest hash of their id.
 SAMPLE = 1000
 #: Vectors that a task compares with the queries of a bucket at once.
@@ -34,8 +36,8 @@ FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", p
 
 
 def width_for(n: int) -> int:
-    """Directions of a table for n vectors: half the bits of n, so that buckets stay populated."""
-    return int(min(16, max(4, round(math.log2(max(n, 2)) / 2))))
+    """Directions of a table for n vectors: half the bits of n, so that buckets stay populated, up to WIDEST, so that recall doesn't fall as n grows."""
+    return int(min(WIDEST, max(4, round(math.log2(max(n, 2)) / 2))))
 
 
 def probes(place: np.ndarray, most: int) -> list[tuple[tuple[int, int], ...]]:
