@@ -10,11 +10,12 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from treeloom.session import shared_folder
 
-#: Rows of a two-column key table that may be broadcast (about 32 MB); larger ones are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of a table that may be broadcast; larger ones are joined by a shuffle.
+BROADCAST_BYTES = 32_000_000
 
 #: Rows of an Arrow batch between the engine and Python: texts can be long.
 BATCH_ROWS = 1000
@@ -54,15 +55,36 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
+    path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most ``rows`` rows, else df as it is, for a shuffled join. df should be a cheap or written table."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("merge")
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def forget(table: DataFrame) -> None:
+    """Delete a table that written() returned; nothing reads it any more."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table._written_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _width(column: F.Column, kind: T.DataType) -> F.Column:
+    """About how many bytes a value takes."""
+    if isinstance(kind, T.StructType):
+        return sum((_width(column.getField(f.name), f.dataType) for f in kind), F.lit(16))
+    if isinstance(kind, T.StringType | T.BinaryType):
+        return F.coalesce(F.octet_length(column), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType):
+        each = F.transform(column, lambda x: _width(x, kind.elementType).cast("long"))
+        return F.coalesce(F.aggregate(each, F.lit(32).cast("long"), lambda a, x: a + x), F.lit(16))
+    return F.lit(8)
+
+
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if its rows take at most that many bytes, else df as it is, for a shuffled join. df should be a cheap or written table."""
+    size = sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema), F.lit(16))
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= most else df.hint("merge")
 
 
 def partitions(spark: SparkSession) -> int:

@@ -13,24 +13,29 @@ empty blocks than spares must share a block that isn't empty with each near text
 consist of frequent passages, or are short) are also joined with each other by sketches of all their shingles. No pair is
 lost either way, whatever counts as frequent.
 
-Of the texts that share a block, all are compared with the first of them. What these links don't connect is gone through
-pair by pair with bit sketches (each shingle flips one bit, and again the Hamming distance is a lower bound), and what
-these allow is compared in full: components are exact without listing all pairs of a group of copies.
+What is joined are classes of equal sets, each once. A first round deals the first few blocks of each class only: there
+nearly all near sets meet, each with the first of its group, and their links give components. The second round deals all
+blocks, and groups whose classes are in one component already give nothing. Of the others, all pairs between different
+components are tested. Pairs are refused by a second parity sketch (each shingle flips one bit, and again the Hamming
+distance is a lower bound) before any text moves, and what it allows is compared in full: components are exact without
+listing the pairs of a group of copies.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import lean, partitions, small, small_batches, written
+from treeloom.llm.common import forget, free_name, lean, partitions, small, small_batches, written
 
 WORDS, PERCENT = 5, 80
 
@@ -45,40 +50,20 @@ COUNTED = 2_000_000
 MOST_BITS = 4096
 #: Sketches that a task holds before it passes them on.
 FLUSH = 500_000
+#: Blocks of each band that the first round deals.
+FIRST_BLOCKS = 6
+#: Pairs of one class that are verified in a row; classes in more pairs are sent once for each so many.
+HUB = 64
+#: Classes of a group that are compared with each other in one task; larger groups are dealt in squares of that side.
+SIDE = 1024
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-_bytes = np.random.default_rng(0x5E7).integers(1, 1 << 63, 256, dtype=np.int64).astype(np.uint64)
-_space = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2 ** 64, up to n at least; kept for texts of common lengths."""
-    if len(_powers[0]) >= n:
-        return _powers[0], _powers[1]
-    size = max(n, 1 << 17)
-    inverse = np.uint64(pow(int(_ODD), -1, 1 << 64))
-    tables = [np.cumprod(np.concatenate(([np.uint64(1)], np.full(size, base, np.uint64)))) for base in (_ODD, inverse)]
-    if size <= 1 << 22:
-        _powers[:] = tables
-    return tables[0], tables[1]
-
-
 def words_of(text: str) -> np.ndarray:
-    """A 64-bit hash of each word: A-Z lower-cased, words between ASCII white space. A polynomial over random values of
-    the bytes, read off from running sums, without a step for each word."""
-    raw = np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), np.uint8)
-    inside = ~_space[raw]
-    if not inside.any():
-        return np.zeros(0, np.uint64)
-    edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0, append=0))
-    begin, end = edge[::2], edge[1::2]
-    power, inverse = _power_tables(len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_bytes[raw] * power[: len(raw)], out=sums[1:])
-    return _mixed((sums[end] - sums[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
+    """A 64-bit hash of each word: A-Z lower-cased, words between ASCII white space."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -147,11 +132,16 @@ class Frequent:
         return np.delete(found, hit) if len(hit) else found
 
 
-def _sketched(found: np.ndarray, band: int, m: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, blocks that have shingles): hashes of (band, block, XOR of the block's shingles)."""
+def _sketched(found: np.ndarray, band: int, m: int, salt: int, first: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, blocks that have shingles): hashes of (band, block, XOR of the block's shingles); of the first blocks only if first is given."""
     if not len(found):
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     block = ((found >> np.uint64(20)) % np.uint64(m)).astype(np.uint16 if m < 1 << 16 else np.uint64)  # short numbers are sorted by radix
+    if first is not None:
+        chosen = np.flatnonzero(block < first)
+        block, found = block[chosen], found[chosen]
+        if not len(found):
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     order = np.argsort(block, kind="stable")
     dealt = block[order]
     begin = np.flatnonzero(np.concatenate(([True], dealt[1:] != dealt[:-1])))
@@ -162,17 +152,25 @@ def _sketched(found: np.ndarray, band: int, m: int, salt: int) -> tuple[np.ndarr
 def sketches(found: np.ndarray, band: int, percent: int, frequent: Frequent) -> np.ndarray:
     """The keys on which a set is joined in a band."""
     m, spare = blocks(band, percent)
-    keys, at = _sketched(frequent.without(found), band, m, 0)
+    keys, at = _sketched(frequent.without(found), band, m, 0, None)
     if m - len(at) <= spare:
         return keys
-    more, at = _sketched(found, band, m, 128)
+    more, at = _sketched(found, band, m, 128, None)
     if m - len(at) > spare:  # even so: its empty blocks count as well
         empty = np.setdiff1d(np.arange(m, dtype=np.uint64), at)
         more = np.concatenate((more, _mixed(_mixed(empty * np.uint64(4096) + np.uint64(band)) ^ np.uint64(0x5EED))))
     return np.concatenate((keys, more))
 
 
-def keys_of(found: np.ndarray, percent: int, frequent: Frequent) -> np.ndarray:
+def first_sketches(found: np.ndarray, band: int, percent: int, frequent: Frequent) -> np.ndarray:
+    """The keys of the first blocks of a band, with and without frequent shingles."""
+    m, _ = blocks(band, percent)
+    rest = frequent.without(found)
+    keys, _ = _sketched(rest, band, m, 0, FIRST_BLOCKS)
+    return keys if len(rest) == len(found) else np.concatenate((keys, _sketched(found, band, m, 128, FIRST_BLOCKS)[0]))
+
+
+def keys_of(found: np.ndarray, percent: int, frequent: Frequent, of_band: Callable = sketches) -> np.ndarray:
     """All join keys of a set: in its own band, and in the bands whose sets it may be the larger partner of."""
     n = len(found)
     edges = bands()
@@ -180,17 +178,33 @@ def keys_of(found: np.ndarray, percent: int, frequent: Frequent) -> np.ndarray:
     out = []
     while band >= 0 and 100 * (edges[band + 1] - 1) >= percent * n:
         if bound(band, percent) > 0:  # otherwise only equal sets are near enough, and those are classes already
-            out.append(sketches(found, band, percent, frequent))
+            out.append(of_band(found, band, percent, frequent))
         band -= 1
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-_SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("signature", pa.binary()), ("shingle", pa.int64()), ("times", pa.int64())])
+def bit_sketch(found: np.ndarray) -> np.ndarray:
+    """The parity sketch of a set in 64-bit words: each shingle flips one bit. The number of bits is a power of two, twice the set's size at least, MOST_BITS at most."""
+    bits = min(MOST_BITS, max(64, 1 << (2 * len(found) - 1).bit_length()))
+    flipped = np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(flipped.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    """Rows of sketches at fewer words: what the same sets would have there."""
+    while sketch.shape[1] > words:
+        half = sketch.shape[1] // 2
+        sketch = sketch[:, :half] ^ sketch[:, half:]
+    return sketch
+
+
+_SETS = "doc_id long, n_shingles long, signature binary, sketch binary, shingle long, times long"
 
 
 def sets(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
-    """(doc_id, n_shingles, signature, shingle, times): size and 128-bit hash of each text's set (no signature for empty
-    sets), with null in the last two; and frequent shingles of the texts that a task read in a row, with null in the first three."""
+    """(doc_id, n_shingles, signature, sketch, shingle, times): size, 128-bit hash and bit sketch of each text's set (null
+    for empty sets), with null in the last two; and frequent shingles of the texts that a task read in a row, with null in the others."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("signature", pa.binary()), ("sketch", pa.binary()), ("shingle", pa.int64()), ("times", pa.int64())])
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, seen = [], 0, set()
@@ -201,15 +215,16 @@ def sets(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
             times = np.diff(edge)
             many = times >= max(LEAST_FREQUENT, FREQUENT * len(held))
             found, times = every[edge[:-1][many]].astype(np.int64), times[many]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(found), pa.int64()), pa.nulls(len(found), pa.int64()), pa.nulls(len(found), pa.binary()), pa.array(found), pa.array(times)], schema=_SETS)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(len(found), f.type) for f in list(schema)[:4]), pa.array(found), pa.array(times)], schema=schema)
 
         for batch in source:
-            number, signature = [], []
+            number, signature, sketch = [], [], []
             for t in batch.column(1).to_pylist():
                 found = shingles(t, words)
                 number.append(len(found))
                 mark = xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None
                 signature.append(mark)
+                sketch.append(bit_sketch(found).tobytes() if mark else None)
                 if mark and mark not in seen:
                     seen.add(mark)
                     held.append(found)
@@ -219,11 +234,11 @@ def sets(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
                         held, size = [], 0
                         seen.clear()
             n = len(number)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(number, pa.int64()), pa.array(signature, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], schema=_SETS)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(number, pa.int64()), pa.array(signature, pa.binary()), pa.array(sketch, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], schema=schema)
         if held:
             yield from counted()
 
-    return docs.select(key, text).mapInArrow(lean(run), "doc_id long, n_shingles long, signature binary, shingle long, times long")
+    return docs.select(key, text).mapInArrow(lean(run), _SETS)
 
 
 def told(found: DataFrame) -> np.ndarray:
@@ -232,89 +247,88 @@ def told(found: DataFrame) -> np.ndarray:
     return rows.column(0).to_numpy().astype(np.uint64)
 
 
-def _dealt(docs: DataFrame, key: str, text: str, words: int, percent: int, buckets: int, frequent: np.ndarray) -> DataFrame:
-    """(bucket, keys, ids): the join keys of all texts, packed by bucket. Of equal sets within a task only the first is passed on."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(text, signature, node, component): a text of each class of nodes (node, component, first, signature). A key that
+    is repeated with other texts brings these as well; their signature tells them apart."""
+    of = nodes.select(F.col("first").alias("doc_id"), "signature", "node", "component")
+    return docs.join(small(of), "doc_id").select("text", "signature", "node", "component")
+
+
+def _dealt(texts: DataFrame, words: int, percent: int, buckets: int, frequent: Broadcast, of_band: Callable) -> DataFrame:
+    """(bucket, keys, ids, others): the join keys of all classes, packed by bucket, with their nodes, and the XOR of node and component."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Frequent(shared.value)
-        held_keys, held_ids, size, seen = [], [], 0, set()
+        known = Frequent(frequent.value)
+        held_keys, held_ids, held_others, size = [], [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             if not held_keys:
                 return
-            keys, ids = np.concatenate(held_keys), np.repeat(np.array(held_ids, np.int64), [len(k) for k in held_keys])
+            n = [len(k) for k in held_keys]
+            keys, ids, others = np.concatenate(held_keys), np.repeat(np.array(held_ids, np.int64), n), np.repeat(np.array(held_others, np.int64), n)
             bucket = ((keys >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
-            bucket, keys, ids = bucket[order], keys[order].astype(np.uint32), ids[order]
+            bucket, keys, ids, others = bucket[order], keys[order].astype(np.uint32), ids[order], others[order]
             edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
             for k in range(0, len(edge) - 1, 512):
                 part = list(zip(edge[k : k + 512], edge[k + 1 : k + 513], strict=False))
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[[a for a, _ in part]]), *(pa.array([x[a:b].tobytes() for a, b in part], pa.binary()) for x in (keys, ids))], names=["bucket", "keys", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[[a for a, _ in part]]), *(pa.array([x[a:b].tobytes() for a, b in part], pa.binary()) for x in (keys, ids, others))], names=["bucket", "keys", "ids", "others"])
             held_keys.clear()
             held_ids.clear()
+            held_others.clear()
 
         for batch in source:
-            for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = shingles(t, words)
-                if doc is None or not len(found):
-                    continue
-                mark = xxhash.xxh3_64_intdigest(found.tobytes())
-                if mark in seen:
+            for text, signature, node, component in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                found = shingles(text, words)
+                if not len(found) or xxhash.xxh3_128_digest(found.tobytes()) != signature:
                     continue
-                seen.add(mark)
-                keys = keys_of(found, percent, known)
+                keys = keys_of(found, percent, known, of_band)
                 if len(keys):
                     held_keys.append(keys)
-                    held_ids.append(doc)
+                    held_ids.append(node)
+                    held_others.append(node ^ component)
                     size += len(keys)
                 if size >= FLUSH:
                     yield from flush()
                     size = 0
-                if len(seen) > 200_000:
-                    seen.clear()
         yield from flush()
 
-    return docs.select(key, text).mapInArrow(lean(run), "bucket int, keys binary, ids binary")
+    return texts.mapInArrow(lean(run), "bucket int, keys binary, ids binary, others binary")
 
 
-def _groups(source: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids in order of key and id, begin of each group of two or more, their sizes) of one partition."""
-    keys, ids = [], []
+def _groups(source: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(nodes in order of key and node, their components, begin of each group of two or more, their sizes) of one partition."""
+    keys, ids, others = [], [], []
     for batch in source:
         # the bucket is the rest of the key; what few keys meet by chance are refused when sets are compared
         keys += [np.frombuffer(k, np.uint32).astype(np.uint64) | np.uint64(b << 32) for b, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
         ids += [np.frombuffer(b, np.int64) for b in batch.column(2).to_pylist()]
+        others += [np.frombuffer(b, np.int64) for b in batch.column(3).to_pylist()]
     if not keys:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return (np.zeros(0, np.int64),) * 4
     key, who = np.concatenate(keys), np.concatenate(ids)
-    del keys, ids
-    # most keys occur once: those go before the sort by id
+    component = np.concatenate(others) ^ who
+    del keys, ids, others
+    # most keys occur once: those go before the sort by node
     order = np.argsort(key, kind="stable")
-    key, who = key[order], who[order]
+    key, who, component = key[order], who[order], component[order]
     same = key[1:] == key[:-1]
     shared = np.concatenate(([False], same)) | np.concatenate((same, [False]))
-    key, who = key[shared], who[shared]
+    key, who, component = key[shared], who[shared], component[shared]
     order = np.lexsort((who, key))
-    key, who = key[order], who[order]
+    key, who, component = key[order], who[order], component[order]
     fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (who[1:] != who[:-1]))) if len(key) else np.zeros(0, bool)
-    key, who = key[fresh], who[fresh]
+    key, who, component = key[fresh], who[fresh], component[fresh]
     begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
     size = np.diff(np.append(begin, len(key)))
-    return who, begin[size > 1], size[size > 1]
+    return who, component, begin[size > 1], size[size > 1]
 
 
-_CANDIDATES = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("mark", pa.binary()), ("members", pa.binary())])
-
-
-def _candidates(dealt: DataFrame) -> DataFrame:
-    """Of the groups that share a key: (a, b) the first with every other; (mark, members) the different groups of three or more, packed, smallest member first."""
-
-    def rows(n: int, **columns: pa.Array) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in _CANDIDATES], schema=_CANDIDATES)
+def _starred(dealt: DataFrame) -> DataFrame:
+    """(a, b): the first of the classes that share a key with every other."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        who, begin, size = _groups(source)
+        who, _, begin, size = _groups(source)
         if not len(begin):
             return
         first = np.repeat(who[begin], size - 1)
@@ -325,99 +339,141 @@ def _candidates(dealt: DataFrame) -> DataFrame:
         keep = np.concatenate(([True], (first[1:] != first[:-1]) | (other[1:] != other[:-1])))
         first, other = first[keep], other[keep]
         for k in range(0, len(first), 100_000):
-            a, b = first[k : k + 100_000], other[k : k + 100_000]
-            yield rows(len(a), a=pa.array(a), b=pa.array(b))
-        groups: dict[bytes, bytes] = {}
-        for start, n in zip(begin[size > 2], size[size > 2], strict=True):
-            blob = who[start : start + n].tobytes()
-            groups.setdefault(xxhash.xxh3_128_digest(blob), blob)
-        found = list(groups.items())
-        for k in range(0, len(found), 1000):
-            part = found[k : k + 1000]
-            yield rows(len(part), mark=pa.array([m for m, _ in part], pa.binary()), members=pa.array([x for _, x in part], pa.binary()))
+            yield pa.RecordBatch.from_arrays([pa.array(first[k : k + 100_000]), pa.array(other[k : k + 100_000])], names=["a", "b"])
 
-    return dealt.mapInArrow(lean(run), "a long, b long, mark binary, members binary")
+    return dealt.mapInArrow(lean(run), "a long, b long")
 
 
-def _unpacked(groups: DataFrame) -> DataFrame:
-    """(mark, first, node) for each member of each packed group."""
+def _mixed_groups(dealt: DataFrame) -> DataFrame:
+    """(mark, nodes, components): the different groups of classes that share a key and are of more than one component, packed."""
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        who, component, begin, size = _groups(source)
+        if not len(begin):
+            return
+        end = begin + size
+        edges = np.stack((begin, end), 1).ravel()
+        # the last edge may lie behind the array
+        padded = np.append(component, component[-1:])
+        several = np.minimum.reduceat(padded, edges)[::2] != np.maximum.reduceat(padded, edges)[::2]
+        known: set[bytes] = set()
+        held: list[tuple[bytes, bytes, bytes]] = []
+        for a, b in zip(begin[several].tolist(), end[several].tolist(), strict=True):
+            nodes = who[a:b].tobytes()
+            mark = xxhash.xxh3_128_digest(nodes)
+            if mark not in known:
+                known.add(mark)
+                held.append((mark, nodes, component[a:b].tobytes()))
+            if len(held) >= 1000:
+                yield _row(held)
+                held = []
+        if held:
+            yield _row(held)
+
+    def _row(held: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*held, strict=True)], names=["mark", "nodes", "components"])
+
+    return dealt.mapInArrow(lean(run), "mark binary, nodes binary, components binary")
+
+
+def _bridges(groups: DataFrame) -> DataFrame:
+    """(a, b): the first class of each group with the first of every other component."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            for mark, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                who = np.frombuffer(blob, np.int64)
-                for k in range(0, len(who), 100_000):
-                    part = who[k : k + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([mark] * len(part), pa.binary()), pa.array(np.full(len(part), who[0])), pa.array(part)], names=["mark", "first", "node"])
+            pairs = set()
+            for nodes, components in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                who = np.frombuffer(nodes, np.int64)
+                first = who[np.unique(np.frombuffer(components, np.int64), return_index=True)[1]].tolist()
+                pairs.update((int(who[0]), x) for x in first if x != who[0])
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in pairs], pa.int64()) for k in range(2)], names=["a", "b"])
 
-    return groups.select("mark", "members").mapInArrow(lean(run), "mark binary, first long, node long")
+    return groups.select("nodes", "components").mapInArrow(lean(run), "a long, b long").distinct()
 
 
-def bit_sketch(found: np.ndarray) -> np.ndarray:
-    """The parity sketch of a set in 64-bit words: each shingle flips one bit. The number of bits is a power of two, twice the set's size at least, MOST_BITS at most."""
-    bits = min(MOST_BITS, max(64, 1 << (2 * len(found) - 1).bit_length()))
-    flipped = np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(flipped.astype(np.uint8), bitorder="little").view(np.uint64)
+def _unpacked(groups: DataFrame) -> DataFrame:
+    """(mark, square, side, node) for each class of each packed group: in groups of more than SIDE, each stretch of SIDE
+    classes meets itself (square (i, i), side 0 only) and each later stretch (square (i, j), sides 0 and 1)."""
+    names = ["mark", "square", "side", "node"]
 
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[bytes, int, int, np.ndarray]] = []
+        size = 0
 
-def folded(sketch: np.ndarray, words: int) -> np.ndarray:
-    """Rows of sketches at fewer words: what the same sets would have there."""
-    while sketch.shape[1] > words:
-        half = sketch.shape[1] // 2
-        sketch = sketch[:, :half] ^ sketch[:, half:]
-    return sketch
+        def out() -> pa.RecordBatch:
+            times = [len(h[3]) for h in held]
+            marks = pa.array([h[0] for h in held], pa.binary()).take(pa.array(np.repeat(np.arange(len(held)), times)))
+            return pa.RecordBatch.from_arrays([marks, *(pa.array(np.repeat(np.array([h[k] for h in held], t), times)) for k, t in ((1, np.int64), (2, np.int32))), pa.array(np.concatenate([h[3] for h in held]))], names=names)
+
+        for batch in source:
+            for mark, nodes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                who = np.frombuffer(nodes, np.int64)
+                stretches = range(0, len(who), SIDE)
+                for i, a in enumerate(stretches):
+                    for j, b in enumerate(stretches):
+                        for side, at in ((0, a),) if i == j else ((0, a), (1, b)) if i < j else ():
+                            held.append((mark, i * len(stretches) + j, side, who[at : at + SIDE]))
+                            size += len(held[-1][3])
+                            if size >= 32 * SIDE:
+                                yield out()
+                                held, size = [], 0
+        if held:
+            yield out()
+
+    return groups.select("mark", "nodes").mapInArrow(lean(run), "mark binary, square long, side int, node long")
 
 
-def near_pairs(sizes: np.ndarray, groups: np.ndarray, sketch: list[np.ndarray], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places (i, j), i < j, of all pairs of different groups whose sizes and sketches allow the similarity."""
+def near_pairs(sizes: np.ndarray, components: np.ndarray, sketch: list[np.ndarray], percent: int, sides: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of all pairs of different components (and, if sides are given and both occur, of different sides) whose sizes and sketches allow the similarity, each once."""
     order = np.argsort(sizes, kind="stable")
-    words = np.array([len(x) for x in sketch])
-    for at in range(len(order) - 1):
-        i = order[at]
-        # partners no smaller than i, within the size bound
-        last = np.searchsorted(sizes[order], 100 * sizes[i] // percent, side="right")
-        rest = order[at + 1 : last]
-        rest = rest[groups[rest] != groups[i]]
-        hits = []
-        for w in np.unique(words[rest]):
-            some = rest[words[rest] == w]
-            least = min(int(w), int(words[i]))
-            differ = folded(np.stack([sketch[k] for k in some]), least) ^ folded(sketch[i][None], least)
-            hits.append(some[(100 + percent) * np.bitwise_count(differ).sum(axis=1, dtype=np.int64) <= (100 - percent) * (sizes[some] + sizes[i])])
-        found = np.concatenate(hits) if hits else rest
+    sizes, components, rows = sizes[order], components[order], [sketch[k] for k in order]
+    sides = None if sides is None or (sides == sides[0]).all() else sides[order]
+    words = np.array([len(x) for x in rows])
+    at_words = {w: folded_to(rows, words, int(w)) for w in np.unique(words)}
+    last = np.searchsorted(sizes, 100 * sizes // percent, side="right")
+    for i in range(len(order) - 1):
+        # partners no smaller than i, within the size bound; their sketches are as long or longer
+        begin, end = i + 1, int(last[i])
+        fit = components[begin:end] != components[i]
+        if sides is not None:
+            fit &= sides[begin:end] != sides[i]
+        fit = np.flatnonzero(fit) + begin
+        if not len(fit):
+            continue
+        start, at = at_words[words[i]]
+        differ = np.bitwise_count(at[fit - start] ^ at[i - start]).sum(axis=1, dtype=np.int64)
+        found = fit[(100 + percent) * differ <= (100 - percent) * (sizes[fit] + sizes[i])]
         if len(found):
-            yield np.full(len(found), i), found
+            yield np.full(len(found), order[i]), order[found]
 
 
-def _unconnected(rows: DataFrame, roots: DataFrame, docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
-    """(a, b): pairs of members of one group (mark, first, node) that the links so far don't connect, apart from those
-    with its first member, which are known. Only pairs are given whose bit sketches differ in no more bits than near sets
-    may differ in shingles; groups are gone through pair by pair in memory, and no other pair leaves a task."""
-    rows = rows.hint("merge").join(roots.hint("merge"), "node", "left").select("mark", "first", "node", F.coalesce("component", "node").alias("component"))
-    rows = written(rows, "members")
-    mixed = rows.groupBy("mark").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("mark")
-    rows = written(rows.hint("merge").join(mixed.hint("merge"), "mark").where("node <> first").select("mark", "node", "component"), "mixed")
-    wanted = small(written(rows.select(F.col("node").alias(key)).distinct(), "mixed-nodes"))
+def folded_to(rows: list[np.ndarray], words: np.ndarray, least: int) -> tuple[int, np.ndarray]:
+    """(place of the first row with that many words, all rows from there on folded to that many); rows are in order of size, so of words."""
+    start = int(np.searchsorted(words, least))
+    return start, np.concatenate([folded(np.stack(rows[a:b]), least) for a, b in _stretches(words, start)])
+
+
+def _stretches(words: np.ndarray, start: int) -> Iterator[tuple[int, int]]:
+    edge = [start, *(np.flatnonzero(np.diff(words[start:])) + start + 1).tolist(), len(words)]
+    yield from zip(edge[:-1], edge[1:], strict=True)
 
-    def sketched(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
-            sets_ = [shingles(t, words) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets_], pa.int64()), pa.array([bit_sketch(x).tobytes() for x in sets_], pa.binary())], names=["node", "n", "sketch"])
 
-    bits = docs.join(wanted, key, "left_semi").dropDuplicates([key]).select(key, text).mapInArrow(lean(sketched), "node long, n long, sketch binary")
-    parts = partitions(docs.sparkSession)
-    dealt = rows.hint("merge").join(bits.hint("merge"), "node").select("mark", "node", "component", "n", "sketch").repartition(parts, "mark").sortWithinPartitions("mark")
+def _allowed(groups: DataFrame, nodes: DataFrame, percent: int, parts: int) -> DataFrame:
+    """(a, b): pairs of classes of one group but different components whose bit sketches differ in no more bits than near
+    sets may differ in shingles. Groups are gone through in memory, at most 2 * SIDE classes at once, and no other pair leaves a task."""
+    rows = _unpacked(groups).hint("merge").join(small(nodes.select("node", "component", F.col("n_shingles").alias("n"), "sketch")), "node")
+    dealt = rows.select("mark", "square", "side", "node", "component", "n", "sketch").repartition(parts, "mark", "square").sortWithinPartitions("mark", "square")
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         mark, held = None, []
 
         def pairs() -> Iterator[pa.RecordBatch]:
-            ids = np.array([h[0] for h in held])
+            side, node, component, n, sketch = zip(*held, strict=True)
             a, b = [], []
-            for i, j in near_pairs(np.array([h[2] for h in held]), np.array([h[1] for h in held]), [np.frombuffer(h[3], np.uint64) for h in held], percent):
-                for x, y in zip(ids[i].tolist(), ids[j].tolist(), strict=True):
-                    pair = (min(x, y), max(x, y))
+            for i, j in near_pairs(np.array(n), np.array(component), [np.frombuffer(x, np.uint64) for x in sketch], percent, np.array(side)):
+                for k, m in zip(i.tolist(), j.tolist(), strict=True):
+                    pair = (min(node[k], node[m]), max(node[k], node[m]))
                     if pair not in seen:
                         seen.add(pair)
                         a.append(pair[0])
@@ -428,42 +484,72 @@ def _unconnected(rows: DataFrame, roots: DataFrame, docs: DataFrame, key: str, t
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for batch in source:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                if row[0] != mark:
-                    yield from pairs()
-                    mark, held = row[0], []
-                held.append(row[1:])
-        yield from pairs()
+            for row in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+                if row[:2] != mark:
+                    if held:
+                        yield from pairs()
+                    mark, held = row[:2], []
+                held.append(row[2:])
+        if held:
+            yield from pairs()
 
     return dealt.mapInArrow(lean(run), "a long, b long").distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
+def _refused(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The rows (a, b) of pairs whose sizes and bit sketches allow the similarity."""
+    of = lambda side: small(nodes.select(F.col("node").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}")))
+    both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "sketch_a", "n_b", "sketch_b")
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            keep = []
+            for n, x, m, y in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True):
+                fits = 100 * min(n, m) >= percent * max(n, m)
+                if fits:
+                    x, y = np.frombuffer(x, np.uint64)[None], np.frombuffer(y, np.uint64)[None]
+                    words = min(x.shape[1], y.shape[1])
+                    fits = (100 + percent) * int(np.bitwise_count(folded(x, words) ^ folded(y, words)).sum()) <= (100 - percent) * (n + m)
+                keep.append(fits)
+            chosen = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(chosen), batch.column(1).filter(chosen)], names=["a", "b"])
+
+    return both.mapInArrow(lean(run), "a long, b long")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
     """The rows (a, b) of pairs whose whole sets have the similarity.
 
-    Each text is sent once for each pair it is b in, and once for all pairs it is a in; pairs of one a that is in very
-    many of them are split among tasks by the engine.
+    Each text is sent once for each pair it is b in, and once for HUB pairs that it is a in: a hub's pairs are dealt to
+    as many tasks as they need.
     """
-    of = lambda side: small(written(pairs.select(F.col(side).alias(key)).distinct(), "candidates-of"))
-    left = docs.join(of("a"), key, "left_semi").select(F.col(key).alias("a"), F.col(text).alias("ta"))
-    right = docs.join(of("b"), key, "left_semi").select(F.col(key).alias("b"), F.col(text).alias("tb"))
-    joined = pairs.hint("merge").join(right.hint("merge"), "b").hint("merge").join(left.hint("merge"), "a").select("a", "b", "ta", "tb")
+    hubs = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / HUB).alias("salts"))
+    pairs = pairs.hint("merge").join(small(hubs), "a").withColumn("salt", F.pmod(F.xxhash64("b"), "salts"))
+    pairs = written(pairs.select("a", "salt", "b"), "salted")
+    ends = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
+    found = _texts(docs, nodes.join(small(ends), "node", "left_semi")).select("node", "text", "signature")
+    mine = pairs.select("a", "salt").distinct().withColumn("b", F.lit(None).cast("long")).withColumn("node", F.col("a"))
+    both = mine.union(pairs.withColumn("node", F.col("b"))).hint("merge").join(found.hint("merge"), "node")
+    dealt = both.select("a", "salt", "b", "text", "signature").repartition(partitions(docs.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, of_last = None, None
+        hub, of_hub = None, None
         for batch in source:
-            a, b, ta, tb = (batch.column(k).to_pylist() for k in range(4))
-            keep = []
-            for k in range(len(a)):
-                if a[k] != last:
-                    last, of_last = a[k], shingles(ta[k], words)
-                other = shingles(tb[k], words)
-                both = len(np.intersect1d(of_last, other, assume_unique=True))
-                keep.append(both > 0 and 100 * both >= percent * (len(of_last) + len(other) - both))
-            chosen = pa.array(keep)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(chosen), batch.column(1).filter(chosen)], names=["a", "b"])
+            a_out, b_out = [], []
+            for a, b, text, signature in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4)), strict=True):
+                found = shingles(text, words)
+                if xxhash.xxh3_128_digest(found.tobytes()) != signature:
+                    continue  # another text under a repeated key
+                if b is None:
+                    hub, of_hub = a, found
+                elif a == hub:
+                    both = len(np.intersect1d(of_hub, found, assume_unique=True))
+                    if both > 0 and 100 * both >= percent * (len(of_hub) + len(found) - both):
+                        a_out.append(a)
+                        b_out.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
 
-    return joined.mapInArrow(lean(run), "a long, b long")
+    return dealt.mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -475,59 +561,120 @@ def components(edges: DataFrame) -> DataFrame:
     edges = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     state = None
     while True:
+        before = edges
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = large.where("u <> v").distinct()
         # small star: the smaller neighbours of each node, and the node itself, go to the smallest of them
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        small = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        edges = written(small.where("u <> v").distinct(), "edges")
+        star = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        edges = written(star.where("u <> v").distinct(), "edges")
+        forget(before)
         now = edges.agg(F.count(F.lit(1)), F.sum("v"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
+        if now == state or not now[0]:
             break
         state = now
     roots = edges.groupBy("u").agg(F.min("v").alias("component"))
     return roots.select(F.col("u").alias("node"), "component").union(roots.select(F.col("component").alias("node"), "component").distinct())
 
 
+def _resolved(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, classes) of docs (doc_id, text): (doc_id, n_shingles, signature) per row, and (signature, first, component),
+    the smallest key of each class of equal sets and the number of the class that stands for its component."""
+    spark = docs.sparkSession
+    n = partitions(spark)
+    found = written(sets(docs, "doc_id", "text", words), "sets")
+    own = found.where("times is null").select("doc_id", "n_shingles", "signature")
+    grouped = found.where("signature is not null and doc_id is not null").groupBy("signature").agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+    numbered = grouped.select(F.monotonically_increasing_id().alias("node"), "*")
+    nodes = written(numbered.select("node", F.col("node").alias("component"), "first", "signature", "n_shingles", "sketch"), "nodes")
+    frequent = spark.sparkContext.broadcast(told(found))
+    # the first blocks, then all of them, where components differ: first classes of components, then all pairs
+    dealt = _dealt(_texts(docs, nodes), words, percent, 3 * n, frequent, first_sketches).repartition(n, "bucket")
+    nodes = _linked(written(_refused(_starred(dealt).distinct(), nodes, percent), "pairs"), docs, nodes, words, percent)
+    dealt = _dealt(_texts(docs, nodes), words, percent, 3 * n, frequent, sketches).repartition(n, "bucket")
+    groups = written(_mixed_groups(dealt).dropDuplicates(["mark"]), "groups")
+    nodes = _linked(written(_refused(_bridges(groups), nodes, percent), "pairs"), docs, nodes, words, percent)
+    nodes = _linked(written(_allowed(groups, nodes, percent, n), "pairs"), docs, nodes, words, percent)
+    frequent.destroy()
+    forget(groups)
+    return own, nodes.select("signature", "first", "component")
+
+
+def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
+    """nodes with the components that result from those pairs (a written table, used up) that have the similarity."""
+    if pairs.isEmpty():
+        return nodes
+    links = written(verified(pairs, docs, nodes, words, percent), "links")
+    of = lambda side: small(nodes.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}")))
+    between = links.join(of("a"), "a").join(of("b"), "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+    roots = written(components(between), "roots")
+    named = nodes.join(small(roots.select(F.col("node").alias("component"), F.col("component").alias("root"))), "component", "left")
+    out = written(named.select("node", F.coalesce("root", "component").alias("component"), "first", "signature", "n_shingles", "sketch"), "nodes")
+    for table in (pairs, links, roots, nodes):
+        forget(table)
+    return out
+
+
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of docs.
 
     Texts link when 100 * intersection >= percent * union of their sets of word shingles (lower-cased A-Z, words between
-    ASCII white space). component_id is the smallest key reachable by links, the row's own included. A text of fewer
-    words than a shingle has is one shingle; null, empty and white-space texts have none and are linked with nothing,
-    not even with each other. Rows with a null key get a null component. Rows of equal key are repeated as they come.
-    Other columns of docs are not looked at.
+    ASCII white space; words are told apart by 64-bit hashes). component_id is the smallest key reachable by links, the
+    row's own included. A text of fewer words than a shingle has is one shingle; null, empty and white-space texts have
+    none and are linked with nothing, not even with each other. Rows with a null key get a null component. Rows that
+    repeat a key are rows of their own, with the component of their own text. Other columns of docs are not looked at.
     """
-    spark = small_batches(docs.sparkSession)
-    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    found = written(sets(docs, "doc_id", "text", words), "sets")
-    own = found.where("times is null").select("doc_id", "n_shingles", "signature")
-    links = own.where("signature is not null and doc_id is not null")
-    first = links.groupBy("signature").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    copies = links.join(first, "signature").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).where("a <> b")
-    n = partitions(spark)
-    dealt = _dealt(docs, "doc_id", "text", words, percent, 3 * n, told(found)).repartition(n, "bucket")
-    found = written(_candidates(dealt), "candidates")
-    pairs = written(found.where("b is not null").select("a", "b").distinct(), "pairs")
-    near = written(verified(pairs, docs, "doc_id", "text", words, percent).union(copies), "links")
-    roots = components(near)
-    groups = _unpacked(found.where("mark is not null").select("mark", "members").dropDuplicates(["mark"]))
-    more = written(_unconnected(groups, roots, docs, "doc_id", "text", words, percent), "unconnected")
-    if not more.isEmpty():
-        late = verified(more, docs, "doc_id", "text", words, percent)
-        roots = components(near.union(late))
-    result = own.hint("merge").join(roots.hint("merge"), own["doc_id"] == roots["node"], "left")
-    return result.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    small_batches(docs.sparkSession)
+    own, classes = _resolved(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), words, percent)
+    least = classes.groupBy("component").agg(F.min("first").alias("component_id"))
+    named = classes.join(small(written(least, "components")), "component").select("signature", "component_id")
+    result = own.hint("merge").join(small(written(named, "named")), "signature", "left")
+    return result.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def keep_first(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of docs with one document of each component, that of the smallest key; docs' own columns.
 
-    Of rows that repeat a key, one stays. Documents without shingles (null or empty
-    texts) have no component but their own and stay. Rows with a null key stay.
+    Of rows that repeat the key and the set of shingles, one stays: the first in order of all columns. Of rows that repeat a key with
+    other sets, each is a document of its own. Documents without shingles (null or empty texts) are in no component and
+    stay, and so do rows with a null key.
     """
-    roots = join(docs, "doc_id", "text", words, percent).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.hint("merge").join(roots.hint("merge"), "doc_id", "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*docs.columns).union(docs.where("doc_id is null"))
+    small_batches(docs.sparkSession)
+    own, classes = _resolved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), words, percent)
+    chosen = classes.groupBy("component").agg(F.min(F.struct("first", "signature")).alias("kept")).select(F.col("kept.first").alias("doc_id"), F.col("kept.signature").alias("signature"))
+    chosen = written(chosen, "kept")
+    own = own.where("doc_id is not null")
+    rows = own.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("signature").isNull()).alias("empty"))
+    alone = written(rows.join(small(chosen.select("doc_id").distinct()), "doc_id", "left_semi").where("n = 1").select("doc_id").union(rows.where("n = 1 and empty").select("doc_id")), "kept-alone")
+    repeated = written(rows.where("n > 1").select("doc_id"), "repeated")
+    out = docs.join(small(alone), "doc_id", "left_semi").select(*docs.columns).union(docs.where("doc_id is null"))
+    if repeated.isEmpty():
+        return out
+
+    names = free_name(docs.columns, "own_signature"), free_name(docs.columns, "own_rank")
+
+    @F.pandas_udf("binary")
+    def signed(column):  # noqa: ANN001, ANN202
+        each = [shingles(t, words) for t in column]
+        return pd.Series([xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in each], dtype=object)
+
+    again = docs.join(small(repeated), "doc_id", "left_semi").select(*docs.columns, signed("text").alias(names[0]))
+    keep = chosen.select("doc_id", F.col("signature").alias(names[0]))
+    order = Window.partitionBy("doc_id", names[0]).orderBy(*[F.col(c) for c in docs.columns])
+    first = again.join(small(keep), ["doc_id", names[0]], "left_semi").withColumn(names[1], F.row_number().over(order)).where(F.col(names[1]) == 1)
+    return out.union(first.select(*docs.columns)).union(again.where(F.col(names[0]).isNull()).select(*docs.columns))
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+x AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM s),
+links AS (
+  SELECT a, b FROM (SELECT a.doc_id AS a, b.doc_id AS b, a.n + b.n AS n, count(*) AS shared FROM x a JOIN x b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL)
+  WHERE 100 * shared >= 80 * (n - shared)),
+reach AS (SELECT doc_id, doc_id AS other FROM s UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.other)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id FROM s JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) USING (doc_id)
+"""

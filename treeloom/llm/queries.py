@@ -71,4 +71,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.oracle(), "op8_warc": warc.ORACLE, "op9_topk": topk.ORACLE}
+    return {"op2_mixing": mixing.oracle(), "op8_warc": warc.ORACLE, "op9_topk": topk.ORACLE, "op10_jaccard": jaccard.ORACLE}

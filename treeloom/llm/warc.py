@@ -27,7 +27,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import BROADCAST_ROWS, batches, fresh_path, lean, partitions, small_batches, written
+from treeloom.llm.common import BROADCAST_BYTES, batches, fresh_path, lean, partitions, small_batches, written
 
 BLOCK_LINES = 1000
 #: zlib level: speed before size.
@@ -177,9 +177,13 @@ def write_index(captures: DataFrame, folder: str) -> DataFrame:
     return ordered.mapInArrow(lean(lambda source: batches(run(source), DIRECTORY, 500)), "first_key string, first_page long, file string, offset long, length long, lines long")
 
 
+def _bytes(directory: DataFrame) -> int:
+    return directory.agg(F.sum(F.octet_length("first_key") + F.octet_length("file") + 64)).first()[0] or 0
+
+
 def _located(wanted: DataFrame, directory: DataFrame) -> DataFrame:
     """wanted (key, page_id) with the file, offset and length of the index block that may hold it: the last block that begins no later."""
-    if directory.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if _bytes(directory) <= BROADCAST_BYTES:
         rows = sorted((r["first_key"].encode("utf-8", "surrogatepass"), r["first_page"], r["file"], r["offset"], r["length"]) for r in directory.collect())  # by bytes, as Spark sorts strings
         shared = wanted.sparkSession.sparkContext.broadcast(([r[:2] for r in rows], [r[2:] for r in rows]))
         schema = pa.schema([("key", pa.string()), ("page_id", pa.int64()), ("block_file", pa.string()), ("block_offset", pa.int64()), ("block_length", pa.int64())])
