@@ -261,13 +261,75 @@ def test_html(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in got)
 
 
+def inferred(pages):
+    whole = None
+    for page in pages:
+        own = html.expression(html.parse(page))
+        whole = own if whole is None else html.aligned(whole, own)
+    return html.finished(whole)
+
+
 def test_wrapper_inference():
-    page = lambda n, more="": html.wrapper_of(html.parse(f"<ul>{'<li>x</li>' * n}</ul>{more}<p>y</p>"))
-    whole = html.Wrapper()
-    for w in (page(3), page(7), page(2, "<div>opt</div>")):
-        whole.fold(w)
-    assert whole.items[0] == "ul" and whole.items[1][0] == "+" and ["?", ["div", "#div", "/div"]] in whole.items
-    assert html.Wrapper.loaded(whole.dumped()).items == whole.items
+    page = lambda n, more="": f"<ul>{'<li>x</li>' * n}</ul>{more}<p>y</p>"
+    whole = inferred([page(3), page(7), page(2, "<div>opt</div>")])
+    assert html.shown(whole) == "ul{li}((li{#}(#))+) (div{#}(#))? p{#}(#)"
+    assert html.shown(inferred(["<h2>a</h2><p>b</p><h2>c</h2><p>d</p>", "<p>e</p><h2>f</h2>"])) == "((h2{#}(#))+ (p{#}(#))+)+"
+    assert html.shown(inferred(["<h1>a</h1>", "<h1>a</h1><p>b</p>", "<p>b</p>"])) == "(h1{#}(#))? (p{#}(#))?"
+
+
+def plain_page(k, more=""):
+    """A page without article element or telling names: menu, notice on some, article with h2 parts, a line that all pages end with, imprint."""
+    rng = random.Random(k)
+    text = lambda n: " ".join(rng.choice("lorem ipsum dolor sit amet elit sed do tempor magna".split()) for _ in range(n)) + f" {k}."
+    notice = "<div><p>This house stores small files on your machine.</p></div>" if k % 2 else ""
+    menu = "".join(f"<li><a href=/{i}>{text(2)}</a></li>" for i in range(5))
+    title, first = text(5), text(60)
+    parts = [(text(3), text(40), text(5), text(6)) for _ in range(k % 4)]
+    inner = "".join(f"<h2>{a}</h2><p>{b}</p><ul><li>{c}</li><li>{d}</li></ul>" for a, b, c, d in parts)
+    page = f"<body>{notice}<div><ul>{menu}</ul></div><div class=x><div>{text(2)}</div><div><h1>{title}</h1><p>{first}</p>{inner}<p>Pass this on</p></div></div><div><p>Printed in 1 Street</p></div>{more}</body>"
+    return page, "\n".join([title, first, *(x for part in parts for x in part)])
+
+
+def test_articles_by_the_wrapper_alone():
+    pages = [plain_page(k) for k in range(24)]
+    whole = inferred([p for p, _ in pages])
+    for page, expected in pages:
+        assert html.text_of(html.parse(page), whole) == expected
+    # without the wrapper's counts the same page keeps what the host repeats
+    alone = inferred([pages[1][0]])
+    assert "Pass this on" in html.text_of(html.parse(pages[1][0]), alone)
+
+
+def test_pages_of_a_host_may_differ():
+    labelled = "<body><div><p>Printed in 1 Street</p></div><article><header>by me</header><h1>T</h1><p>Some body of text that is long enough.</p><p>Printed in 1 Street</p></article></body>"
+    pages = [plain_page(k)[0] for k in range(24)] + [labelled]
+    whole = inferred(pages)
+    assert html.text_of(html.parse(labelled), whole) == "T\nSome body of text that is long enough.\nPrinted in 1 Street"
+    assert html.text_of(html.parse(pages[2]), whole) == plain_page(2)[1]
+    side = "<article><div class=side><p>The body stands in an oddly named place.</p></div></article>"
+    assert html.text_of(html.parse(side), inferred([side])) == "The body stands in an oddly named place."
+    copies = [plain_page(3)[0]] * 9 + [plain_page(4)[0]]
+    assert plain_page(3)[1] in html.text_of(html.parse(copies[0]), inferred(copies))
+
+
+def test_long_and_deep_pages():
+    import time
+
+    named = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(3))
+    page = lambda word: "<article>" + "".join(f"<div class={named(i)}><p>{word} {i}</p><h2>h{i}</h2></div>" for i in range(5000)) + "</article>"
+    begin = time.time()
+    whole = inferred([page("a"), page("b")])
+    assert html.text_of(html.parse(page("a")), whole).count("\n") == 9999 and time.time() - begin < 30
+    deep = "<div>" * 5000 + "x" + "</div>" * 5000
+    assert html.text_of(html.parse(deep), inferred([deep, deep])) == "x"
+
+
+def test_html_edges(spark):
+    schema = "page_id long, url string, html string, host string, wrapper string, text int"
+    assert html.extract(frame(spark, [], schema)).count() == 0
+    rows = [(1, None, "<p>a b</p>", "x", "y", 1), (1, None, "<p>a b</p>", "x", "y", 1), (None, "http://h", "<<<p>&amp;&#65;&nope;", None, None, None), (2, "http://h", "<p>" * 3, None, None, None)]
+    got = sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in html.extract(frame(spark, rows, schema)).collect())
+    assert got[1:] == [(1, "a b", 3), (1, "a b", 3), (2, "", 0)] and got[0][1].endswith("&A&nope;")
 
 
 def test_html_articles_of_the_table(tables):

@@ -1,28 +1,35 @@
 """Main text of web pages by wrappers that are inferred from the pages of each host.
 
-A page becomes a stream of block tags and text slots. The streams of one host are folded into a wrapper, a union-free
-regular expression: equal neighbours become a repeated group, and where page and wrapper differ the stretch that one of
-them lacks becomes an optional group, inside repeated groups as well. Slots keep the containers they stand in and how
-much text and link text all pages had there, and the wrapper decides by slot which are the article's.
-
-Wrappers are folded in each task, then by host in two steps; what moves is one small wrapper a host and task, however
-many pages a host has. Every page goes into its host's wrapper, and every page is extracted by it.
+A page becomes a stream of block tags and text slots, nested as the tags are. The streams of one host are aligned,
+element by element, into a wrapper: a union-free regular expression in which neighbours of one shape are a repeated
+group, what some pages lack is optional, and elements that come in changing order are a repeated group of optional ones.
+Each shape stands once in its parent, so that an alignment merges two sequences in linear time.
+
+A slot of the wrapper keeps on how many pages it occurs, how much text and link text it has, and its most frequent texts.
+Each page is matched against its host's wrapper, and the slots that its text falls into decide: a text that stands in its
+slot on most pages is the template's, a slot of links is a menu, and the rest weighs what the host's pages have there on
+average. The article is what article and main elements hold, or the innermost element that holds nearly all of that
+weight, without the template's texts. Elements and class names that say "not the article" (nav, footer, comments, ...)
+are left out, names only as long as the weight is elsewhere.
+
+Wrappers are inferred in each task, then by host in two steps; what moves is one small wrapper a host and task, however
+many pages a host has. Every page goes into its host's wrapper.
 """
 
 from __future__ import annotations
 
-import difflib
 import html as entities
 import json
 import re
+import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from functools import lru_cache, reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import batches, lean, small_batches, written
+from treeloom.llm.common import batches, lean, small, small_batches, written
 
 #: Elements by how they are treated.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -30,35 +37,77 @@ RAW = set("script style noscript template textarea title svg math iframe object
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements that a start tag closes if they are the innermost block.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
-#: Containers that are never the article: by element, and by the words of class and id.
-OTHER_TAGS = set("nav footer aside form menu dialog head".split())
-OTHER_WORDS = set(
-    "nav navbar navigation menu menubar topbar header masthead footer sidebar side rail ad ads adv advert adverts advertisement advertising banner promo promotion promoted sponsor sponsored"
-    " cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations"
-    " comment comments respond replies reply discussion disqus breadcrumb breadcrumbs pagination pager widget toolbar login search copyright skip hidden paywall".split()
+#: Elements that are never the article's, and those that an article or its parts are made of and that are not searched for a narrower one.
+OTHER_TAGS = set("nav header footer aside form menu dialog head".split())
+WHOLE = set("p li ul ol dl dt dd tr blockquote pre h1 h2 h3 h4 h5 h6 figure".split())
+#: Words of class and id of what isn't the article: sure ones, and others that count while a quarter of the weight is elsewhere.
+SURE = set(
+    "nav navbar navigation menu menubar footer sidebar ad ads adv advert adverts advertisement advertising sponsor sponsored promo cookie cookies consent gdpr"
+    " comment comments respond replies reply discussion disqus related recommended recommendations breadcrumb breadcrumbs pagination newsletter hidden".split()
 )
-#: Those that stay so even around an article element.
-ALWAYS_OTHER = set("comment comments respond replies reply discussion disqus related recommended recommendations sidebar ad ads advert adverts advertisement promo sponsored".split())
-MAIN_WORDS = set("article content post entry story main articlebody".split())
+LIKELY = set("topbar header masthead side rail banner promotion promoted notice notices notification alert popup modal overlay subscribe subscription signup share sharing social widget toolbar login search copyright skip paywall pager".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>?|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<rest2>[^>]*)>", re.S)
 _NAMED = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORDS = re.compile(r"[a-z]+")
 
-#: Longest group of tokens that is looked for in repetition.
-PERIOD = 12
+#: Deepest element that counts as one; what is deeper belongs to its ancestor of that depth.
+DEEPEST = 60
+#: Shapes that an element of a wrapper tells apart by class and content; further ones are told apart by element.
+SHAPES = 200
+#: Pages with a slot from which a text counts as the template's, and on which part of them it must be the same.
+TEMPLATE_PAGES, TEMPLATE_SHARE = 4, 0.7
+#: Texts that a slot remembers while a wrapper is inferred: the most frequent ones.
+TEXTS = 64
+#: Part of the weight that one child must hold so that the article is looked for in it.
+NEARLY_ALL = 0.8
+
+
+class Run:
+    """A stretch of text in an element, between block tags."""
+
+    __slots__ = ("chars", "links", "pieces")
+
+    def __init__(self) -> None:
+        self.pieces: list[str] = []
+        self.chars = self.links = 0
+
+    @property
+    def key(self) -> str:
+        return "#a" if 2 * self.links > self.chars else "#"
+
+    def text(self) -> str:
+        return " ".join(entities.unescape("".join(self.pieces)).split())
+
+    def hash(self) -> str:
+        return f"{zlib.crc32(self.text().encode('utf-8', 'surrogatepass')):x}"
+
+
+class Element:
+    """An element and what it holds, in page order."""
 
+    __slots__ = ("chars", "key", "kids", "links", "sign", "tag", "words")
 
-@dataclass
-class Page:
-    """tokens of the stream, and (slot, text, in a link) of each stretch of text or None where a block ends."""
+    def __init__(self, tag: str, words: tuple[str, ...]) -> None:
+        self.tag, self.words = tag, frozenset(words)
+        self.sign = f"{tag}.{'.'.join(words)}" if words else tag
+        self.kids: list[Element | Run] = []
+        self.chars = self.links = 0
+        self.key = self.sign
 
-    tokens: list[str] = field(default_factory=list)
-    texts: list[tuple[str, str, bool] | None] = field(default_factory=list)
+    def end(self) -> None:
+        """Sum up, and name the shape: elements without class are told apart by what they hold."""
+        marks = set()
+        for kid in self.kids:
+            self.chars += kid.chars
+            self.links += kid.links
+            marks.add(kid.key if isinstance(kid, Run) else f"{kid.sign}:a" if kid.chars and 2 * kid.links > kid.chars else kid.sign)
+        if not self.words and self.tag not in ("html", "body", "main", "article"):
+            self.key = f"{self.sign}{{{','.join(sorted(marks)[:8])}}}"
 
 
-def _signature(name: str, rest: str) -> str:
-    """Element and the words of class, id and role; digits don't count."""
+def _words_of(rest: str) -> tuple[str, ...]:
+    """The words of class, id and role; digits don't count."""
     words: list[str] = []
     if rest.strip():
         for m in _NAMED.finditer(rest):
@@ -67,40 +116,43 @@ def _signature(name: str, rest: str) -> str:
                 words.append("hidden")
             elif key in ("class", "id", "role"):
                 words += _WORDS.findall(value)
-    return f"{name}.{'.'.join(dict.fromkeys(words))}" if words else name
+    return tuple(dict.fromkeys(words))
 
 
-def parse(source: str | None) -> Page:
-    """The stream of a page; tolerant of unclosed and stray tags."""
-    page, stack, links, at = Page(), [], 0, 0
+def parse(source: str | None) -> Element:
+    """The stream of a page, nested; tolerant of unclosed and stray tags."""
+    root = Element("", ())
+    stack, links, at, deeper = [root], 0, 0, 0
     text, n = source or "", len(source or "")
-    path = ""
+    run: Run | None = None
 
-    def words(piece: str) -> None:
-        if piece and not piece.isspace():
-            page.texts.append((path, piece, links > 0))
-            slot = f"#{path}"
-            if not page.tokens or page.tokens[-1] != slot:
-                page.tokens.append(slot)
-        elif piece:
-            page.texts.append((path, " ", links > 0))
+    def add(piece: str) -> None:
+        nonlocal run
+        size = 0 if piece.isspace() else len(piece)
+        if run is None:
+            if not size:
+                return
+            run = Run()
+            stack[-1].kids.append(run)
+        run.pieces.append(piece)
+        run.chars += size
+        run.links += size if links else 0
 
     def leave(k: int) -> None:
-        nonlocal path
         while len(stack) > k:
-            page.tokens.append(f"/{stack.pop()[0]}")
-        path = "/".join(s for name, s in stack if name != "p")
-        page.texts.append(None)
+            stack.pop().end()
 
     while at < n:
         m = _TOKEN.search(text, at)
         if m is None:
-            words(text[at:])
+            add(text[at:])
             break
-        words(text[at : m.start()])
+        if m.start() > at:
+            add(text[at : m.start()])
         at = m.end()
         if m["cdata"] is not None:
-            words(m["cdata"].replace("&", "&amp;"))
+            if m["cdata"]:
+                add(m["cdata"].replace("&", "&amp;"))
             continue
         name = m["name"] or m["name2"]
         if not name:
@@ -117,178 +169,227 @@ def parse(source: str | None) -> Page:
             continue
         if name in VOID:
             if name == "br":
-                page.texts.append((path, " ", links > 0))
+                add(" ")
             elif name == "hr":
-                page.texts.append(None)
+                run = None
             continue
-        links = 0
+        links, run = 0, None
         if closing:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1)
-            if k >= 0:
+            if deeper and name != stack[-1].tag:
+                deeper -= 1
+                continue
+            k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == name), 0)
+            if k:
                 leave(k)
-            else:
-                page.texts.append(None)
+                deeper = 0
             continue
-        if stack and stack[-1][0] == "p":
+        if stack[-1].tag == "p":
             leave(len(stack) - 1)
-        while stack and stack[-1][0] in CLOSES.get(name, ()):
+        while stack[-1].tag in CLOSES.get(name, ()):
             leave(len(stack) - 1)
-        page.texts.append(None)
-        sign = _signature(name, rest)
-        stack.append((name, sign))
-        page.tokens.append(sign)
-        path = "/".join(s for tag, s in stack if tag != "p")
-    return page
-
-
-def collapsed(items: list) -> list:
-    """items with equal neighbouring stretches turned into repeated groups ['+', items], the shortest first."""
-    for period in range(1, PERIOD + 1):
-        out, k, n = [], 0, len(items)
-        while k < n:
-            stretch = items[k : k + period]
-            times = 1
-            while len(stretch) == period and items[k + times * period : k + (times + 1) * period] == stretch:
-                times += 1
-            if times > 1 and not (period == 1 and isinstance(stretch[0], list) and stretch[0][0] == "+"):
-                out.append(["+", stretch])
-                k += times * period
-            elif times > 1:
-                out.append(stretch[0])
-                k += times
-            else:
-                out.append(items[k])
-                k += 1
-        items = out
-    return items
-
-
-def aligned(wrapper: list, page: list) -> list:
-    """The wrapper that matches what either matches: differences become optional groups ['?', items]; repeated groups in the same place are aligned inside."""
-    if wrapper == page:
-        return wrapper
-    bare = [w[1] if isinstance(w, list) and w[0] == "?" else None for w in wrapper]
-    # optional groups of one stretch stand for what they hold, so that a page that has it meets it
-    keys = lambda items: [json.dumps(x) for x in items]
-    flat, owner = [], []
-    for k, w in enumerate(wrapper):
-        inner = bare[k] if bare[k] is not None else [w]
-        flat += inner
-        owner += [k if bare[k] is not None else -1] * len(inner)
-    out: list = []
-
-    def optional(items: list) -> None:
-        if items:
-            if out and isinstance(out[-1], list) and out[-1][0] == "?" and out[-1][1] == items:
-                return
-            out.append(["?", items])
-
-    for kind, a, b, c, d in difflib.SequenceMatcher(None, keys(flat), keys(page), autojunk=False).get_opcodes():
-        mine, theirs = flat[a:b], page[c:d]
-        if kind == "equal":
-            k = a
-            while k < b:  # what was optional stays so
-                e = k
-                while e < b and owner[e] == owner[k]:
-                    e += 1
-                if owner[k] >= 0:
-                    optional(flat[k:e])
-                else:
-                    out += flat[k:e]
-                k = e
-        elif kind == "replace" and len(mine) == len(theirs) == 1 and all(isinstance(x[0], list) and x[0][0] == "+" for x in (mine, theirs)):
-            out.append(["+", aligned(mine[0][1], theirs[0][1])])
+        if len(stack) > DEEPEST:
+            deeper += 1
+            continue
+        element = Element(name, _words_of(rest))
+        stack[-1].kids.append(element)
+        stack.append(element)
+    leave(0)
+    return root
+
+
+# A wrapper's element is {"n": pages with it, "k": {key: {"r": 1 if repeated, ...}}, "o": 1 if its order changes}; a slot is
+# {"n": pages, "c": characters, "l": those in links, "t": {hash of a text: pages with it}}.
+
+
+def _known(kids: dict, key: str) -> str:
+    """The key under which a shape is kept."""
+    return key if key in kids or len(kids) < SHAPES or key[0] == "#" else f"{re.split('[.{]', key, maxsplit=1)[0]}*"
+
+
+def expression(element: Element) -> dict:
+    """The wrapper of one page."""
+    kids: dict[str, dict] = {}
+    out = {"n": 1, "k": kids}
+    last = None
+    for kid in element.kids:
+        key = _known(kids, kid.key)
+        if isinstance(kid, Run):
+            own = {"n": 1, "c": kid.chars, "l": kid.links, "t": {kid.hash(): 1}}
+        else:
+            own = expression(kid)
+        if key not in kids:
+            kids[key] = own
         else:
-            optional(mine)
-            optional(theirs)
+            kids[key] = _together(kids[key], own)
+            kids[key]["r"] = 1
+            if last != key:
+                out["o"] = 1
+        last = key
     return out
 
 
-@dataclass
-class Wrapper:
-    items: list | None = None
-    #: slot: characters, characters in links, pages
-    slots: dict[str, list[int]] = field(default_factory=dict)
-
-    def fold(self, other: Wrapper) -> None:
-        self.items = other.items if self.items is None else aligned(self.items, other.items or [])
-        for slot, found in other.slots.items():
-            own = self.slots.setdefault(slot, [0, 0, 0])
-            for k in range(3):
-                own[k] += found[k]
-
-    def dumped(self) -> str:
-        return json.dumps([self.items, self.slots])
-
-    @classmethod
-    def loaded(cls, text: str) -> Wrapper:
-        return cls(*json.loads(text))
-
-    def article(self) -> list[str]:
-        """The slots that are the article's: under main or article containers without what is never the article; on hosts without such containers, slots that aren't mostly links."""
-        fit = [s for s in self.slots if not _other(s)]
-        inside = [s for s in fit if any(_is_main(x) for x in s.split("/"))]
-        if sum(self.slots[s][0] for s in inside):
-            articles = [s for s in inside if any(x.split(".")[0] == "article" for x in s.split("/"))]
-            if 2 * sum(self.slots[s][0] for s in articles) >= sum(self.slots[s][0] for s in inside):
-                return sorted(articles)
-            return sorted(inside)
-        return sorted(s for s in fit if 2 * self.slots[s][1] <= self.slots[s][0])
-
-
-def _is_main(part: str) -> bool:
-    tag, *words = part.split(".")
-    return tag in ("main", "article") or (tag not in ("html", "body", "head") and not MAIN_WORDS.isdisjoint(words) and OTHER_WORDS.isdisjoint(words))
-
-
-def _other(slot: str) -> bool:
-    """Whether a container of the slot says that it isn't the article. What stands around a main element says nothing, and around an article only the plain cases do."""
-    parts = slot.split("/")
-    mains = [k for k, p in enumerate(parts) if p.split(".")[0] == "main"]
-    articles = [k for k, p in enumerate(parts) if p.split(".")[0] == "article"]
-    begin = mains[0] if mains else 0
-    for k, part in enumerate(parts):
-        tag, *words = part.split(".")
-        if k < begin or tag in ("html", "body"):
-            if "hidden" in words:
-                return True
-            continue
-        around = any(a >= k for a in articles)
-        if tag in OTHER_TAGS or (tag == "header" and not any(a < k for a in articles + mains)):
-            return True
-        if not (ALWAYS_OTHER if around or tag == "main" else OTHER_WORDS).isdisjoint(words) and not (tag in ("article", "main") and not MAIN_WORDS.isdisjoint(words) and ALWAYS_OTHER.isdisjoint(words)):
-            return True
-    return False
-
-
-def text_of(page: Page, slots: set[str]) -> str:
-    """The blocks of the given slots: references decoded, white space as one space, joined by line ends."""
-    out: list[str] = []
-    held: list[str] = []
-    for item in page.texts:
-        if item is None:
-            if held:
-                out.append(" ".join("".join(held).split()))
-                held = []
-        elif item[0] in slots:
-            held.append(entities.unescape(item[1]))
-    if held:
-        out.append(" ".join("".join(held).split()))
-    return "\n".join(block for block in out if block)
-
-
-def wrapper_of(page: Page) -> Wrapper:
-    own = Wrapper(collapsed(page.tokens))
-    seen = set()
-    for item in page.texts:
-        if item and not item[1].isspace():
-            stat = own.slots.setdefault(item[0], [0, 0, 0])
-            stat[0] += len(item[1])
-            stat[1] += len(item[1]) * item[2]
-            if item[0] not in seen:
-                seen.add(item[0])
-                stat[2] += 1
-    return own
+def _together(a: dict, b: dict) -> dict:
+    """Two neighbours of one shape on one page as one repeated group."""
+    if "t" in a:
+        a["t"].update(b["t"])
+        return {"n": 1, "c": a["c"] + b["c"], "l": a["l"] + b["l"], "t": a["t"]}
+    return _merged(a, b, _together, {"n": 1})
+
+
+def _merged(a: dict, b: dict, inner, out: dict) -> dict:  # noqa: ANN001
+    """a with b's shapes in their places: common ones aligned by inner, new ones after what they follow in b."""
+    kids, order = dict(a["k"]), list(a["k"])
+    place = {key: k for k, key in enumerate(order)}
+    changed = a.get("o") or b.get("o")
+    new: dict[str | None, list[str]] = {}
+    last, highest = None, -1
+    for raw, other in b["k"].items():
+        key = _known(kids, raw)
+        if key in kids:
+            own = inner(kids[key], other)
+            if kids[key].get("r") or other.get("r"):
+                own["r"] = 1
+            kids[key] = own
+            if key in place:
+                if place[key] < highest:
+                    changed = 1
+                highest = max(highest, place[key])
+                last = key
+        else:
+            kids[key] = other
+            new.setdefault(last, []).append(key)
+    if new:
+        order = [*new.get(None, ()), *(key for old in order for key in (old, *new.get(old, ())))]
+        kids = {key: kids[key] for key in order}
+    out["k"] = kids
+    if changed:
+        out["o"] = 1
+    return out
+
+
+def aligned(a: dict, b: dict) -> dict:
+    """The wrapper that matches what either matches."""
+    if "t" in a:
+        counts = dict(a["t"])
+        for text, n in b["t"].items():
+            counts[text] = counts.get(text, 0) + n
+        if len(counts) > TEXTS:
+            counts = dict(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:TEXTS])
+        return {"n": a["n"] + b["n"], "c": a["c"] + b["c"], "l": a["l"] + b["l"], "t": counts}
+    return _merged(a, b, aligned, {"n": a["n"] + b["n"]})
+
+
+def finished(wrapper: dict) -> dict:
+    """The wrapper with the template's texts only: those that stand in their slot on most pages."""
+    if "t" in wrapper:
+        n = wrapper["n"]
+        return wrapper | {"t": {t: k for t, k in wrapper["t"].items() if n >= TEMPLATE_PAGES and k >= TEMPLATE_SHARE * n}}
+    return wrapper | {"k": {key: finished(kid) for key, kid in wrapper["k"].items()}}
+
+
+def shown(wrapper: dict) -> str:
+    """The wrapper as a regular expression: (...)+ for repeated, (...)? for optional."""
+    parts = []
+    for key, kid in wrapper["k"].items():
+        part = key if "t" in kid else f"{key}({shown(kid)})"
+        part = f"({part})+" if kid.get("r") else part
+        parts.append(f"({part})?" if kid["n"] < wrapper["n"] else part)
+    return f"({' '.join(parts)})+" if wrapper.get("o") else " ".join(parts)
+
+
+class _Match:
+    """A run of a page and what its slot says."""
+
+    __slots__ = ("likely", "linked", "listed", "run", "sure", "tagged", "template", "weight")
+
+
+def _matched(element: Element, wrapper: dict | None, tagged: bool, sure: bool, likely: bool, listed: bool, out: list, slots: dict) -> None:
+    kids = wrapper["k"] if wrapper else {}
+    for kid in element.kids:
+        slot = kids.get(kid.key) or kids.get(_known(kids, kid.key)) if kids else None
+        if isinstance(kid, Run):
+            m = _Match()
+            m.run, m.tagged, m.sure, m.likely, m.listed = kid, tagged, sure, likely, listed
+            n, chars, links = (slot["n"], slot["c"], slot["l"]) if slot else (1, kid.chars, kid.links)
+            m.linked = 2 * links > chars
+            m.template = bool(slot) and bool(slot["t"]) and kid.hash() in slot["t"]
+            m.weight = 0.0 if m.linked else (chars - links) / n
+            slots.setdefault(id(slot) if slot else id(m), []).append(m)
+            out.append(m)
+        else:
+            # what stands around the main element says nothing by its names, and around an article only sure ones do
+            own = kid.words
+            around = kid.tag in ("html", "body") or bool(own) and next(_outermost(kid, "main"), None) is not None
+            is_sure = not around and not SURE.isdisjoint(own)
+            is_likely = not around and not LIKELY.isdisjoint(own) and next(_outermost(kid, "article"), None) is None
+            _matched(kid, slot, tagged or kid.tag in OTHER_TAGS or "hidden" in own, sure or is_sure, likely or is_likely, listed or kid.tag in ("ul", "ol", "menu"), out, slots)
+
+
+def text_of(page: Element, wrapper: dict) -> str:
+    """The blocks of the page's article: references decoded, white space as one space, joined by line ends."""
+    found: list[_Match] = []
+    slots: dict[int, list[_Match]] = {}
+    _matched(page, wrapper, False, False, False, False, found, slots)
+    for same in slots.values():  # a slot's weight is shared by what the page has there
+        for m in same:
+            m.weight /= len(same)
+    left = [m for m in found if not m.tagged]
+    for name, least in (("sure", 0.05), ("likely", 0.25)):
+        rest = [m for m in left if not getattr(m, name)]
+        if rest and sum(m.weight for m in rest) >= least * sum(m.weight for m in left):
+            left = rest
+    # on a host of copies the article's texts are on most pages as well
+    own = sum(m.weight for m in left if not m.template)
+    varied = own > 0 and own >= 0.3 * sum(m.weight for m in left)
+    weight = {id(m.run): m.weight for m in left if not (varied and m.template)}
+    sums: dict[int, float] = {}
+    total = _summed(page, weight, sums)
+    chosen, labelled = _article(page, sums, total) if total else ([page], False)
+    inside = {id(run) for element in chosen for run in _runs(element)}
+    blocks = [m.run.text() for m in left if id(m.run) in inside and (labelled or not (varied and m.template)) and not (m.linked and (m.listed or not labelled))]
+    return "\n".join(block for block in blocks if block)
+
+
+def _runs(element: Element) -> Iterator[Run]:
+    for kid in element.kids:
+        if isinstance(kid, Run):
+            yield kid
+        else:
+            yield from _runs(kid)
+
+
+def _summed(element: Element, weight: dict[int, float], sums: dict[int, float]) -> float:
+    sums[id(element)] = sum(weight.get(id(kid), 0.0) if isinstance(kid, Run) else _summed(kid, weight, sums) for kid in element.kids)
+    return sums[id(element)]
+
+
+def _outermost(element: Element, tag: str) -> Iterator[Element]:
+    for kid in element.kids:
+        if isinstance(kid, Element):
+            if kid.tag == tag:
+                yield kid
+            else:
+                yield from _outermost(kid, tag)
+
+
+def _article(page: Element, sums: dict[int, float], total: float) -> tuple[list[Element], bool]:
+    """The elements that hold the article, and whether article or main elements say so."""
+    mains = [e for e in _outermost(page, "main") if sums[id(e)]]
+    articles = [e for e in _outermost(page, "article") if sums[id(e)]]
+    held = lambda elements: sum(sums[id(e)] for e in elements)
+    if held(articles) >= 0.25 * total and 2 * held(articles) >= held(mains):
+        return articles, True
+    if held(mains) >= 0.25 * total:
+        return mains, True
+    element = page
+    while True:
+        kids = [kid for kid in element.kids if isinstance(kid, Element)]
+        best = max(kids, key=lambda kid: sums[id(kid)], default=None)
+        if best is None or best.tag in WHOLE or sums[id(best)] < NEARLY_ALL * sums[id(element)]:
+            return [element], False
+        if any(kid is not best and sums[id(kid)] and (kid.key == best.key or kid.tag == "h1") for kid in kids):
+            return [element], False
+        element = best
 
 
 def host_of(url: str | None) -> str:
@@ -298,41 +399,40 @@ def host_of(url: str | None) -> str:
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper): the wrapper, as JSON, that all pages (url, html) of each host were folded into."""
+    """(host, wrapper): the wrapper, as JSON, of all pages (url, html) of each host."""
     salted = pa.schema([("host", pa.string()), ("salt", pa.int32()), ("wrapper", pa.string())])
 
     def fold(source: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         from pyspark import TaskContext
 
         salt = TaskContext.get().partitionId() % 16
-        held: dict[str, tuple[Wrapper, set[str]]] = {}
+        held: dict[str, dict] = {}
         for batch in source:
             for url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                host, own = host_of(url), wrapper_of(parse(html))
-                wrapper, seen = held.setdefault(host, (Wrapper(), set()))
-                shape = json.dumps(own.items)
-                if shape in seen:  # folding it again changes the counts only
-                    own.items = wrapper.items
-                elif len(seen) < 4096:
-                    seen.add(shape)
-                wrapper.fold(own)
+                host, own = host_of(url), expression(parse(html))
+                held[host] = aligned(held[host], own) if host in held else own
                 if len(held) > 20_000:
-                    yield from ((h, salt, w.dumped()) for h, (w, _) in held.items())
+                    yield from ((h, salt, json.dumps(w)) for h, w in held.items())
                     held.clear()
-        yield from ((h, salt, w.dumped()) for h, (w, _) in held.items())
+        yield from ((h, salt, json.dumps(w)) for h, w in held.items())
+
+    def whole(table: pa.Table) -> dict:
+        texts = sorted(table.column("wrapper").to_pylist())
+        return reduce(aligned, map(json.loads, texts))
 
     def merged(table: pa.Table) -> pa.Table:
-        whole = Wrapper()
-        for text in sorted(table.column("wrapper").to_pylist()):
-            whole.fold(Wrapper.loaded(text))
-        return pa.table({"host": [table.column("host")[0].as_py()], "wrapper": [whole.dumped()]})
+        return pa.table({"host": [table.column("host")[0].as_py()], "wrapper": [json.dumps(whole(table))]})
+
+    def last(table: pa.Table) -> pa.Table:
+        return pa.table({"host": [table.column("host")[0].as_py()], "wrapper": [json.dumps(finished(whole(table)))]})
 
     each = pages.select("url", "html").mapInArrow(lean(lambda source: batches(fold(source), salted, 500)), "host string, salt int, wrapper string")
-    return each.groupBy("host", "salt").applyInArrow(merged, "host string, wrapper string").groupBy("host").applyInArrow(merged, "host string, wrapper string")
+    return each.groupBy("host", "salt").applyInArrow(merged, "host string, wrapper string").groupBy("host").applyInArrow(last, "host string, wrapper string")
 
 
-#: Bytes of all hosts' article slots that may be broadcast; more are joined by host.
-BROADCAST_BYTES = 32_000_000
+@lru_cache(256)
+def _loaded(wrapper: str) -> dict:
+    return json.loads(wrapper)
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -345,23 +445,16 @@ def extract(pages: DataFrame) -> DataFrame:
     small_batches(pages.sparkSession)
     found = written(wrappers(pages), "wrappers")
 
-    @F.pandas_udf("array<string>")
-    def article(column):  # noqa: ANN001, ANN202
-        return column.map(lambda text: Wrapper.loaded(text).article())
-
     @F.pandas_udf("string")
     def host(column):  # noqa: ANN001, ANN202
         return column.map(host_of)
 
-    slots = written(found.select("host", article("wrapper").alias("slots")), "slots")
-    size = slots.agg(F.sum(F.length("host") + F.length(F.concat_ws("", "slots")) + 16 * F.size("slots"))).first()[0] or 0
-    slots = F.broadcast(slots) if size <= BROADCAST_BYTES else slots.hint("merge")
-    joined = pages.select("page_id", "url", "html", host("url").alias("host")).join(slots, "host", "left").select("page_id", "url", "html", "slots")
+    joined = pages.select("page_id", "url", "html", host("url").alias("host")).join(small(found), "host", "left").select("page_id", "url", "html", "wrapper")
 
     @F.pandas_udf("string")
-    def text(html, slots):  # noqa: ANN001, ANN202
+    def text(html, wrapper):  # noqa: ANN001, ANN202
         import pandas as pd
 
-        return pd.Series([text_of(parse(h), set(s) if s is not None else set()) for h, s in zip(html, slots, strict=True)], dtype=object)
+        return pd.Series([text_of(parse(h), _loaded(w)) for h, w in zip(html, wrapper, strict=True)], dtype=object)
 
-    return joined.withColumn("text", text("html", "slots")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    return joined.withColumn("text", text("html", "wrapper")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
