@@ -49,7 +49,7 @@ class Model:
     words: dict[bytes, float] = field(default_factory=dict)
     drift: float = -0.02
     scale: float = 1.0
-    #: Expected number of high segments a token: the K of extreme-value statistics.
+    #: The K of extreme-value statistics: a clean text of m tokens has K * m * exp(-scale * s) segments of s and more.
     rate: float = 1e-3
     weight: float = 1.0
     bias: float = -3.0
@@ -58,8 +58,9 @@ class Model:
         """All maximal scoring segments (start, end, score) of the tokens, in one linear scan."""
         get = self.words.get
         hits = [(i, s) for i, w in enumerate(words) if (s := get(w)) is not None]
-        # stacked segments: (start, end, total before it, total after it)
-        stack: list[tuple[int, int, float, float]] = []
+        # stacked segments: (start, end, total before it, total after it, place of the nearest one below that begins lower or -1)
+        stack: list[tuple[int, int, float, float, int]] = []
+        out: list[tuple[int, int, float]] = []
         total, at = 0.0, 0
         for i, s in hits:
             total += self.drift * (i - at)
@@ -68,16 +69,20 @@ class Model:
             total = after
             if s <= 0:
                 continue
-            while stack:
+            while True:
                 k = len(stack) - 1
                 while k >= 0 and stack[k][2] >= before:
-                    k -= 1
-                if k < 0 or stack[k][3] >= after:
+                    k = stack[k][4]
+                if k < 0:  # none begins lower: nothing that follows can be joined to those on the stack
+                    out += [(b, e, high - low) for b, e, low, high, _ in stack]
+                    stack.clear()
+                    break
+                if stack[k][3] >= after:
                     break
                 begin, before = stack[k][0], stack[k][2]
                 del stack[k:]
-            stack.append((begin, end, before, after))
-        return [(b, e, after - before) for b, e, before, after in stack]
+            stack.append((begin, end, before, after, k))
+        return out + [(b, e, high - low) for b, e, low, high, _ in stack]
 
     def feature(self, words: list[bytes]) -> float:
         """Bits above chance of the best segment, and the logarithm of how many are significant."""
@@ -228,7 +233,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     share = np.array([*share, max(0.0, 1 - share.sum())])
     model.scale = _scale(scores, share)
     model.rate = float(share[:-1].sum())
-    return _calibrate(model, rows)
+    return _calibrate(_rated(model, rows), rows)
 
 
 def _scale(scores: np.ndarray, share: np.ndarray) -> float:
@@ -245,20 +250,43 @@ def _scale(scores: np.ndarray, share: np.ndarray) -> float:
     return high
 
 
+def _rated(model: Model, rows: DataFrame) -> Model:
+    """model with K from the clean training texts: the number of their segments whose scaled score is 1 and more, over what K = 1 lets expect."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, high, tokens = shared.value, 0, 0
+        for batch in source:
+            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if not toxic:
+                    words = lower_words(text)
+                    tokens += len(words)
+                    if not own.words.keys().isdisjoint(words):
+                        high += sum(own.scale * s >= 1 for _, _, s in own.segments(words))
+        yield pa.RecordBatch.from_arrays([pa.array([high], pa.int64()), pa.array([tokens], pa.int64())], names=["high", "tokens"])
+
+    found = rows.mapInArrow(lean(run), "high long, tokens long").agg(F.sum("high").alias("high"), F.sum("tokens").alias("tokens")).first()
+    shared.destroy()
+    if found["tokens"]:
+        model.rate = (found["high"] + 0.5) * math.e / found["tokens"]
+    return model
+
+
 def _calibrate(model: Model, rows: DataFrame) -> Model:
-    """Logistic curve over the feature, fitted to a histogram of (feature in tenths, label) counts of all training texts."""
+    """Logistic curve over the feature, fitted to a histogram of (feature to three digits, label) counts of all training texts."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
-    schema = pa.schema([("bin", pa.int32()), ("toxic", pa.int32()), ("n", pa.int64())])
+    schema = pa.schema([("bin", pa.float64()), ("toxic", pa.int32()), ("n", pa.int64())])
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         own, counts = shared.value, Counter()
         for batch in source:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts[round(min(own.feature(lower_words(text)), 50) * 10), int(bool(toxic))] += 1
+                counts[float(f"{own.feature(lower_words(text)):.3g}"), int(bool(toxic))] += 1
         yield from ((*k, n) for k, n in counts.items())
 
-    bins = rows.mapInArrow(lean(lambda source: batches(run(source), schema)), "bin int, toxic int, n long").groupBy("bin", "toxic").agg(F.sum("n").alias("n")).collect()
-    x = np.array([r["bin"] / 10 for r in bins])
+    bins = rows.mapInArrow(lean(lambda source: batches(run(source), schema)), "bin double, toxic int, n long").groupBy("bin", "toxic").agg(F.sum("n").alias("n")).collect()  # 900 rows a power of ten and label at most
+    shared.destroy()
+    x = np.array([r["bin"] for r in bins])
     y = np.array([float(r["toxic"]) for r in bins])
     n = np.array([float(r["n"]) for r in bins])
     design = np.stack([x, np.ones_like(x)], 1)
