@@ -6,7 +6,7 @@ the ancestors (a node's capacity is the sum of its leaves', so an ancestor never
 then takes whole epochs of its documents and, of the epoch after these, a prefix of the seeded order.
 
 The prefix needs running sums over leaves of any size: documents are dealt by the order's hash to ``BUCKETS`` buckets,
-bucket sums give where each bucket begins, and only the bucket in which a leaf's budget ends is put in order.
+bucket sums give the one in which a leaf's budget ends, and only that bucket is put in order.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import small, written
+from treeloom.llm.common import free_name, small, written
 
 SEED, PERCENT, EPOCHS = 17, 80, 2
 #: Target weights of languages; every other language, and every domain and source, has weight 1.
@@ -24,18 +24,20 @@ LANGUAGE_WEIGHTS = {"en": 4, "de": 2, "fr": 2, "es": 2}
 BUCKETS, BITS = 4096, 48
 
 LEAF = ["domain", "lang", "source"]
+#: Pattern of a token.
+TOKEN = "[^\\x20\\x09-\\x0D]+"
 
 
 def n_tokens(text: Column) -> Column:
-    """Stretches between blanks: the unit in which budgets are measured. 0 for null and empty texts."""
-    return F.when(F.length(text) > 0, F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1).otherwise(0).cast("long")
+    """Stretches between ASCII white space: the unit in which budgets are measured. 0 for null and empty texts."""
+    return F.coalesce(F.regexp_count(text, F.lit(TOKEN)), F.lit(0)).cast("long")
 
 
-def with_leaf(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with _leaf (domain, lang, source; null counts as '') and _n. The domain is the letters a source's name begins with."""
+def with_leaf(docs: DataFrame, text: str = "text", leaf: str = "_leaf", n: str = "_n") -> DataFrame:
+    """docs with the leaf (domain, lang, source; null counts as '') and the number of tokens. The domain is the letters a source's name begins with."""
     source, lang = F.coalesce(F.col("source"), F.lit("")), F.coalesce(F.col("lang"), F.lit(""))
-    leaf = F.struct(F.regexp_extract(source, "^[A-Za-z]*", 0).alias("domain"), lang.alias("lang"), source.alias("source"))
-    return docs.withColumns({"_leaf": leaf, "_n": n_tokens(F.col(text))})
+    parts = F.struct(F.regexp_extract(source, "^[A-Za-z]*", 0).alias("domain"), lang.alias("lang"), source.alias("source"))
+    return docs.withColumns({leaf: parts, n: n_tokens(F.col(text))})
 
 
 def _weight(column: str, weights: dict[str, int]) -> Column:
@@ -88,13 +90,16 @@ def _place(seed: int, epoch: str = "_whole") -> Column:
 def mix(docs: DataFrame, percent: int = PERCENT, epochs: int = EPOCHS, seed: int = SEED, **weights: dict[str, int]) -> DataFrame:
     """Rows of docs with epoch (int, from 0) and n_tokens (long): a document comes once for each epoch it is taken in.
 
-    docs has doc_id, text, lang and source; other columns pass, those called like a new one are replaced. Texts without
-    tokens (null, empty) are never taken. Null languages and sources are leaves of their own, called ''. Of one epoch a
-    leaf takes the longest prefix of its seeded order that its budget holds; repeated rows are documents of their own, in
-    order of their tokens. An empty table gives an empty result.
+    docs has doc_id, text, lang and source; other columns pass, whatever their names, and those called like a new one
+    are replaced. Texts without tokens (null, empty, white space) are never taken. Null languages and sources are leaves
+    of their own, called ''. Of one epoch a leaf takes the longest prefix of its seeded order that its budget holds;
+    repeated rows are documents of their own, in order of their tokens. An empty table gives an empty result.
     """
     kept = [c for c in docs.columns if c.lower() not in ("epoch", "n_tokens")]
-    rows = with_leaf(docs.select(*kept)).where("_n > 0")
+    # all columns of docs in one, so that no name of theirs meets one of the plan's
+    leaf, n = free_name(kept, "_leaf"), free_name(kept, "_n")
+    rows = with_leaf(docs.select(*[F.col(f"`{c}`") for c in kept]), leaf=leaf, n=n)
+    rows = rows.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), F.col(leaf).alias("_leaf"), F.col(n).alias("_n")).where("_n > 0").withColumn("doc_id", F.col("_row.doc_id"))
     slim = written(rows.select("doc_id", "_leaf", "_n"), "mix-slim")
     leaves = slim.groupBy("_leaf").agg(F.sum("_n").alias("tokens")).select("_leaf.*", "tokens")
     plan = budgets(leaves, percent, epochs, **weights).select(F.struct(*LEAF).alias("_leaf"), F.expr("cast(budget div tokens as int)").alias("_whole"), (F.col("budget") % F.col("tokens")).alias("_rest"))
@@ -102,16 +107,16 @@ def mix(docs: DataFrame, percent: int = PERCENT, epochs: int = EPOCHS, seed: int
     place = lambda df: df.join(small(plan), "_leaf").withColumn("_place", _place(seed)).withColumn("_bucket", F.shiftright("_place", BITS).cast("int"))
     sums = place(slim).groupBy("_leaf", "_bucket", "_rest").agg(F.sum("_n").alias("_sum"))
     before = F.coalesce(F.sum("_sum").over(Window.partitionBy("_leaf").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    # what is left of the budget where a bucket begins: buckets that fit whole, and the one in which it ends
-    starts = written(sums.withColumn("_before", before).where("_before < _rest").select("_leaf", "_bucket", (F.col("_rest") - F.col("_before")).alias("_room"), (F.col("_before") + F.col("_sum") <= F.col("_rest")).alias("_fits")), "mix-buckets")
-    full = small(starts.where("_fits").select("_leaf", "_bucket", F.lit(1).alias("_in")))
-    last = small(starts.where("not _fits").select("_leaf", "_bucket", "_room"))
-    placed = place(rows)
+    # the bucket in which a leaf's prefix ends, and what is left of the budget where it begins
+    ends = sums.withColumn("_before", before).where("_before <= _rest and _before + _sum > _rest").select("_leaf", F.col("_bucket").alias("_last"), (F.col("_rest") - F.col("_before")).alias("_room"))
+    ends = small(written(ends, "mix-ends"))
+    placed = place(rows).join(ends, "_leaf", "left")
     running = F.sum("_n").over(Window.partitionBy("_leaf", "_bucket").orderBy("_place", "doc_id", "_n").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    some = placed.join(last, ["_leaf", "_bucket"]).withColumn("_running", running).where("_running <= _room").select(*kept, F.col("_whole").alias("epoch"), F.col("_n").alias("n_tokens"))
-    times = F.col("_whole") + F.coalesce(F.col("_in"), F.lit(0))
-    most = placed.join(full, ["_leaf", "_bucket"], "left").withColumn("epoch", F.explode(F.when(times > 0, F.sequence(F.lit(0), times - 1)).otherwise(F.array().cast("array<int>"))))
-    return most.select(*kept, "epoch", F.col("_n").alias("n_tokens")).union(some)
+    out = lambda epoch: ["_row.*", epoch.alias("epoch"), F.col("_n").alias("n_tokens")]
+    some = placed.where("_bucket = _last").withColumn("_running", running).where("_running <= _room").select(*out(F.col("_whole")))
+    times = F.col("_whole") + F.when(F.col("_bucket") < F.col("_last"), 1).otherwise(0)
+    most = placed.withColumn("_epoch", F.explode(F.when(times > 0, F.sequence(F.lit(0), times - 1)).otherwise(F.array().cast("array<int>"))))
+    return most.select(*out(F.col("_epoch"))).union(some)
 
 
 def oracle(percent: int = PERCENT, epochs: int = EPOCHS, seed: int = SEED, languages: dict[str, int] | None = None, table: str = "documents") -> str:
@@ -129,8 +134,8 @@ def oracle(percent: int = PERCENT, epochs: int = EPOCHS, seed: int = SEED, langu
     return f"""
 WITH d AS (
   SELECT doc_id, regexp_extract(coalesce(source, ''), '^[A-Za-z]*') AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
-         length(text) - length(replace(text, ' ', '')) + 1 AS n
-  FROM {table} WHERE length(text) > 0),
+         len(regexp_extract_all(text, '{TOKEN}')) AS n
+  FROM {table} WHERE len(regexp_extract_all(text, '{TOKEN}')) > 0),
 leaves AS (SELECT domain, lang, source, sum(n)::BIGINT AS tokens, (sum(n) * {epochs})::BIGINT AS cap FROM d GROUP BY ALL),
 root AS (SELECT 1 AS root, domain, sum(cap)::BIGINT AS cap, 1 AS weight, (SELECT least((sum(tokens) * {percent}) // 100, sum(cap))::BIGINT FROM leaves) AS total FROM leaves GROUP BY domain),
 {level("t", "root", "root", "domain").strip()},
