@@ -1,6 +1,6 @@
 """BPE encoding by backtracking over longest matches, decoding by an offset table.
 
-The encoder never runs the merge loop on a text. An Aho-Corasick trie of the vocabulary gives the longest token at a
+The encoder never runs the merge loop on a text. One scan with an Aho-Corasick automaton gives the longest token at each
 position; a token is kept if it may follow the one before it, which the pair-compatibility table answers: two tokens
 may stand side by side in a BPE result exactly if no merge across their border comes before the merges that made them.
 Where a token may not follow, the next shorter one is tried, then the token before it is taken back. A bit set of dead
@@ -33,7 +33,7 @@ WHITE_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u2
 LATIN = "\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u012f\\u0131-\\u0148\\u014a-\\u017e"
 _OTHER = re.compile(f"[^\\x00-\\x7f{LATIN}]")
 
-#: Marks the end of a word inside the trie; no byte symbol uses it.
+#: Marks the end of a word inside the automaton; no byte symbol uses it.
 _END = "\x00"
 
 #: Entries of each of a worker's memos (words, pairs); a memo is emptied when full.
@@ -80,11 +80,12 @@ class Vocabulary:
             if whole not in self.parts:
                 self.parts[whole] = pair
                 self.rank[whole] = rank
-        self.most = max(map(len, self.inner.values()))
-        self.trie = ahocorasick.Automaton()
+        #: finds, from the end of a word on, the tokens that begin at each place
+        self.automaton = ahocorasick.Automaton()
         for i, text in self.inner.items():
             if i in self.parts or self._is_symbol(text):
-                self.trie.add_word(text, i)
+                self.automaton.add_word(text[::-1], i)
+        self.automaton.make_automaton()
         #: token to the longest token that is a proper prefix of it, or -1
         self.shorter: dict[int, int] = {}
         by_text = {text: i for i, text in self.inner.items() if i in self.parts or self._is_symbol(text)}
@@ -143,7 +144,8 @@ class Vocabulary:
         path: list[int] = []
         starts: list[int] = []
         at = 0
-        token = self._longest(text, 0)
+        longest = self._longest(text)
+        token = longest[0] if n else -1
         while at < n:
             while token >= 0:
                 end = at + lengths[token]
@@ -155,7 +157,7 @@ class Vocabulary:
                 starts.append(at)
                 at = end
                 if at < n:
-                    token = self._longest(text, at)
+                    token = longest[at]
             else:
                 dead[at] = 1
                 if not path:
@@ -164,15 +166,13 @@ class Vocabulary:
                 token = shorter[path.pop()]
         return path
 
-    def _longest(self, text: str, start: int) -> int:
-        """The longest token that stands at start, or -1."""
-        length = self.trie.longest_prefix(text[start : start + self.most])
-        while length > 0:
-            found = self.trie.get(text[start : start + length], -1)
-            if found >= 0:
-                return found
-            length -= 1
-        return -1
+    def _longest(self, text: str) -> list[int]:
+        """The longest token that begins at each place, or -1, by one scan of the reversed text."""
+        found, lengths, last = [-1] * len(text), self.lengths, len(text) - 1
+        for end, i in self.automaton.iter(text[::-1]):
+            if found[last - end] < 0 or lengths[i] > lengths[found[last - end]]:
+                found[last - end] = i
+        return found
 
     def split(self, text: str) -> list[str]:
         """The words of a text without special tokens."""
