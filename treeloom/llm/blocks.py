@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import lean, written
+from treeloom.llm.common import lean, partitions, written
 
 #: About how many vectors a block holds.
 ROWS = 4096
@@ -55,16 +57,36 @@ def unpacked(dims: int, ids: bytes, vectors: bytes) -> tuple[np.ndarray, np.ndar
     return np.frombuffer(ids, np.int64), np.frombuffer(vectors, np.float64).reshape(-1, dims)
 
 
-def meetings(rows: DataFrame, queries: DataFrame) -> DataFrame:
-    """Each block of rows with each block of queries of the same length, as (r_ids, r_vectors, q_ids, q_vectors, dims).
+def met(rows: DataFrame, queries: DataFrame, run: Callable[[Iterator[tuple[int, np.ndarray, np.ndarray, Callable]]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """run over the blocks (dims, ids, vectors, query blocks) of each task: a query set against all rows, in blocks.
 
-    Both sides carry the number of their partner, so each meeting is a key of its own and no task gets more than its
-    share: a query set against all rows, in blocks.
+    rows and queries are written tables of blocks. No row moves more than once: tasks hold a block of rows and read the
+    query blocks from the shared folder, one at a time; query blocks() gives those (ids, vectors) of a block's length.
     """
-    a = rows.select("dims", F.xxhash64("block", "ids").alias("r"), F.col("ids").alias("r_ids"), F.col("vectors").alias("r_vectors"))
-    b = queries.select("dims", F.xxhash64("block", "ids").alias("q"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
-    names = a.select("dims", "r").hint("merge").join(b.select("dims", "q").hint("merge"), "dims")
-    return names.hint("merge").join(a, ["dims", "r"]).hint("merge").join(b, ["dims", "q"]).select("r_ids", "r_vectors", "q_ids", "q_vectors", "dims")
+    spark = rows.sparkSession
+    folder = queries._written_at
+    parts = max(1, min(2 * partitions(spark), rows.count()))
+
+    def task(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, path = pyarrow.fs.FileSystem.from_uri(folder)
+        files = sorted(f.path for f in fs.get_file_info(pyarrow.fs.FileSelector(path)) if f.path.endswith(".parquet"))
+
+        def of_length(dims: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for file in files:
+                with fs.open_input_file(file) as opened:
+                    for batch in pq.ParquetFile(opened).iter_batches(1, columns=["dims", "ids", "vectors"]):
+                        for own, ids, vectors in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                            if own == dims:
+                                yield unpacked(dims, ids, vectors)
+
+        def each() -> Iterator[tuple]:
+            for batch in source:
+                for dims, ids, vectors in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                    yield (dims, *unpacked(dims, ids, vectors), lambda d=dims: of_length(d))
+
+        yield from run(each())
+
+    return rows.select("dims", "ids", "vectors").repartition(parts).mapInArrow(lean(task), schema)
 
 
 def best(partial: DataFrame, k: int, order: list) -> DataFrame:

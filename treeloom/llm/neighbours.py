@@ -193,18 +193,14 @@ def _compare(source: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
     yield from best.rows()
 
 
-def _all_distances(meetings: DataFrame, k: int) -> DataFrame:
-    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
-            for r_ids, r, q_ids, q, dims in zip(*(batch.column(n).to_pylist() for n in range(5)), strict=True):
-                best = _Best(k)
-                (ids, rows), (qs, queries) = blocks.unpacked(dims, r_ids, r), blocks.unpacked(dims, q_ids, q)
-                found = distances(queries, rows)
-                for n, query in enumerate(qs.tolist()):
-                    best.add(query, ids, found[n])
-                yield from best.rows()
-
-    return meetings.mapInArrow(lean(run), "query_id long, vec_id long, score double")
+def _all_distances(each: Iterator[tuple], k: int) -> Iterator[pa.RecordBatch]:
+    for _, ids, rows, query_blocks in each:
+        for qs, queries in query_blocks():
+            best = _Best(k)
+            found = distances(queries, rows)
+            for n, query in enumerate(qs.tolist()):
+                best.add(query, ids, found[n])
+            yield from best.rows()
 
 
 def cell_size(rows: DataFrame) -> float:
@@ -242,6 +238,7 @@ def search(vectors: DataFrame, is_query: F.Column, k: int = 10, key: str = "vec_
     starved = written(queries.join(small(enough), "id", "left_anti"), "starved")
     if not starved.isEmpty():
         parts = partitions(spark)
-        met = blocks.meetings(blocks.packed(rows, max(parts, n // blocks.ROWS), parts), blocks.packed(starved, max(1, starved.count() // blocks.ROWS), parts))
-        once = once.union(_all_distances(met, k)).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+        of_rows, of_queries = blocks.packed(rows, max(parts, n // blocks.ROWS), parts), blocks.packed(starved, max(1, starved.count() // blocks.ROWS), parts)
+        rest = blocks.met(of_rows, of_queries, lambda each: _all_distances(each, k), "query_id long, vec_id long, score double")
+        once = once.union(rest).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     return blocks.best(once, k, order)

@@ -4,6 +4,10 @@ Vectors are dealt to blocks. Within a block each dimension has its list of vecto
 all lists of its non-zero dimensions at once, from the end that its sign favours; each vector that it meets is scored
 in full, and no vector farther down can score more than the sum of the values where the lists stand now. The walk ends
 when the kth best score so far, of this block and those before it in the task, is above that bound.
+
+A task sorts the lists of a block once and walks them for all queries. How much is scored depends on the vectors: where
+a few dimensions carry most of a score, walks end early; in vectors of independent directions of equal weight the bound
+is above the kth score until nearly all of a block has been met, whatever the order of the lists.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treeloom.llm import blocks
-from treeloom.llm.common import lean, partitions, written
+from treeloom.llm.common import forget, partitions, written
 
 SCALE = 1024
 #: Entries of each list that are taken at first; each further step takes twice as many.
@@ -51,6 +55,8 @@ class Lists:
         self.exact = float(np.abs(vectors).max(initial=0)) * vectors.shape[1]
         self.repeated = len(np.unique(ids)) < len(ids)
 
+        self.walked = self.scored = 0
+
     def top(self, query_id: int, query: np.ndarray, k: int, floor: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of at most k different ids other than the query's own with the highest scores (ties to smaller ids), without those that score under floor. Of a repeated id the highest score counts."""
         n = len(self.ids)
@@ -74,6 +80,7 @@ class Lists:
                 bound = sum(int(w) * int(v) for w, v in zip(weights, self.vectors[met[-1], used], strict=True))
             else:
                 stop, fresh, bound = n, np.flatnonzero(~seen), None
+            self.scored += len(fresh)
             got = (self.floats[fresh] @ of_query).astype(np.int64) if in_floats else _products(self.vectors[fresh], query)
             keep = self.ids[fresh] != query_id
             if floor is not None:
@@ -90,6 +97,7 @@ class Lists:
                 if len(ids) >= k and int(scores.min()) > bound:
                     break
             at, step = stop, step * 2
+        self.walked += n
         return ids, scores
 
 
@@ -104,30 +112,29 @@ def search(vectors: DataFrame, is_query: F.Column, k: int = 10, key: str = "vec_
     rows = written(blocks.usable(vectors, key, column, zero=True), "lists")
     queries = rows.withColumnRenamed("id", "_id").where(is_query).withColumnRenamed("_id", "id")
     n, parts = rows.count(), partitions(spark)
-    met = blocks.meetings(blocks.packed(rows, max(parts, n // blocks.ROWS), parts), blocks.packed(queries, max(1, queries.count() // blocks.ROWS), parts))
-
-    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        floors: dict[int, int] = {}
-        for batch in source:
-            for r_ids, r, q_ids, q, dims in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
-                ids, own = blocks.unpacked(dims, r_ids, r)
-                lists = Lists(ids, quantized(own, scale))
-                qs, of_queries = blocks.unpacked(dims, q_ids, q)
-                of_queries = quantized(of_queries, scale)
-                for query, v in zip(qs.tolist(), of_queries, strict=True):
-                    found, scores = lists.top(query, v, k, floors.get(query))
-                    if len(found) >= k:
-                        floors[query] = max(floors.get(query, -(2**63)), int(scores.min()))
-                        if len(floors) > 1_000_000:
-                            floors.clear()
-                    if len(found):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), query)), pa.array(found), pa.array(scores)], schema=FOUND)
-
-    partial = met.mapInArrow(lean(run), "query_id long, vec_id long, score long")
+    of_rows, of_queries = blocks.packed(rows, max(parts, n // blocks.ROWS), parts), blocks.packed(queries, max(1, queries.count() // blocks.ROWS), parts)
+    partial = written(blocks.met(of_rows, of_queries, lambda each: _top(each, k, scale), "query_id long, vec_id long, score long"), "top")
     once = partial.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    for table in (rows, of_rows, of_queries):
+        forget(table)
     return blocks.best(once, k, [F.col("score").desc(), F.col("vec_id").asc()])
 
 
+def _top(each: Iterator[tuple], k: int, scale: int) -> Iterator[pa.RecordBatch]:
+    floors: dict[int, int] = {}
+    for _, ids, own, query_blocks in each:
+        lists = Lists(ids, quantized(own, scale))
+        for qs, vectors in query_blocks():
+            for query, v in zip(qs.tolist(), quantized(vectors, scale), strict=True):
+                found, scores = lists.top(query, v, k, floors.get(query))
+                if len(found) >= k:
+                    floors[query] = max(floors.get(query, -(2**63)), int(scores.min()))
+                    if len(floors) > 1_000_000:
+                        floors.clear()
+                if len(found):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), query)), pa.array(found), pa.array(scores)], schema=FOUND)
+
+
 ORACLE = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
