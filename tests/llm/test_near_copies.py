@@ -54,5 +54,22 @@ def test_squares_of_large_groups():
             sides = np.array([0] * len(range(a, min(a + side, n))) + ([] if a == b else [1] * len(range(b, min(b + side, n)))))
             same = np.full(len(members), 6)
             sketch = [jaccard.bit_sketch(np.arange(6).astype(np.uint64))] * len(members)
-            seen += [tuple(sorted((members[x], members[y]))) for p, q in jaccard.near_pairs(same, np.arange(len(members)), sketch, 80, sides) for x, y in zip(p.tolist(), q.tolist(), strict=True)]
+            seen += [tuple(sorted((members[x], members[y]))) for x, others, _ in jaccard.near_pairs(same, np.arange(len(members)), sketch, 80, sides) for y in others.tolist()]
     assert sorted(seen) == [(i, j) for i in range(n) for j in range(i + 1, n)]
+
+
+def test_pairs_of_several_groups_are_given_once():
+    """Of the groups that both classes are in, only that of the least common mark gives the pair; without one in sight, all do."""
+    import numpy as np
+
+    marks = np.zeros((3, jaccard.MARKS), np.int64)
+    marks[0, :3], marks[1, :3], marks[2, :2] = (5, 7, 9), (7, 9, 11), (1, 3)
+    assert [m for m in (7, 9, 11) if jaccard._once(m, marks, 0, np.array([1]))[0]] == [7]
+    assert jaccard._once(9, marks, 0, np.array([2, 1])).tolist() == [True, False]
+
+
+def test_forest_connects_what_all_pairs_connect():
+    import numpy as np
+
+    a, b, differ = np.array([0, 0, 1, 2, 3]), np.array([1, 2, 2, 3, 4]), np.array([3, 1, 2, 5, 0])
+    assert sorted(jaccard._forest(a, b, differ, np.array([10, 11, 12, 12, 13])).tolist()) == [1, 2, 4]

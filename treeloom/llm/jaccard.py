@@ -15,10 +15,10 @@ lost either way, whatever counts as frequent.
 
 What is joined are classes of equal sets, each once. A first round deals the first few blocks of each class only: there
 nearly all near sets meet, each with the first of its group, and their links give components. The second round deals all
-blocks, and groups whose classes are in one component already give nothing. Of the others, all pairs between different
-components are tested. Pairs are refused by a second parity sketch (each shingle flips one bit, and again the Hamming
-distance is a lower bound) before any text moves, and what it allows is compared in full: components are exact without
-listing the pairs of a group of copies.
+blocks, and groups whose classes are in one component already give nothing. In the others, pairs between different
+components are refused by a second parity sketch (each shingle flips one bit, and again the Hamming distance is a lower
+bound) before any text moves: first a spanning forest of the nearest pairs that it allows is compared in full, then all
+that it allows between what is still apart. So components are exact without listing the pairs of a group of copies.
 """
 
 from __future__ import annotations
@@ -46,8 +46,10 @@ RATIO = 1.5
 FREQUENT, LEAST_FREQUENT, TOLD = 0.0008, 3, 200_000
 #: Shingles that a task counts at once.
 COUNTED = 2_000_000
-#: Bits of the largest sketch by which pairs are refused before their sets are compared.
-MOST_BITS = 4096
+#: Bits a shingle, at least, of the sketch by which pairs are refused before their sets are compared, and of the largest one.
+BITS, MOST_BITS = 4, 16384
+#: Marks of a class's groups by which a pair that shares several groups is told from one of them.
+MARKS = 8
 #: Sketches that a task holds before it passes them on.
 FLUSH = 500_000
 #: Blocks of each band that the first round deals.
@@ -184,8 +186,8 @@ def keys_of(found: np.ndarray, percent: int, frequent: Frequent, of_band: Callab
 
 
 def bit_sketch(found: np.ndarray) -> np.ndarray:
-    """The parity sketch of a set in 64-bit words: each shingle flips one bit. The number of bits is a power of two, twice the set's size at least, MOST_BITS at most."""
-    bits = min(MOST_BITS, max(64, 1 << (2 * len(found) - 1).bit_length()))
+    """The parity sketch of a set in 64-bit words: each shingle flips one bit. The number of bits is a power of two, BITS for each shingle at least, MOST_BITS at most."""
+    bits = min(MOST_BITS, max(64, 1 << (BITS * len(found) - 1).bit_length()))
     flipped = np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(flipped.astype(np.uint8), bitorder="little").view(np.uint64)
 
@@ -376,38 +378,23 @@ def _mixed_groups(dealt: DataFrame) -> DataFrame:
     return dealt.mapInArrow(lean(run), "mark binary, nodes binary, components binary")
 
 
-def _bridges(groups: DataFrame) -> DataFrame:
-    """(a, b): the first class of each group with the first of every other component."""
-
-    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
-            pairs = set()
-            for nodes, components in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                who = np.frombuffer(nodes, np.int64)
-                first = who[np.unique(np.frombuffer(components, np.int64), return_index=True)[1]].tolist()
-                pairs.update((int(who[0]), x) for x in first if x != who[0])
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in pairs], pa.int64()) for k in range(2)], names=["a", "b"])
-
-    return groups.select("nodes", "components").mapInArrow(lean(run), "a long, b long").distinct()
-
-
 def _unpacked(groups: DataFrame) -> DataFrame:
-    """(mark, square, side, node) for each class of each packed group: in groups of more than SIDE, each stretch of SIDE
-    classes meets itself (square (i, i), side 0 only) and each later stretch (square (i, j), sides 0 and 1)."""
+    """(mark, square, side, node) for each class of each packed group, the mark as a number: in groups of more than SIDE,
+    each stretch of SIDE classes meets itself (square (i, i), side 0 only) and each later stretch (square (i, j), sides 0 and 1)."""
     names = ["mark", "square", "side", "node"]
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[bytes, int, int, np.ndarray]] = []
+        held: list[tuple[int, int, int, np.ndarray]] = []
         size = 0
 
         def out() -> pa.RecordBatch:
             times = [len(h[3]) for h in held]
-            marks = pa.array([h[0] for h in held], pa.binary()).take(pa.array(np.repeat(np.arange(len(held)), times)))
-            return pa.RecordBatch.from_arrays([marks, *(pa.array(np.repeat(np.array([h[k] for h in held], t), times)) for k, t in ((1, np.int64), (2, np.int32))), pa.array(np.concatenate([h[3] for h in held]))], names=names)
+            columns = [pa.array(np.repeat(np.array([h[k] for h in held], t), times)) for k, t in ((0, np.int64), (1, np.int64), (2, np.int32))]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate([h[3] for h in held]))], names=names)
 
         for batch in source:
-            for mark, nodes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                who = np.frombuffer(nodes, np.int64)
+            for long_mark, nodes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                mark, who = int.from_bytes(long_mark[:8], "little", signed=True) | 1, np.frombuffer(nodes, np.int64)
                 stretches = range(0, len(who), SIDE)
                 for i, a in enumerate(stretches):
                     for j, b in enumerate(stretches):
@@ -420,11 +407,11 @@ def _unpacked(groups: DataFrame) -> DataFrame:
         if held:
             yield out()
 
-    return groups.select("mark", "nodes").mapInArrow(lean(run), "mark binary, square long, side int, node long")
+    return groups.select("mark", "nodes").mapInArrow(lean(run), "mark long, square long, side int, node long")
 
 
-def near_pairs(sizes: np.ndarray, components: np.ndarray, sketch: list[np.ndarray], percent: int, sides: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places (i, j) of all pairs of different components (and, if sides are given and both occur, of different sides) whose sizes and sketches allow the similarity, each once."""
+def near_pairs(sizes: np.ndarray, components: np.ndarray, sketch: list[np.ndarray], percent: int, sides: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(i, places j, bits that differ) of all pairs of different components (and, if sides are given and both occur, of different sides) whose sizes and sketches allow the similarity, each once."""
     order = np.argsort(sizes, kind="stable")
     sizes, components, rows = sizes[order], components[order], [sketch[k] for k in order]
     sides = None if sides is None or (sides == sides[0]).all() else sides[order]
@@ -442,9 +429,9 @@ def near_pairs(sizes: np.ndarray, components: np.ndarray, sketch: list[np.ndarra
             continue
         start, at = at_words[words[i]]
         differ = np.bitwise_count(at[fit - start] ^ at[i - start]).sum(axis=1, dtype=np.int64)
-        found = fit[(100 + percent) * differ <= (100 - percent) * (sizes[fit] + sizes[i])]
-        if len(found):
-            yield np.full(len(found), order[i]), order[found]
+        near = (100 + percent) * differ <= (100 - percent) * (sizes[fit] + sizes[i])
+        if near.any():
+            yield int(order[i]), order[fit[near]], differ[near]
 
 
 def folded_to(rows: list[np.ndarray], words: np.ndarray, least: int) -> tuple[int, np.ndarray]:
@@ -458,37 +445,81 @@ def _stretches(words: np.ndarray, start: int) -> Iterator[tuple[int, int]]:
     yield from zip(edge[:-1], edge[1:], strict=True)
 
 
-def _allowed(groups: DataFrame, nodes: DataFrame, percent: int, parts: int) -> DataFrame:
+def _once(mark: int, marks: np.ndarray, i: int, others: np.ndarray) -> np.ndarray:
+    """Which of the pairs (i, others) this group is to give: those whose least common mark is this group's, and those of which no common mark is known."""
+    common = (marks[others][:, :, None] == marks[i][None, None, :]) & (marks[i] != 0)
+    first = np.where(common.any(2), marks[others], np.iinfo(np.int64).max).min(1)
+    return (first == mark) | (first == np.iinfo(np.int64).max)
+
+
+def _forest(a: np.ndarray, b: np.ndarray, differ: np.ndarray, components: np.ndarray) -> np.ndarray:
+    """Which of the pairs, the nearest first, connect components that those before don't."""
+    ends = np.sort(np.stack((components[a], components[b])), axis=0)
+    order = np.lexsort((b, a, differ, ends[1], ends[0]))
+    fresh = np.concatenate(([True], (ends[:, order[1:]] != ends[:, order[:-1]]).any(0)))
+    best = order[fresh]  # the nearest of two components
+    best = best[np.lexsort((b[best], a[best], differ[best]))]
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    keep = []
+    for k, x, y in zip(best.tolist(), *ends[:, best].tolist(), strict=True):
+        x, y = find(x), find(y)
+        if x != y:
+            root[x] = y
+            keep.append(k)
+    return np.array(keep, np.int64)
+
+
+def _marks(groups: DataFrame) -> DataFrame:
+    """(node, marks): the least marks of each class, which is in no more groups than it has blocks."""
+    rows = _unpacked(groups).where("side = 0").select("node", "mark").distinct()
+    return rows.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("mark")), 1, MARKS).alias("marks"))
+
+
+def _allowed(groups: DataFrame, marks: DataFrame, nodes: DataFrame, percent: int, parts: int, spanning: bool) -> DataFrame:
     """(a, b): pairs of classes of one group but different components whose bit sketches differ in no more bits than near
-    sets may differ in shingles. Groups are gone through in memory, at most 2 * SIDE classes at once, and no other pair leaves a task."""
-    rows = _unpacked(groups).hint("merge").join(small(nodes.select("node", "component", F.col("n_shingles").alias("n"), "sketch")), "node")
-    dealt = rows.select("mark", "square", "side", "node", "component", "n", "sketch").repartition(parts, "mark", "square").sortWithinPartitions("mark", "square")
+    sets may differ in shingles; all of them, or a spanning forest of each group. Groups are gone through in memory, at
+    most 2 * SIDE classes at once, and no other pair leaves a task."""
+    about = written(marks.hint("merge").join(small(nodes.select("node", "component", F.col("n_shingles").alias("n"), "sketch")), "node"), "members")
+    dealt = _unpacked(groups).hint("merge").join(small(about), "node").select("mark", "square", "side", "node", "component", "n", "sketch", "marks").repartition(parts, "mark", "square").sortWithinPartitions("mark", "square")
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
-        mark, held = None, []
+        group, held = None, []
 
         def pairs() -> Iterator[pa.RecordBatch]:
-            side, node, component, n, sketch = zip(*held, strict=True)
-            a, b = [], []
-            for i, j in near_pairs(np.array(n), np.array(component), [np.frombuffer(x, np.uint64) for x in sketch], percent, np.array(side)):
-                for k, m in zip(i.tolist(), j.tolist(), strict=True):
-                    pair = (min(node[k], node[m]), max(node[k], node[m]))
-                    if pair not in seen:
-                        seen.add(pair)
-                        a.append(pair[0])
-                        b.append(pair[1])
-            if len(seen) > 500_000:
-                seen.clear()
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            side, node, component, n, sketch, marks = zip(*held, strict=True)
+            component = np.array(component)
+            if (component == component[0]).all():
+                return
+            node = np.array(node)
+            own = np.zeros((len(node), MARKS), np.int64)
+            for k, x in enumerate(marks):
+                own[k, : len(x)] = x
+            a, b, differ = [], [], []
+            for i, others, bits in near_pairs(np.array(n), component, [np.frombuffer(x, np.uint64) for x in sketch], percent, np.array(side)):
+                keep = _once(group[0], own, i, others)
+                a.append(np.full(keep.sum(), i))
+                b.append(others[keep])
+                differ.append(bits[keep])
+            if a and sum(map(len, a)):
+                a, b = np.concatenate(a), np.concatenate(b)
+                if spanning:
+                    keep = _forest(a, b, np.concatenate(differ), component)
+                    a, b = a[keep], b[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[a], node[b])), pa.array(np.maximum(node[a], node[b]))], names=["a", "b"])
 
         for batch in source:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
-                if row[:2] != mark:
+            for row in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
+                if row[:2] != group:
                     if held:
                         yield from pairs()
-                    mark, held = row[:2], []
+                    group, held = row[:2], []
                 held.append(row[2:])
         if held:
             yield from pairs()
@@ -590,15 +621,17 @@ def _resolved(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Dat
     numbered = grouped.select(F.monotonically_increasing_id().alias("node"), "*")
     nodes = written(numbered.select("node", F.col("node").alias("component"), "first", "signature", "n_shingles", "sketch"), "nodes")
     frequent = spark.sparkContext.broadcast(told(found))
-    # the first blocks, then all of them, where components differ: first classes of components, then all pairs
+    # the first blocks, then all of them, where components differ: spanning forests, then all pairs
     dealt = _dealt(_texts(docs, nodes), words, percent, 3 * n, frequent, first_sketches).repartition(n, "bucket")
     nodes = _linked(written(_refused(_starred(dealt).distinct(), nodes, percent), "pairs"), docs, nodes, words, percent)
     dealt = _dealt(_texts(docs, nodes), words, percent, 3 * n, frequent, sketches).repartition(n, "bucket")
     groups = written(_mixed_groups(dealt).dropDuplicates(["mark"]), "groups")
-    nodes = _linked(written(_refused(_bridges(groups), nodes, percent), "pairs"), docs, nodes, words, percent)
-    nodes = _linked(written(_allowed(groups, nodes, percent, n), "pairs"), docs, nodes, words, percent)
+    marks = written(_marks(groups), "marks")
+    for spanning in (True, False):
+        nodes = _linked(written(_allowed(groups, marks, nodes, percent, n, spanning), "pairs"), docs, nodes, words, percent)
     frequent.destroy()
     forget(groups)
+    forget(marks)
     return own, nodes.select("signature", "first", "component")
 
 
