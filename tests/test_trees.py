@@ -25,44 +25,54 @@ def at(spark, *pre):
 
 def test_save(spark):
     texts = [
-        "<node attr='1'><child>text</child></node>", "<node attr='1'><child><sub/>text</child></node>", "<a b='&quot;&lt;&#10;&#9;'>&lt;&amp;&#7;</a>",
-        "<a><![CDATA[1]]]]><![CDATA[>2]]></a>", "<a><!--a--><?p v?><b/></a>",
+        "<hut door='oak'><roof>reed</roof></hut>", "<hut><roof><beam/>reed</roof><!--old--></hut>", "<hut sign='&quot;in &lt; out&quot;&#10;&#9;'>wind &amp; rain &lt; &#7;</hut>",
+        "<hut><![CDATA[a]]]]><![CDATA[>b]]></hut>", "<hut><!--empty--><?sweep twice?><bed/></hut>",
     ]
     nodes = tree(spark, *texts, flags=S.FULL)
     assert raw(nodes) == [
-        '<node attr="1"><child>text</child></node>', '<node attr="1"><child><sub />text</child></node>', '<a b="&quot;&lt;&#10;\t">&lt;&amp;&#07;</a>',
-        "<a><![CDATA[1]]]]><![CDATA[>2]]></a>", "<a><!--a--><?p v?><b /></a>",
+        '<hut door="oak"><roof>reed</roof></hut>', "<hut><roof><beam />reed</roof><!--old--></hut>", '<hut sign="&quot;in &lt; out&quot;&#10;\t">wind &amp; rain &lt; &#07;</hut>',
+        "<hut><![CDATA[a]]]]><![CDATA[>b]]></hut>", "<hut><!--empty--><?sweep twice?><bed /></hut>",
     ]
+    assert raw(nodes.where("doc_id = 2"), RAW | serialize.NO_ESCAPES) == ['<hut sign=""in < out"\n\t">wind & rain < \x07</hut>']
     indented = [r["xml"] for r in serialize.save(nodes).orderBy("doc_id").collect()]
-    assert indented[1] == '<?xml version="1.0"?>\n<node attr="1">\n\t<child>\n\t\t<sub />\n\t\ttext\n\t</child>\n</node>\n'
-    part = serialize.printed(nodes.where("doc_id = 1"), spark.createDataFrame([(1, 3)], "doc_id long, pre int"), flags=serialize.RAW).first()
-    assert part["xml"] == "<child><sub />text</child>"
-    assert serialize.encoded(spark.createDataFrame([("é",)], "xml string"), "utf16_le").first()["xml"] == "é".encode("utf-16-le")
+    assert indented[1] == '<?xml version="1.0"?>\n<hut>\n\t<roof>\n\t\t<beam />\n\t\treed\n\t</roof>\n\t<!--old-->\n</hut>\n'
+    part = serialize.printed(nodes.where("doc_id = 1"), spark.createDataFrame([(1, 2)], "doc_id long, pre int"), flags=serialize.RAW).first()
+    assert part["xml"] == "<roof><beam />reed</roof>"
+    assert serialize.encoded(spark.createDataFrame([("füße",)], "xml string"), "utf16_le").first()["xml"] == "füße".encode("utf-16-le")
 
 
 def test_cdata_and_comments(spark):
-    df = spark.createDataFrame([("1]]>2]]>3", "a--b-")], "c string, d string").select(serialize.cdata(F.col("c")), serialize.comment(F.col("d"))).first()
-    assert tuple(df) == ("<![CDATA[1]]]]><![CDATA[>2]]]]><![CDATA[>3]]>", "<!--a- -b- -->")
+    df = spark.createDataFrame([("x[y[0]]>z]]>", "up--down---")], "c string, d string").select(serialize.cdata(F.col("c")), serialize.comment(F.col("d"))).first()
+    assert tuple(df) == ("<![CDATA[x[y[0]]]]><![CDATA[>z]]]]><![CDATA[>]]>", "<!--up- -down- - - -->")
 
 
 def test_navigation(spark):
-    nodes = tree(spark, X.NESTED)
+    nodes = tree(spark, X.GARDEN)
     pre = lambda df: sorted(r["pre"] for r in df.collect())
-    assert pre(navigate.children(nodes, at(spark, 1))) == [3, 6, 8]
-    assert pre(navigate.child(nodes, at(spark, 1, 3), "subchild")) == [5]
-    assert pre(navigate.first_child(nodes, at(spark, 1))) == [3] and pre(navigate.last_child(nodes, at(spark, 1))) == [8]
-    assert pre(navigate.next_sibling(nodes, at(spark, 3))) == [6] and pre(navigate.next_sibling(nodes, at(spark, 3), "last")) == [8]
-    assert pre(navigate.previous_sibling(nodes, at(spark, 8))) == [6] and pre(navigate.previous_sibling(nodes, at(spark, 8), "child")) == [3]
-    assert pre(navigate.parent(nodes, at(spark, 5, 0))) == [3] and pre(navigate.root(nodes, at(spark, 5))) == [0]
-    assert pre(navigate.attribute(nodes, at(spark, 3), "attr")) == [4] and pre(navigate.attributes(nodes, at(spark, 1))) == [2]
+    assert pre(navigate.children(nodes, at(spark, 1))) == [3, 7, 8, 13] and pre(navigate.children(nodes, at(spark, 1, 3), "bed")) == [3, 8]
+    assert pre(navigate.child(nodes, at(spark, 3, 8), "fern")) == [6, 10]
+    assert pre(navigate.first_child(nodes, at(spark, 1))) == [3] and pre(navigate.last_child(nodes, at(spark, 1))) == [13]
+    assert pre(navigate.first_attribute(nodes, at(spark, 8))) == [9] and pre(navigate.last_attribute(nodes, at(spark, 1))) == [2]
+    assert pre(navigate.next_sibling(nodes, at(spark, 3))) == [7] and pre(navigate.next_sibling(nodes, at(spark, 3), "bed")) == [8]
+    assert pre(navigate.previous_sibling(nodes, at(spark, 13))) == [8] and pre(navigate.previous_sibling(nodes, at(spark, 13), "path")) == [7]
+    assert pre(navigate.parent(nodes, at(spark, 12, 0))) == [11] and pre(navigate.root(nodes, at(spark, 12))) == [0]
+    assert pre(navigate.attribute(nodes, at(spark, 3), "no")) == [4] and pre(navigate.attributes(nodes, at(spark, 1))) == [2]
     assert pre(navigate.document_element(nodes)) == [1]
-    assert pre(navigate.first_element_by_path(nodes, at(spark, 0), "node//another/subchild")) == [7]
-    assert pre(navigate.first_element_by_path(nodes, at(spark, 5), "../../last/.")) == [8]
-    assert pre(navigate.find_node(nodes, at(spark, 0), F.col("name") == "subchild")) == [5]
-    assert pre(navigate.find_child_by_attribute(nodes, at(spark, 1), "attr", "value")) == [3]
-    assert {r["path"] for r in navigate.path(nodes, at(spark, 0, 5)).collect()} == {"", "/node/child/subchild"}
-    seen = navigate.traverse(nodes, at(spark, 1), lambda: F.col("name") == "another").orderBy("pre").collect()
-    assert [(r["pre"], r["depth"]) for r in seen] == [(3, 0), (5, 1), (6, 0)]
+    assert pre(navigate.first_element_by_path(nodes, at(spark, 0), "garden//bed/rose")) == [5]
+    assert pre(navigate.first_element_by_path(nodes, at(spark, 12), "../../fern/.")) == [10] and pre(navigate.first_element_by_path(nodes, at(spark, 12), "/garden/gate")) == [13]
+    assert pre(navigate.find_node(nodes, at(spark, 0), F.col("name") == "fern")) == [6]
+    assert pre(navigate.find_child_by_attribute(nodes, at(spark, 1), "no", "2")) == [8]
+    assert {r["path"] for r in navigate.path(nodes, at(spark, 0, 12)).collect()} == {"", "/garden/bed/moss/spore"}
+    seen = navigate.traverse(nodes, at(spark, 1), lambda: F.col("name") == "moss").orderBy("pre").collect()
+    assert [(r["pre"], r["depth"]) for r in seen] == [(3, 0), (5, 1), (6, 1), (7, 0), (8, 0), (10, 1), (11, 1)]
+
+
+def test_paths_of_other_kinds(spark):
+    """A step is a name, of whatever kind its node is."""
+    nodes = tree(spark, "<hut><?sweep twice?><sweep><dust/></sweep></hut>", flags=S.FULL)
+    found = navigate.first_element_by_path(nodes, at(spark, 0), "hut/sweep").collect()
+    assert [(r["pre"], r["kind"]) for r in found] == [(2, "pi")]
+    assert [r["pre"] for r in navigate.first_element_by_path(nodes, at(spark, 0), "hut/sweep/dust").collect()] == [4]
 
 
 def test_text(spark):
@@ -72,10 +82,14 @@ def test_text(spark):
     assert [r["value"] for r in navigate.child_value(nodes, at(spark, 4)).collect()] == [""]
 
 
-@pytest.mark.parametrize(
-    ("text", "expected"),
-    [("1", (1, 1, 1.0, True)), ("-1", (-1, 4294967295, -1.0, False)), ("-2147483648", (-2147483648, 2147483648, -2147483648.0, False)), ("0777", (777, 777, 777.0, False)), ("0x5ab", (1451, 1451, 0.0, False)), (" 12x", (12, 12, 12.0, False)), ("true", (0, 0, 0.0, True)), ("Yes", (0, 0, 0.0, True)), ("", (0, 0, 0.0, False)), (None, (7, 7, 7.0, True)), ("99999999999", (2147483647, 4294967295, 99999999999.0, False)), ("1.5e2", (1, 1, 150.0, True))],
-)
+#: text: as int, unsigned, double and bool, 7 and true being the defaults of nothing. The limits follow from the width of the types.
+READS = {
+    "12": (12, 12, 12.0, True), "-3": (-3, 2**32 - 3, -3.0, False), "0042": (42, 42, 42.0, False), "0xff": (255, 255, 0.0, False), "\t6 eggs": (6, 6, 6.0, False), "2.75e1": (2, 2, 27.5, False),
+    str(2**40): (2**31 - 1, 2**32 - 1, float(2**40), True), str(-(2**31)): (-(2**31), 2**31, -(2.0**31), False), "yes": (0, 0, 0.0, True), "True": (0, 0, 0.0, True), "no": (0, 0, 0.0, False), "": (0, 0, 0.0, False), None: (7, 7, 7.0, True),
+}
+
+
+@pytest.mark.parametrize(("text", "expected"), READS.items())
 def test_typed_reads(spark, text, expected):
     v = F.col("v")
     row = spark.createDataFrame([(text,)], "v string").select(typed.as_int(v, 7), typed.as_uint(v, 7), typed.as_double(v, 7), typed.as_bool(v, True)).first()
@@ -83,7 +97,7 @@ def test_typed_reads(spark, text, expected):
 
 
 def test_typed_writes(spark):
-    values = [0.5, 1e6, 123456789.0, 0.0001, 0.00001234, -12.25, 0.0, 100000.0]
+    values = [0.25, 3e6, 987654321.0, 0.0002, 0.00005678, -80.125, 0.0, 400000.0]
     got = [r[0] for r in spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v double").orderBy("k").select(typed.of_double(F.col("v"))).collect()]
     assert got == ["%g" % v for v in values]
 

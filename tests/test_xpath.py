@@ -3,6 +3,7 @@ import math
 import fixtures as X
 import pytest
 
+from treeloom import schema as S
 from treeloom.plans.grammar import Compiler
 from treeloom.plans.query import Variables, XPath, XPathError, select_nodes, sort
 from treeloom.sources.shred import shred
@@ -13,7 +14,7 @@ def forest(spark):
     """One node table with a document for each text of the fixtures, and the text's number."""
     texts = sorted({c[0] for cases in (X.NODE_SETS, X.NUMBERS, X.STRINGS, X.TRUTHS) for c in cases})
     number = {t: k for k, t in enumerate(texts)}
-    nodes = shred(spark.createDataFrame([(k, t) for t, k in number.items()], "doc_id long, xml string")).cache()
+    nodes = shred(spark.createDataFrame([(k, t) for t, k in number.items()], "doc_id long, xml string"), flags=S.FULL).cache()
     nodes.count()
     return nodes, number
 
@@ -78,34 +79,36 @@ def test_rejected(query):
 
 def test_whole_documents_need_no_join(spark, forest):
     nodes, number = forest
-    found = select_nodes(nodes, "//subchild")
+    found = select_nodes(nodes, "//fern")
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan
-    assert sorted((r["doc_id"], r["pre"]) for r in found.where(f"doc_id = {number[X.NESTED]}").collect()) == [(number[X.NESTED], 5), (number[X.NESTED], 7)]
+    assert sorted((r["doc_id"], r["pre"]) for r in found.where(f"doc_id = {number[X.GARDEN]}").collect()) == [(number[X.GARDEN], 6), (number[X.GARDEN], 10)]
 
 
 def test_variables(spark, forest):
     nodes, number = forest
+    own = f"doc_id = {number[X.GARDEN]}"
     v = Variables(index=2)
-    query = XPath("node/child[$index]", v)
-    assert [r["pre"] for r in query.evaluate_nodes(nodes).where(f"doc_id = {number[X.THREE]}").collect()] == [3]
+    query = XPath("garden/bed[$index]", v)
+    assert [r["pre"] for r in query.evaluate_nodes(nodes).where(own).collect()] == [8]
     assert v.set("index", 1) and not v.set("index", "a") and v.find("index") == "number"
-    assert [r["pre"] for r in query.evaluate_nodes(nodes).where(f"doc_id = {number[X.THREE]}").collect()] == [2]
+    assert [r["pre"] for r in query.evaluate_nodes(nodes).where(own).collect()] == [3]
     assert v.get("index", "string") == "" and v.get("missing") is None
-    v.set("set", spark.createDataFrame([(number[X.THREE], 5), (number[X.THREE], 6)], "doc_id long, pre int"))
-    assert [r["value"] for r in XPath("count($set/..)", v).evaluate_number(nodes).where(f"doc_id = {number[X.THREE]}").collect()] == [1.0]
+    v.set("set", spark.createDataFrame([(number[X.GARDEN], 10), (number[X.GARDEN], 11)], "doc_id long, pre int"))
+    assert [r["value"] for r in XPath("count($set/..)", v).evaluate_number(nodes).where(own).collect()] == [1.0]
     with pytest.raises(XPathError):
         XPath("$other", v)
 
 
 def test_results(spark, forest):
     nodes, number = forest
+    own = f"doc_id = {number[X.GARDEN]}"
     with pytest.raises(XPathError):
         XPath("1 + 1").evaluate_nodes(nodes)
-    row = XPath("name(/*)").evaluate_string(nodes, capacity=3).where(f"doc_id = {number[X.NESTED]}").first()
-    assert (row["value"], row["full_size"]) == ("no", 5)
+    row = XPath("name(/*)").evaluate_string(nodes, capacity=4).where(own).first()
+    assert (row["value"], row["full_size"]) == ("gar", 7)
     assert XPath("//a | b").return_type == "nodes" and XPath("1 = 2").return_type == "boolean"
-    back = sort(select_nodes(nodes, "//*").where(f"doc_id = {number[X.NESTED]}"), reverse=True).collect()
-    assert [r["pre"] for r in back] == [8, 7, 6, 5, 3, 1]
-    one = XPath("//subchild").evaluate_node(nodes).where(f"doc_id = {number[X.NESTED]}").collect()
-    assert [r["pre"] for r in one] == [5]
+    back = sort(select_nodes(nodes, "//*").where(own), reverse=True).collect()
+    assert [r["pre"] for r in back] == [13, 12, 11, 10, 8, 7, 6, 5, 3, 1]
+    one = XPath("//fern").evaluate_node(nodes).where(own).collect()
+    assert [r["pre"] for r in one] == [6]
