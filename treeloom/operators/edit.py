@@ -51,15 +51,37 @@ def _column(value: Column | str) -> Column:
 
 
 def set_name(nodes: DataFrame, targets: DataFrame, name: Column | str) -> DataFrame:
-    """Rename elements, instructions, declarations and attributes; a Column sees the targets' further columns with an underscore before their names."""
-    hit = F.coalesce("_hit", F.lit(False)) & F.col("kind").isin("element", "pi", "declaration", "attribute")
-    return _numbered(_loose(_marked(nodes, targets).withColumn("name", F.when(hit, _column(name)).otherwise(F.col("name")))))
+    """Rename elements, instructions, declarations and attributes; a Column sees the targets' further columns with an underscore before their names. Places stay: a join and a projection."""
+    named = F.coalesce("_hit", F.lit(False)) & F.col("kind").isin("element", "pi", "declaration", "attribute")
+    rows = _marked(nodes, targets).withColumn("_named", named)
+    offset = F.when(F.col("_named") & (F.col("kind") != "attribute"), F.lit(-1)).otherwise(F.col("offset"))
+    rows = rows.withColumns({"name": F.when(F.col("_named"), _column(name)).otherwise(F.col("name")), "offset": offset})
+    touched = rows.where("_named and kind = 'attribute'").select("doc_id", "parent").distinct()
+    if not touched.isEmpty():  # which attributes repeat a name of their owner
+        rows = written(rows.select(*S.NODE_COLUMNS, "_named"), "renamed")
+        touched = rows.where("_named and kind = 'attribute'").select("doc_id", "parent").distinct()
+        same = Window.partitionBy("doc_id", "parent", "name").orderBy("pre")
+        again = rows.where("kind = 'attribute'").join(touched, ["doc_id", "parent"], "left_semi").select("doc_id", "pre", (F.row_number().over(same) > 1).alias("_dup"))
+        rows = rows.join(again, ["doc_id", "pre"], "left").withColumn("dup", F.coalesce("_dup", "dup"))
+    return rows.select(*S.NODE_COLUMNS)
 
 
 def set_value(nodes: DataFrame, targets: DataFrame, value: Column | str) -> DataFrame:
-    """Set values of character data, comments, instructions, doctypes and attributes."""
+    """Set values of character data, comments, instructions, doctypes and attributes. Places stay: a join and a projection, and for character data the string values above it anew."""
     hit = F.coalesce("_hit", F.lit(False)) & F.col("kind").isin("pcdata", "cdata", "comment", "pi", "doctype", "attribute")
-    return _numbered(_loose(_marked(nodes, targets).withColumn("value", F.when(hit, _column(value)).otherwise(F.col("value")))))
+    rows = _marked(nodes, targets).withColumn("_set", hit)
+    rows = rows.withColumn("value", F.when(F.col("_set"), _column(value)).otherwise(F.col("value")))
+    own = F.when(F.col("_set") & (F.col("kind") != "doctype") & F.col("sval").isNotNull(), F.col("value")).otherwise(F.col("sval"))
+    offset = F.when(F.col("_set") & F.col("kind").isin("pcdata", "cdata", "comment", "doctype"), F.lit(-1)).otherwise(F.col("offset"))
+    rows = rows.withColumns({"sval": own, "offset": offset})
+    text = F.col("kind").isin("pcdata", "cdata")
+    if not rows.where(F.col("_set") & text).isEmpty():
+        rows = written(rows.select(*S.NODE_COLUMNS, "_set"), "reset")
+        above = lambda df, *more: df.where(text).select("doc_id", *more, F.explode("anc").alias("above"))
+        touched = above(rows.where("_set")).distinct()
+        texts = above(rows, "pre", "value").join(touched, ["doc_id", "above"], "left_semi").groupBy("doc_id", "above").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pre", "value"))), lambda x: x["value"]), "").alias("_texts"))
+        rows = rows.join(texts.withColumnRenamed("above", "pre"), ["doc_id", "pre"], "left").withColumn("sval", F.when(F.col("sval").isNotNull(), F.coalesce("_texts", "sval")))
+    return rows.select(*S.NODE_COLUMNS)
 
 
 def _attributes_of(nodes: DataFrame) -> DataFrame:
@@ -191,3 +213,14 @@ def append_fragments(nodes: DataFrame, fragments: DataFrame, flags: int = S.DEFA
 def copied(nodes: DataFrame, doc_id: Column) -> DataFrame:
     """The documents under another identity."""
     return nodes.withColumn("doc_id", doc_id.cast("long"))
+
+
+def reset(nodes: DataFrame, targets: DataFrame, prototype: DataFrame | None = None) -> DataFrame:
+    """The documents of targets (doc_id) without their nodes, or as copies of the one document of the prototype (a node table)."""
+    own = targets.select("doc_id").distinct()
+    rest, gone = nodes.join(own, "doc_id", "left_anti"), nodes.join(own, "doc_id", "left_semi").where("kind = 'document'")
+    if prototype is None:
+        empty = gone.withColumns({"size": F.lit(0), "sval": F.when(F.col("sval").isNotNull(), "")})
+        return rest.unionByName(empty.select(*S.NODE_COLUMNS))
+    copies = gone.select("doc_id").join(F.broadcast(prototype.drop("doc_id")))  # one document, given by the caller
+    return rest.unionByName(copies.withColumn("offset", F.lit(-1)).select(*S.NODE_COLUMNS))

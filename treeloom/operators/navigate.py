@@ -150,7 +150,7 @@ def first_element_by_path(nodes: DataFrame, contexts: DataFrame, steps: str, del
             above = nodes.select("doc_id", "pre", "parent").where("parent is not null")
             start = start.join(above, ["doc_id", "pre"]).select(*_KEY, F.col("parent").alias("pre"))
         else:
-            below = nodes.where((F.col("name") == step) & (F.col("kind") == "element")).select("doc_id", "parent", F.col("pre").alias("next"))
+            below = nodes.where((F.col("name") == step) & (F.col("kind") != "attribute")).select("doc_id", "parent", F.col("pre").alias("next"))
             start = start.withColumnRenamed("pre", "parent").join(below, ["doc_id", "parent"]).select(*_KEY, F.col("next").alias("pre"))
     chosen = start.groupBy(*_KEY).agg(F.min("pre").alias("pre"))
     return chosen.join(nodes, ["doc_id", "pre"]).select(*_KEY, *_REST)

@@ -99,9 +99,13 @@ def printed(nodes: DataFrame, contexts: DataFrame, indent: str = "\t", flags: in
     return out.select("doc_id.doc_id", "doc_id.context", "xml")
 
 
-def write_text(nodes: DataFrame, path: str, indent: str = "\t", flags: int = DEFAULT | RAW) -> None:
-    """One document a line of text files; raw output keeps line ends to those of the content, which become references in attributes."""
-    save(nodes, indent, flags).select("xml").write.text(path)
+def save_files(nodes: DataFrame, folder: str, indent: str = "\t", flags: int = DEFAULT, encoding: str = "utf8") -> DataFrame:
+    """Write each document to a file of its own, doc_id.xml; (doc_id, target, n_bytes) of all files."""
+    from treeloom.session import written
+    from treeloom.sources import sinks
+
+    texts = save(nodes, indent, flags & ~WRITE_BOM)
+    return written(sinks.deliver(texts, sinks.files(folder), encoding, bool(flags & WRITE_BOM)), "saved")
 
 
 def encoded(texts: DataFrame, encoding: str = "utf8", bom: bool = False, column: str = "xml") -> DataFrame:

@@ -52,6 +52,10 @@ class Scope:
         return self.attach(rows.select("d", "it").distinct().withColumn("v", F.lit(True)), F.lit(False))
 
 
+#: Axes on which what is found of a set depends on its outermost node only.
+SIDEWAYS = ("following", "preceding", "following-sibling", "preceding-sibling")
+
+
 def _hidden(name: Column) -> Column:
     """Namespace declarations, which the attribute axis doesn't show."""
     return (name == "xmlns") | name.startswith("xmlns:")
@@ -133,8 +137,19 @@ class Lift:
         return df.groupBy("d", "it", "pre").agg(*[F.first(c).alias(c) for c in NODE])
 
     def step(self, rel: Relation, step: G.Step) -> Relation:
-        df = self._axis(rel, step.axis, step.test)
-        for p in step.predicates:
+        predicates = step.predicates
+        ranked = bool(predicates) and isinstance(predicates[0], G.Literal) and predicates[0].type == G.NUMBER
+        if ranked and step.axis.endswith("-sibling") and not rel.roots and predicates[0].value >= 1 and predicates[0].value == int(predicates[0].value):
+            df = self._nth_sibling(rel, step.axis, step.test, int(predicates[0].value))
+            predicates = predicates[1:]
+        elif step.axis in SIDEWAYS and not rel.roots and not any(p.type == G.NUMBER or G.positional(p) for p in predicates):
+            df = self._sideways(rel, step.axis, step.test)
+            for p in predicates:
+                df = self._predicate(df, p, False)
+            return Relation(df.drop("cpre"))
+        else:
+            df = self._axis(rel, step.axis, step.test)
+        for p in predicates:
             df = self._predicate(df, p, step.axis in G.REVERSE)
         df = df.drop("cpre")
         alone = rel.single or step.axis in ("child", "attribute", "self")
@@ -178,6 +193,33 @@ class Lift:
             found = left.join(right, "d").where(F.col("pre") + F.col("size") < begin)
         return found.select(*out)
 
+    def _sideways(self, rel: Relation, axis: str, test: G.Test) -> DataFrame:
+        """The nodes beside, before or behind any of the context nodes of an iteration, each once: what counts is the
+        outermost context alone, one for each iteration (and parent)."""
+        rows = rel.df if axis in ("following", "preceding") else rel.df.where("kind <> 'attribute'")
+        right = self.all.where(test_of(test, axis) & (F.col("kind") != "attribute"))
+        if axis.endswith("-sibling"):
+            edge = F.min("ord") if axis == "following-sibling" else F.max("ord")
+            left = rows.groupBy("d", "it", "parent").agg(edge.alias("edge"))
+            found = left.join(right, ["d", "parent"]).where(F.col("ord") > F.col("edge") if axis == "following-sibling" else F.col("ord") < F.col("edge"))
+        elif axis == "following":
+            left = rows.groupBy("d", "it").agg(F.min(F.col("pre") + F.col("size")).alias("edge"))
+            found = left.join(right, "d").where(F.col("pre") > F.col("edge"))
+        else:
+            begin = F.when(F.col("kind") == "attribute", F.col("parent")).otherwise(F.col("pre"))
+            left = rows.groupBy("d", "it").agg(F.max(begin).alias("edge"))
+            found = left.join(right, "d").where(F.col("pre") + F.col("size") < F.col("edge"))
+        return found.withColumn("cpre", F.lit(-1)).select("d", "it", "cpre", "pre", *NODE)
+
+    def _nth_sibling(self, rel: Relation, axis: str, test: G.Test, n: int) -> DataFrame:
+        """The n-th node before or behind each context node among the siblings that pass the test, by running numbers: no pairs of siblings."""
+        order = Window.partitionBy("d", "parent").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        rows = self.all.where("kind <> 'attribute'").withColumn("fit", F.coalesce(test_of(test, axis), F.lit(False)).cast("int"))
+        rows = rows.withColumn("upto", F.sum("fit").over(order))
+        left = rel.df.where("kind <> 'attribute'").select("d", "it", F.col("pre").alias("cpre"))
+        places = rows.select("d", F.col("pre").alias("cpre"), "parent", (F.col("upto") + n if axis == "following-sibling" else F.col("upto") - F.col("fit") - (n - 1)).alias("upto"))
+        return left.join(places, ["d", "cpre"]).join(rows.where("fit = 1"), ["d", "parent", "upto"]).select("d", "it", "cpre", "pre", *NODE)
+
     def _predicate(self, df: DataFrame, tree: object, reverse: bool) -> DataFrame:
         """The rows (d, it, cpre, pre, NODE) for which the predicate holds; positions are within (d, it, cpre)."""
         by = Window.partitionBy("d", "it", "cpre")

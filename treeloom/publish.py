@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from treeloom import schema as S
 from treeloom.operators.serialize import escaped
 from treeloom.sources.shred import shred
 from treeloom.tables import node_table
@@ -44,6 +45,26 @@ def languages_xml(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.concat(head, F.lit("<d:source>"), escaped(F.coalesce("source", F.lit("")), False), F.lit("</d:source><plain/></d:doc>")).alias("xml"))
 
 
+def customers_xml(customers: DataFrame, nations: DataFrame, orders: DataFrame) -> DataFrame:
+    """(doc_id, xml): a customer with a comment, an instruction, a name, a note in CDATA where the balance is negative, and the orders by year."""
+    element = F.concat(F.lit("<order"), _attribute("key", F.col("o_orderkey").cast("string")), _attribute("status", F.col("o_orderstatus")), F.lit(">"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("</order>"))
+    rows = orders.select(F.col("o_custkey").alias("c_custkey"), F.year("o_orderdate").alias("y"), "o_orderkey", element.alias("xml"))
+    ordered = lambda key: F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct(key, "xml"))), lambda x: x["xml"]))
+    years = rows.groupBy("c_custkey", "y").agg(ordered("o_orderkey").alias("xml"))
+    years = years.select("c_custkey", "y", F.concat(F.lit("<year"), _attribute("no", F.col("y").cast("string")), F.lit(">"), F.col("xml"), F.lit("</year>")).alias("xml"))
+    years = years.groupBy("c_custkey").agg(ordered("y").alias("years"))
+    whole = customers.join(nations, F.col("c_nationkey") == F.col("n_nationkey")).join(years, "c_custkey", "left")
+    head = F.concat(F.lit("<customer"), _attribute("key", F.col("c_custkey").cast("string")), _attribute("segment", F.col("c_mktsegment")), _attribute("balance", _money("c_acctbal")), F.lit(">"))
+    note = F.when(F.col("c_acctbal") < 0, "<note><![CDATA[balance < 0]]></note>").otherwise("")
+    body = F.concat(F.lit("<!--nation "), F.col("n_name"), F.lit("--><?rank "), F.col("c_nationkey").cast("string"), F.lit("?><name>"), escaped(F.col("c_name"), False), F.lit("</name>"), note, F.coalesce("years", F.lit("")))
+    return whole.select(F.col("c_custkey").alias("doc_id"), F.concat(head, body, F.lit("</customer>")).alias("xml"))
+
+
+def suppliers_xml(suppliers: DataFrame) -> DataFrame:
+    """(doc_id, xml): <supplier key><name>...</name></supplier> with a letter beyond ASCII."""
+    return suppliers.select(F.col("s_suppkey").alias("doc_id"), F.concat(F.lit("<supplier"), _attribute("key", F.col("s_suppkey").cast("string")), F.lit("><name>né "), escaped(F.col("s_name"), False), F.lit("</name></supplier>")).alias("xml"))
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -61,6 +82,15 @@ def part_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return node_table(spark, f"parts {sf_dir}", lambda: shred(spread(parts_xml(_read(spark, sf_dir, "part")))))
 
 
+def customer_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = [_read(spark, sf_dir, t) for t in ("customer", "nation", "orders")]
+    return node_table(spark, f"customers {sf_dir}", lambda: shred(spread(customers_xml(*tables)), flags=S.FULL))
+
+
+def supplier_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return node_table(spark, f"suppliers {sf_dir}", lambda: shred(spread(suppliers_xml(_read(spark, sf_dir, "supplier")))))
+
+
 def language_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return node_table(spark, f"languages {sf_dir}", lambda: shred(spread(languages_xml(_read(spark, sf_dir, "documents")))))
 

@@ -246,8 +246,12 @@ def parse_html_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    from treeloom import nested
+
+    return _QUERIES | nested.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    from treeloom import nested
+
+    return _SQL | nested.SQL
