@@ -29,10 +29,10 @@ def small_batches(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """run, for mapInArrow, with what it frees given back to the system: workers outlive their tasks, and several share an executor's memory."""
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, which goes through the batches of a task, with what it frees given back to the system: workers outlive their tasks, and several share an executor's memory."""
 
-    def wrapped(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def wrapped(source: Iterator) -> Iterator:
         libc = None
         with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such calls
             libc = ctypes.CDLL("libc.so.6")
@@ -48,6 +48,17 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return wrapped
 
 
+def by_batch(run: Callable[[], Callable], kind: str) -> Callable:
+    """A scalar function of columns: run() is called once a task and gives what goes from a batch of values to one of results."""
+
+    def each(source: Iterator) -> Iterator:
+        own = run()
+        for batch in source:
+            yield own(batch)
+
+    return F.pandas_udf(lean(each), kind, F.PandasUDFType.SCALAR_ITER)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other call uses."""
     return f"{shared_folder(spark)}/treeloom/{name}-{uuid.uuid4().hex}"

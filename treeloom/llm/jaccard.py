@@ -51,7 +51,9 @@ BITS, MOST_BITS = 4, 16384
 #: Marks of a class's groups by which a pair that shares several groups is told from one of them.
 MARKS = 8
 #: Sketches that a task holds before it passes them on.
-FLUSH = 500_000
+FLUSH = 250_000
+#: Tasks that the second round is dealt to, for each partition of the session: a task holds all keys of its part.
+PARTS = 4
 #: Blocks of each band that the first round deals.
 FIRST_BLOCKS = 6
 #: Pairs of one class that are verified in a row; classes in more pairs are sent once for each so many.
@@ -622,9 +624,9 @@ def _resolved(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Dat
     nodes = written(numbered.select("node", F.col("node").alias("component"), "first", "signature", "n_shingles", "sketch"), "nodes")
     frequent = spark.sparkContext.broadcast(told(found))
     # the first blocks, then all of them, where components differ: spanning forests, then all pairs
-    dealt = _dealt(_texts(docs, nodes), words, percent, 3 * n, frequent, first_sketches).repartition(n, "bucket")
+    dealt = _dealt(_texts(docs, nodes), words, percent, n, frequent, first_sketches).repartition(n, "bucket")
     nodes = _linked(written(_refused(_starred(dealt).distinct(), nodes, percent), "pairs"), docs, nodes, words, percent)
-    dealt = _dealt(_texts(docs, nodes), words, percent, 3 * n, frequent, sketches).repartition(n, "bucket")
+    dealt = _dealt(_texts(docs, nodes), words, percent, PARTS * n, frequent, sketches).repartition(PARTS * n, "bucket")
     groups = written(_mixed_groups(dealt).dropDuplicates(["mark"]), "groups")
     marks = written(_marks(groups), "marks")
     for spanning in (True, False):

@@ -12,10 +12,11 @@ quantile, and a document is kept if its score is no higher than that of its lang
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
 import pyarrow.parquet as pq
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from treeloom.llm.common import forget, free_name, labels_of, lean, partitions, small, small_batches, written
+from treeloom.llm.common import by_batch, forget, free_name, labels_of, lean, partitions, small, small_batches, written
 
 ORDER = 5
 #: Bits of a character's class: characters up to U+0FFF are their own class, apart from white space and digits; others share classes by hash.
@@ -249,22 +250,16 @@ class Model:
         return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
-_held: dict[str, Model] = {}
-
-
 def _read(folder: str) -> Model:
-    """The whole model, once a worker."""
-    if folder not in _held:
-        _held.clear()
-        fs, path = pyarrow.fs.FileSystem.from_uri(folder)
-        files = sorted(f.path for f in fs.get_file_info(pyarrow.fs.FileSelector(path)) if f.path.endswith(".parquet"))
-        tables = []
-        for file in files:
-            with fs.open_input_file(file) as opened:
-                tables.append(pq.read_table(opened, columns=["key", "value"], use_threads=False))
-        keys, values = (np.concatenate([t.column(c).to_numpy() for t in tables]) if tables else np.zeros(0, kind) for c, kind in (("key", np.int64), ("value", np.float32)))
-        _held[folder] = Model(keys.astype(np.uint64), values)
-    return _held[folder]
+    """The whole model."""
+    fs, path = pyarrow.fs.FileSystem.from_uri(folder)
+    files = sorted(f.path for f in fs.get_file_info(pyarrow.fs.FileSelector(path)) if f.path.endswith(".parquet"))
+    tables = []
+    for file in files:
+        with fs.open_input_file(file) as opened:
+            tables.append(pq.read_table(opened, columns=["key", "value"], use_threads=False))
+    keys, values = (np.concatenate([t.column(c).to_numpy() for t in tables]) if tables else np.zeros(0, kind) for c, kind in (("key", np.int64), ("value", np.float32)))
+    return Model(keys.astype(np.uint64), values)
 
 
 def scored(docs: DataFrame, model: DataFrame, text: str = "text") -> DataFrame:
@@ -273,13 +268,11 @@ def scored(docs: DataFrame, model: DataFrame, text: str = "text") -> DataFrame:
         return _joined(docs, model, text)
     folder = model._written_at
 
-    @F.pandas_udf("cost double, cost_chars long")
-    def run(column):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        cost, chars = _read(folder).costs(list(column))
-        return pd.DataFrame({"cost": cost, "cost_chars": chars})
+    def run() -> Callable[[pd.Series], pd.DataFrame]:
+        own = _read(folder)
+        return lambda texts: pd.DataFrame(dict(zip(("cost", "cost_chars"), own.costs(list(texts)), strict=True)))
 
+    run = by_batch(run, "cost double, cost_chars long")
     name = free_name(docs.columns, "scored")
     return docs.withColumn(name, run(F.col(text))).select(*[F.col(f"`{c}`") for c in docs.columns], F.col(f"{name}.cost").alias("cost"), F.col(f"{name}.cost_chars").alias("cost_chars"))
 

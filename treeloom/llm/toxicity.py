@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import batches, labels_of, lean, lower_words, small, small_batches, written
+from treeloom.llm.common import batches, by_batch, labels_of, lean, lower_words, small, small_batches, written
 
 #: What lower_words takes for a word, to find it in the text.
 WORD = re.compile(r"[^\x00-/:-@\[-`{-\x7f]+")
@@ -307,10 +307,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with score (double from 0 to 1): a null or empty text has the score of a text without findings."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def run(column):  # noqa: ANN001, ANN202
-        return column.map(shared.value.score).astype(float)
-
+    run = by_batch(lambda: lambda texts: texts.map(shared.value.score).astype(float), "double")
     return docs.withColumn("score", run(F.col(text)))
 
 
