@@ -368,6 +368,30 @@ def test_licenses(spark):
     assert scanner.scan("Licensed under CC BY-NC 4.0.")[0] == "CC-BY-NC-4.0" and scanner.scan("the license of the state")[0] is None
 
 
+def test_license_texts():
+    """Headers wrapped as comments, texts that differ by a clause or a word, titles of long texts, identifiers."""
+    scan = licenses.Scanner(1000, {b"the": 900, b"of": 900, b"and": 900, b"license": 50}).scan
+    wrapped = lambda text, mark="# ": "\n".join(mark + " ".join(text.split()[k : k + 9]) for k in range(0, len(text.split()), 9))
+    for name, texts in licenses.TEMPLATES.items():
+        for text in texts:
+            assert scan(f"#!/bin/sh\n#\n{wrapped(text)}\n#\n\nset -e\nrun the thing over and over with many other words\n")[0] == name, text
+    for name, title in licenses.TITLES.items():
+        body = "\n\n".join(f"{k}. Terms of section {k} with words of their own such as w{k} and v{k}." for k in range(200))
+        assert scan(f"{wrapped(title, '      ')}\n\n{body}")[::2] == (name, True)
+    assert scan(f"Copyright 2020 Some One\n\n{licenses._GRANT}")[::2] == ("MIT", True)
+    assert scan("// SPDX-License-Identifier: ISC\nint main() { return 0; }")[0] == "ISC"
+    assert scan("x" * 100_000 + " y" * 50_000) == (None, 0.0, False)
+
+
+def test_license_edges(spark):
+    schema = "doc_id long, path string, text string, _dir string, _found string, found string, folder string, License string"
+    files = frame(spark, [(1, "a/L", "Released under the MIT License", "p", "q", "r", "s", "t"), (1, "a/L", "Released under the MIT License", "p", "q", "r", "s", "t"), (2, "a/x", None, "p", "q", "r", "s", "t")], schema)
+    got = licenses.licensed(files)
+    assert got.columns == ["doc_id", "path", "_dir", "_found", "found", "folder", "own_license", "cosine", "is_license_file", "license", "license_from"]
+    assert sorted((r["doc_id"], r["license"], r["license_from"], r["_dir"], r["found"], r["folder"]) for r in got.collect()) == [(1, "MIT", "own", "p", "r", "s")] * 2 + [(2, "MIT", "inherited", "p", "r", "s")]
+    assert licenses.licensed(files.limit(0)).count() == 0
+
+
 def test_license_cosine_is_plain_tf_idf():
     scanner = licenses.Scanner(100, {b"the": 90, b"license": 5})
     line = "Licensed under the Apache License, Version 2.0 today"
