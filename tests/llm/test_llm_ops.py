@@ -184,6 +184,7 @@ def test_topk_walk_stops_early_and_right():
         ids, scores = lists.top(-1, q, 5)
         order = sorted((-int(r @ q), k) for k, r in enumerate(rows))[:5]
         assert sorted(zip((-scores).tolist(), ids.tolist(), strict=True)) == order
+    assert lists.scored < 0.3 * lists.walked
 
 
 def test_neighbours_recall_and_values(spark):
