@@ -13,7 +13,7 @@ from treeloom.operators import edit, navigate, serialize, typed
 from treeloom.plans.query import XPath, select_nodes
 from treeloom.session import shared_folder
 from treeloom.sources import sinks
-from treeloom.sources.shred import documents, read_files
+from treeloom.sources.shred import documents, read_files, shred
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -199,6 +199,15 @@ _edited("nest_remove_attribute", lambda n: edit.remove(n, _at(n, "//order/@key")
 _edited("nest_remove_text", lambda n: edit.remove(n, _at(n, "//name/text() | //comment()")), "/customer/node()[position() < 3]", "SELECT doc_id, unnest([c_nationkey::VARCHAR, '']) AS value FROM c")
 
 
+@_query("nest_copy_between", "SELECT doc_id, concat(c_name, note, dates, lag(c_name) OVER (ORDER BY doc_id)) AS value FROM w QUALIFY lag(c_name) OVER (ORDER BY doc_id) IS NOT NULL")
+def nest_copy_between(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer gets a copy of the name in the document before."""
+    nodes = P.customer_nodes(spark, sf_dir)
+    names = _at(nodes, "//name").select((F.col("doc_id") + 1).alias("doc_id"), F.col("doc_id").alias("source_doc"), F.col("pre").alias("source"))
+    copied = edit.insert_copy(nodes, _at(nodes, "/customer").join(names, "doc_id"))
+    return _found(copied, "/customer[name[2]]")
+
+
 def _with_fragments(nodes: DataFrame) -> DataFrame:
     return edit.append_fragments(nodes, _at(nodes, "/customer").withColumn("xml", F.lit("<tag>in</tag>out")))[0]
 
@@ -221,6 +230,18 @@ def nest_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sizes.select("doc_id", F.least("n_nodes", F.when(F.col("n_nodes") > 9, 7).otherwise(6)).alias("least"))
 
 
+# texts that can't be parsed to the end
+
+_BROKEN = {"AUTOMOBILE": ("<a b=1/>", "bad_attribute", 5), "BUILDING": ("<a><b></a>", "end_element_mismatch", 9), "FURNITURE": ("<!-- a", "bad_comment", 5), "HOUSEHOLD": ("<a>b</a>", "ok", 0), "MACHINERY": ("<a", "bad_start_element", 1)}
+
+
+@_query("parse_broken", "SELECT c_custkey AS doc_id, " + ", ".join(f"CASE c_mktsegment {' '.join(f'WHEN {chr(39)}{k}{chr(39)} THEN {v[n]!r}' for k, v in _BROKEN.items())} END AS {name}" for n, name in ((1, "status"), (2, "error_offset"))) + " FROM customer", False)
+def parse_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    texts = F.create_map(*[F.lit(x) for k, v in _BROKEN.items() for x in (k, v[0])])
+    return documents(shred(customers.select("c_custkey", F.element_at(texts, F.col("c_mktsegment")).alias("xml")), "c_custkey")).select("doc_id", "status", "error_offset")
+
+
 # serialisation
 
 _OPEN = "'<customer key=\"' || doc_id || '\" segment=\"' || c_mktsegment || '\" balance=\"' || printf('%.2f', c_acctbal) || '\">'"

@@ -142,32 +142,30 @@ def set_text(nodes: DataFrame, targets: DataFrame, value: Column | str) -> DataF
     return insert_child(changed, own.where("text is null").drop("text"), "pcdata", "", value)
 
 
-def _subtree(nodes: DataFrame, sources: DataFrame) -> DataFrame:
-    """(doc_id, source, NODE...): the rows of each source's subtree, itself included."""
-    tagged = nodes.withColumn("source", F.explode(F.concat("anc", F.array("pre"))))
-    return tagged.join(sources.select("doc_id", F.col("source")).distinct(), ["doc_id", "source"])
-
-
 def insert_copy(nodes: DataFrame, pairs: DataFrame, where: str = "append") -> DataFrame:
-    """A deep copy of source for each row of pairs (doc_id, pre, source), placed by pre as in insert_child or insert_attribute; a copy below itself copies what was there."""
+    """A deep copy of source for each row of pairs (doc_id, pre, source), placed by pre as in insert_child or insert_attribute; a copy below itself copies what was there. With a column source_doc the source is that document's node."""
     return _placed(nodes, pairs, where, True)
 
 
 def insert_move(nodes: DataFrame, pairs: DataFrame, where: str = "append") -> DataFrame:
-    """Move source to where pre says. Nothing moves into its own subtree or next to itself."""
+    """Move source to where pre says, within its document. Nothing moves into its own subtree or next to itself."""
     above = nodes.select("doc_id", "pre", F.concat("anc", F.array("pre")).alias("_chain"))
     legal = pairs.join(above, ["doc_id", "pre"]).where(~F.array_contains("_chain", F.col("source"))).drop("_chain")
     return _placed(nodes, legal, where, False)
 
 
 def _placed(nodes: DataFrame, pairs: DataFrame, where: str, copy: bool) -> DataFrame:
-    kinds = nodes.select("doc_id", F.col("pre").alias("source"), F.col("kind").alias("_kind"), F.size("anc").alias("_top"))
-    pairs = pairs.join(kinds, ["doc_id", "source"]).where("_kind <> 'document'")
+    if "source_doc" not in pairs.columns:
+        pairs = pairs.withColumn("source_doc", F.col("doc_id"))
+    kinds = nodes.select(F.col("doc_id").alias("source_doc"), F.col("pre").alias("source"), F.col("kind").alias("_kind"), F.size("anc").alias("_top"))
+    pairs = pairs.join(kinds, ["source_doc", "source"]).where("_kind <> 'document'")
     attributes = _spots(nodes, pairs.where("_kind = 'attribute'"), where, True)
     children = _spots(nodes, pairs.where("_kind <> 'attribute'"), where, False).where(~F.col("_kind").isin("declaration", "doctype") | (F.size("_up") == 1))
-    spots = attributes.unionByName(children).select("doc_id", "pre", "source", "_anchor", "_up", "_depth", "_top").withColumnRenamed("pre", "_target")
-    inside = _subtree(nodes, spots).join(spots, ["doc_id", "source"])
-    head = F.array("_anchor", "_depth", F.col("_target").cast("double"), F.col("source").cast("double"))
+    spots = attributes.unionByName(children).select("doc_id", "pre", "source", "source_doc", "_anchor", "_up", "_depth", "_top").withColumnRenamed("pre", "_target")
+    # the subtree of each source, itself included
+    below = nodes.withColumnRenamed("doc_id", "source_doc").withColumn("source", F.explode(F.concat("anc", F.array("pre"))))
+    inside = below.join(spots, ["source_doc", "source"])
+    head = F.array("_anchor", "_depth", F.col("_target").cast("double"), F.col("source").cast("double"), F.col("source_doc").cast("double"))
     named = lambda x: F.concat(head, F.array(x.cast("double"))) if copy else F.array(x.cast("double"))
     up = F.concat("_up", F.transform(F.slice("anc", F.col("_top") + 1, F.greatest(F.lit(0), F.size("anc") - F.col("_top"))), named))
     new = inside.select("doc_id", F.concat(head, F.array(F.col("pre").cast("double"))).alias("place"), named(F.col("pre")).alias("id"), up.alias("up"), "kind", "name", "value", F.when(F.lit(copy), F.lit(-1)).otherwise(F.col("offset")).alias("offset"), "status", "error_offset", "encoding")
