@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from treeloom.session import shared_folder
 
 #: Bytes of a table that may be broadcast; larger ones are joined by a shuffle.
-BROADCAST_BYTES = 32_000_000
+BROADCAST_BYTES = 10_000_000
 
 #: Rows of an Arrow batch between the engine and Python: texts can be long.
 BATCH_ROWS = 1000

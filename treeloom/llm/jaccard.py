@@ -28,7 +28,6 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
@@ -54,6 +53,8 @@ MARKS = 8
 FLUSH = 250_000
 #: Tasks that the second round is dealt to, for each partition of the session: a task holds all keys of its part.
 PARTS = 4
+#: Bytes of a table of classes that is broadcast, so that texts needn't move.
+WIDE_BYTES = 32_000_000
 #: Blocks of each band that the first round deals.
 FIRST_BLOCKS = 6
 #: Pairs of one class that are verified in a row; classes in more pairs are sent once for each so many.
@@ -255,7 +256,7 @@ def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(text, signature, node, component): a text of each class of nodes (node, component, first, signature). A key that
     is repeated with other texts brings these as well; their signature tells them apart."""
     of = nodes.select(F.col("first").alias("doc_id"), "signature", "node", "component")
-    return docs.join(small(of), "doc_id").select("text", "signature", "node", "component")
+    return docs.join(small(of, WIDE_BYTES), "doc_id").select("text", "signature", "node", "component")
 
 
 def _dealt(texts: DataFrame, words: int, percent: int, buckets: int, frequent: Broadcast, of_band: Callable) -> DataFrame:
@@ -692,6 +693,8 @@ def keep_first(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
 
     @F.pandas_udf("binary")
     def signed(column):  # noqa: ANN001, ANN202
+        import pandas as pd  # here only: most workers don't need it
+
         each = [shingles(t, words) for t in column]
         return pd.Series([xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in each], dtype=object)
 

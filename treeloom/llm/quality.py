@@ -16,7 +16,6 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
 import pyarrow.parquet as pq
@@ -268,7 +267,9 @@ def scored(docs: DataFrame, model: DataFrame, text: str = "text") -> DataFrame:
         return _joined(docs, model, text)
     folder = model._written_at
 
-    def run() -> Callable[[pd.Series], pd.DataFrame]:
+    def run() -> Callable:
+        import pandas as pd  # here only: most workers don't need it
+
         own = _read(folder)
         return lambda texts: pd.DataFrame(dict(zip(("cost", "cost_chars"), own.costs(list(texts)), strict=True)))
 
