@@ -1,18 +1,22 @@
 """The operators against brute force, references and edge cases."""
 
+import gc
 import hashlib
 import math
 import random
+import sys
 from collections import Counter
 
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from treeloom.llm import bpe, html, jaccard, licenses, mixing, neighbours, quality, topk, toxicity, warc
+from treeloom.llm.common import by_batch
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -46,6 +50,29 @@ def test_bpe_equals_the_library():
         assert tokens == library.decode(expected, skip_special_tokens=False)
 
 
+def test_bpe_workers_hold_no_encoder_after_their_tasks(spark):
+    encoded = bpe.encode(frame(spark, EDGES), VOCABULARY, decoded="back")
+    assert len(encoded.collect()) == len(bpe.digests(frame(spark, EDGES), VOCABULARY).collect()) == len(EDGES)
+    bpe.decode(encoded, VOCABULARY).collect()
+
+    def held(source):
+        for batch in source:
+            n = sum(isinstance(x, bpe.Encoder | bpe.Vocabulary) for x in gc.get_objects())
+            yield pa.RecordBatch.from_arrays([pa.array([n] * len(batch), pa.int64())], names=["n"])
+
+    assert {r["n"] for r in spark.range(0, 100, 1, 4).mapInArrow(held, "n long").collect()} == {0}
+
+
+def test_scoring_loads_no_pandas_into_workers(spark, tables):
+    docs = tables["documents"].limit(50).select("text")
+    own = by_batch(lambda: lambda texts: pa.array(["pandas" in sys.modules] * len(texts)), "boolean")
+    spark.sparkContext.environment["TREELOOM_TEST"] = "1"  # other workers than those of the tests before
+    try:
+        assert {r[0] for r in docs.select(own("text")).collect()} == {False}
+    finally:
+        del spark.sparkContext.environment["TREELOOM_TEST"]
+
+
 def test_bpe_digests(spark):
     rows = bpe.digests(frame(spark, EDGES), VOCABULARY).collect()
     empty = hashlib.sha256(b"").hexdigest()

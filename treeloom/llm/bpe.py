@@ -13,7 +13,7 @@ import hashlib
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from treeloom.llm.common import lean, small_batches
+from treeloom.llm.common import by_batch, lean, small_batches
 
 #: The characters that have Unicode's White_Space property.
 WHITE_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -55,18 +55,18 @@ class Vocabulary:
             spec = json.load(f)
         model = spec["model"]
         self.suffix = model.get("end_of_word_suffix") or ""
-        self.ids: dict[str, int] = model["vocab"]
+        known: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-        size = 1 + max([*self.ids.values(), *self.special.values()])
+        size = 1 + max([*known.values(), *self.special.values()])
         names = [""] * size
-        for token, i in (*self.ids.items(), *self.special.items()):
+        for token, i in (*known.items(), *self.special.items()):
             names[i] = token
         # the offset table: token i is the stretch offsets[i]:offsets[i + 1] of one string
         self.joined = "".join(names)
         self.offsets = [0]
         for name in names:
             self.offsets.append(self.offsets[-1] + len(name))
-        self.inner = {i: self._inner(t) for t, i in self.ids.items()}
+        inner = {i: self._inner(t) for t, i in known.items()}
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         #: (left id, right id) to (rank, id of the whole)
         self.merge: dict[tuple[int, int], tuple[int, int]] = {}
@@ -74,24 +74,24 @@ class Vocabulary:
         self.parts: dict[int, tuple[int, int]] = {}
         self.rank: dict[int, int] = {}
         for rank, (a, b) in enumerate(merges):
-            whole = self.ids[a + b]
-            pair = (self.ids[a], self.ids[b])
+            whole = known[a + b]
+            pair = (known[a], known[b])
             self.merge.setdefault(pair, (rank, whole))
             if whole not in self.parts:
                 self.parts[whole] = pair
                 self.rank[whole] = rank
         #: finds, from the end of a word on, the tokens that begin at each place
         self.automaton = ahocorasick.Automaton()
-        for i, text in self.inner.items():
+        for i, text in inner.items():
             if i in self.parts or self._is_symbol(text):
                 self.automaton.add_word(text[::-1], i)
         self.automaton.make_automaton()
         #: token to the longest token that is a proper prefix of it, or -1
         self.shorter: dict[int, int] = {}
-        by_text = {text: i for i, text in self.inner.items() if i in self.parts or self._is_symbol(text)}
+        by_text = {text: i for i, text in inner.items() if i in self.parts or self._is_symbol(text)}
         for text, i in by_text.items():
             self.shorter[i] = next((by_text[text[:n]] for n in range(len(text) - 1, 0, -1) if text[:n] in by_text), -1)
-        self.lengths = [len(self.inner.get(i, "")) for i in range(size)]
+        self.lengths = [len(inner.get(i, "")) for i in range(size)]
         self.compatible: dict[int, bool] = {}
         self.symbols = byte_symbols()
         pattern = f"'s|'t|'re|'ve|'m|'ll|'d|[\\p{{L}}]+|[\\p{{N}}]|[^{WHITE_SPACE}\\p{{L}}\\p{{N}}]+"
@@ -231,16 +231,6 @@ class Encoder:
         return [int(i) for i in joined.split(" ")] if joined else []
 
 
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    """One per worker and vocabulary file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
-
-
 def encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "token_ids", decoded: str | None = None) -> DataFrame:
     """docs with an array column of the token ids of each whole text, and with the text decoded from them where ``decoded`` names a column for it.
 
@@ -254,7 +244,7 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "tok
     schema = T.StructType([*docs.select(*rest).schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType())), *([T.StructField(decoded, T.StringType())] if decoded else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(vocabulary)
+        own = Encoder(vocabulary)  # once a task: workers outlive their tasks, and this takes 0.1 GB
         for batch in batches:
             values, edges, tokens = [], [0], []
             for value in batch.column(len(rest)).to_pylist():
@@ -270,12 +260,12 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "tok
 
 def decode(encoded: DataFrame, vocabulary: str, ids: str = "token_ids", text: str = "decoded") -> DataFrame:
     """encoded with a text column decoded from the ids; null ids give an empty text."""
-    @F.pandas_udf(T.StringType())
-    def run(column):  # noqa: ANN001, ANN202
-        own = encoder(vocabulary).vocabulary
-        return column.map(lambda x: own.decode(list(x)) if x is not None else "")
 
-    return encoded.withColumn(text, run(F.col(ids)))
+    def run() -> Callable:
+        own = Vocabulary(vocabulary)
+        return lambda column: pa.array([own.decode(x) if x is not None else "" for x in column.to_pylist()], pa.string())
+
+    return encoded.withColumn(text, by_batch(run, "string")(F.col(ids)))
 
 
 def digests(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -288,7 +278,7 @@ def digests(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "
     kind = docs.schema[key].dataType.simpleString()
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(vocabulary)
+        own = Encoder(vocabulary)
         sha = hashlib.sha256
         for batch in source:
             number, of_ids, of_text = [], [], []

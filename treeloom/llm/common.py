@@ -49,14 +49,14 @@ def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
 
 
 def by_batch(run: Callable[[], Callable], kind: str) -> Callable:
-    """A scalar function of columns: run() is called once a task and gives what goes from a batch of values to one of results."""
+    """A scalar function of columns: run() is called once a task and gives what goes from an Arrow array of values to one of results. Workers load no pandas for it, which they would hold as long as they live."""
 
     def each(source: Iterator) -> Iterator:
         own = run()
         for batch in source:
             yield own(batch)
 
-    return F.pandas_udf(lean(each), kind, F.PandasUDFType.SCALAR_ITER)
+    return F.arrow_udf(lean(each), kind, F.ArrowUDFType.SCALAR_ITER)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

@@ -268,10 +268,8 @@ def scored(docs: DataFrame, model: DataFrame, text: str = "text") -> DataFrame:
     folder = model._written_at
 
     def run() -> Callable:
-        import pandas as pd  # here only: most workers don't need it
-
         own = _read(folder)
-        return lambda texts: pd.DataFrame(dict(zip(("cost", "cost_chars"), own.costs(list(texts)), strict=True)))
+        return lambda texts: pa.StructArray.from_arrays([pa.array(x) for x in own.costs(texts.to_pylist())], names=["cost", "cost_chars"])
 
     run = by_batch(run, "cost double, cost_chars long")
     name = free_name(docs.columns, "scored")

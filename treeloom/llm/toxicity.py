@@ -307,7 +307,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with score (double from 0 to 1): a null or empty text has the score of a text without findings."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    run = by_batch(lambda: lambda texts: texts.map(shared.value.score).astype(float), "double")
+    run = by_batch(lambda: lambda texts: pa.array([shared.value.score(t) for t in texts.to_pylist()], pa.float64()), "double")
     return docs.withColumn("score", run(F.col(text)))
 
 
