@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from treeloom.llm import bpe, jaccard, mixing, quality, toxicity
-from treeloom.llm.common import fresh_path
+from treeloom.llm.common import free_heaps, fresh_path
 from treeloom.session import ship
 
 
@@ -42,7 +45,19 @@ def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", "lang", "source", "token_ids", "decoded")
 
 
+def _roomy(stage: Callable) -> Callable:
+    """stage, begun with what the heaps kept from the stage before given back to the system."""
+
+    @functools.wraps(stage)
+    def begun(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        free_heaps(spark)
+        return stage(spark, docs, sf_dir)
+
+    return begun
+
+
 STAGES = [("quality", good), ("toxicity", clean), ("near duplicates", distinct), ("mixture", mixed), ("tokens", tokenized)]
+STAGES = [(name, _roomy(stage)) for name, stage in STAGES]
 
 #: Model fitting and set similarity aren't expressible in SQL; tests compare the stages with brute force.
 ORACLE_SQL = None

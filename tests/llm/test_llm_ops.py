@@ -73,6 +73,26 @@ def test_scoring_loads_no_pandas_into_workers(spark, tables):
         del spark.sparkContext.environment["TREELOOM_TEST"]
 
 
+def test_bpe_memo_is_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO_BYTES", 200_000, raising=False)
+    words = ["".join(chr(97 + (k * k + j * k) % 26) for j in range(100)) + f"q{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}{'uvwxyz'[k // 100]}" for k in range(600)]
+    own, library = bpe.Encoder(VOCABULARY), Tokenizer.from_file(VOCABULARY)
+    for text in [*words, *words[-3:], " ".join(words[:9] * 2), "a" * 5000]:
+        assert own.ids(text) == library.encode(text, add_special_tokens=False).ids
+    held = [x for memo in vars(own).values() if isinstance(memo, dict) for k, v in memo.items() for x in (k, *v)]
+    assert 0 < sum(map(len, held)) <= 200_000
+
+
+def test_bpe_results_in_several_batches(spark):
+    texts = [f"{c} " * n for c, n in zip("abcdefg", (150_000, 150_000, 3, 0, 300_000, 1, 2), strict=True)]
+    rows = bpe.encode(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").coalesce(1), VOCABULARY, decoded="back").collect()
+    library = Tokenizer.from_file(VOCABULARY)
+    assert [r["doc_id"] for r in rows] == list(range(7))
+    for r, t in zip(rows, texts, strict=True):
+        ids = library.encode(t, add_special_tokens=False).ids
+        assert (r["text"], r["token_ids"], r["back"]) == (t, ids, library.decode(ids, skip_special_tokens=False))
+
+
 def test_bpe_digests(spark):
     rows = bpe.digests(frame(spark, EDGES), VOCABULARY).collect()
     empty = hashlib.sha256(b"").hexdigest()

@@ -12,7 +12,9 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import sys
 import unicodedata
+from array import array
 from collections.abc import Callable, Iterator
 
 import ahocorasick
@@ -36,8 +38,15 @@ _OTHER = re.compile(f"[^\\x00-\\x7f{LATIN}]")
 #: Marks the end of a word inside the automaton; no byte symbol uses it.
 _END = "\x00"
 
-#: Entries of each of a worker's memos (words, pairs); a memo is emptied when full.
-MEMO_ENTRIES = 200_000
+#: Bytes of the words that a worker remembers, in two halves: when the newer one is full, it takes the place of the older.
+#: Words are of any length, so that a number of them would bound nothing.
+MEMO_BYTES = 32_000_000
+
+#: Pairs of tokens that a worker remembers, in two halves like its words.
+MEMO_PAIRS = 200_000
+
+#: Token ids after which a batch of results is handed on: texts are of any length, and rows of a batch many.
+BATCH_IDS = 1 << 18
 
 
 def byte_symbols() -> list[str]:
@@ -68,31 +77,28 @@ class Vocabulary:
             self.offsets.append(self.offsets[-1] + len(name))
         inner = {i: self._inner(t) for t, i in known.items()}
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        #: (left id, right id) to (rank, id of the whole)
-        self.merge: dict[tuple[int, int], tuple[int, int]] = {}
-        #: id to the pair that makes it
-        self.parts: dict[int, tuple[int, int]] = {}
-        self.rank: dict[int, int] = {}
+        #: left id << 32 | right id to the rank of their merge
+        self.merge: dict[int, int] = {}
+        #: by id: the rank of the merge that makes a token (-1: none), and the two tokens it merges
+        self.rank, self.left, self.right = (array("i", [-1]) * size for _ in range(3))
         for rank, (a, b) in enumerate(merges):
-            whole = known[a + b]
-            pair = (known[a], known[b])
-            self.merge.setdefault(pair, (rank, whole))
-            if whole not in self.parts:
-                self.parts[whole] = pair
-                self.rank[whole] = rank
+            whole, left, right = known[a + b], known[a], known[b]
+            self.merge.setdefault(left << 32 | right, rank)
+            if self.rank[whole] < 0:
+                self.rank[whole], self.left[whole], self.right[whole] = rank, left, right
         #: finds, from the end of a word on, the tokens that begin at each place
         self.automaton = ahocorasick.Automaton()
-        for i, text in inner.items():
-            if i in self.parts or self._is_symbol(text):
-                self.automaton.add_word(text[::-1], i)
+        by_text = {text: i for i, text in inner.items() if self.rank[i] >= 0 or self._is_symbol(text)}
+        for text, i in by_text.items():
+            self.automaton.add_word(text[::-1], i)
         self.automaton.make_automaton()
         #: token to the longest token that is a proper prefix of it, or -1
-        self.shorter: dict[int, int] = {}
-        by_text = {text: i for i, text in inner.items() if i in self.parts or self._is_symbol(text)}
+        self.shorter = array("i", [-1]) * size
         for text, i in by_text.items():
             self.shorter[i] = next((by_text[text[:n]] for n in range(len(text) - 1, 0, -1) if text[:n] in by_text), -1)
-        self.lengths = [len(inner.get(i, "")) for i in range(size)]
+        self.lengths = array("i", [len(inner.get(i, "")) for i in range(size)])
         self.compatible: dict[int, bool] = {}
+        self.older: dict[int, bool] = {}
         self.symbols = byte_symbols()
         pattern = f"'s|'t|'re|'ve|'m|'ll|'d|[\\p{{L}}]+|[\\p{{N}}]|[^{WHITE_SPACE}\\p{{L}}\\p{{N}}]+"
         self.words = regex.compile(pattern)
@@ -114,26 +120,29 @@ class Vocabulary:
         key = left << 32 | right
         known = self.compatible.get(key)
         if known is None:
-            if len(self.compatible) >= MEMO_ENTRIES:
-                self.compatible.clear()
-            known = self.compatible[key] = self._fits(left, right)
+            known = self.older.get(key)
+            if known is None:
+                known = self._fits(left, right)
+            if len(self.compatible) >= MEMO_PAIRS // 2:
+                self.older, self.compatible = self.compatible, {}
+            self.compatible[key] = known
         return known
 
     def _fits(self, left: int, right: int) -> bool:
         """Undo both tokens' merges from the latest on; a merge over the border that came before the one undone rules the pair out."""
         limit = float("inf")
         while True:
-            found = self.merge.get((left, right))
-            if found is not None and found[0] < limit:
+            found = self.merge.get(left << 32 | right)
+            if found is not None and found < limit:
                 return False
-            of_left, of_right = self.rank.get(left, -1), self.rank.get(right, -1)
+            of_left, of_right = self.rank[left], self.rank[right]
             if of_left < 0 and of_right < 0:
                 return True
             # the later of the two merges is undone; at equal ranks the one further left came first
             if of_left > of_right:
-                limit, left = of_left, self.parts[left][1]
+                limit, left = of_left, self.right[left]
             else:
-                limit, right = of_right + 1, self.parts[right][0]
+                limit, right = of_right + 1, self.left[right]
 
     def encode_word(self, word: str) -> list[int]:
         """Ids of one word, given in byte symbols without the end mark."""
@@ -196,13 +205,21 @@ class Encoder:
     def __init__(self, path: str) -> None:
         self.vocabulary = Vocabulary(path)
         self.memo: dict[str, tuple[str, str]] = {}
+        self.older: dict[str, tuple[str, str]] = {}
+        self.held = 0  # bytes of memo
 
     def _word(self, word: str) -> tuple[str, str]:
-        ids = self.vocabulary.encode_split(word)
-        got = (" ".join(map(str, ids)), self.vocabulary.decode(ids))
-        if len(self.memo) >= MEMO_ENTRIES:
-            self.memo.clear()
-        self.memo[word] = got
+        got = self.memo.get(word) or self.older.get(word)
+        if got is None:
+            ids = self.vocabulary.encode_split(word)
+            got = (" ".join(map(str, ids)), self.vocabulary.decode(ids))
+        # 150: the entry and its pair
+        size = sys.getsizeof(word) + sys.getsizeof(got[0]) + sys.getsizeof(got[1]) + 150
+        if size <= MEMO_BYTES // 100 and word not in self.memo:
+            if self.held + size > MEMO_BYTES // 2:
+                self.older, self.memo, self.held = self.memo, {}, 0
+            self.memo[word] = got
+            self.held += size
         return got
 
     def _parts(self, text: str) -> list[tuple[str, str]]:
@@ -244,16 +261,21 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "tok
     schema = T.StructType([*docs.select(*rest).schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType())), *([T.StructField(decoded, T.StringType())] if decoded else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Encoder(vocabulary)  # once a task: workers outlive their tasks, and this takes 0.1 GB
+        own = Encoder(vocabulary)  # once a task: workers outlive their tasks, and idle ones need none
         for batch in batches:
-            values, edges, tokens = [], [0], []
-            for value in batch.column(len(rest)).to_pylist():
-                as_text, back, n = own.text(value) if value else ("", "", 0)
+            values, edges, tokens, start = [], [0], [], 0
+            for at, value in enumerate(batch.column(len(rest)), 1):
+                as_text, back, n = own.text(value.as_py() or "")
                 values.append(np.fromstring(as_text, np.int32, sep=" ") if n else np.zeros(0, np.int32))
                 edges.append(edges[-1] + n)
-                tokens.append(back)
-            lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(np.concatenate(values) if values else np.zeros(0, np.int32)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], lists, *([pa.array(tokens, pa.string())] if decoded else [])], names=schema.fieldNames())
+                if decoded:
+                    tokens.append(back)
+                if edges[-1] >= BATCH_IDS or at == batch.num_rows:
+                    lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(np.concatenate(values)))
+                    passed = [c.slice(start, at - start) for c in batch.columns[: len(rest)]]
+                    columns = [*passed, lists, *([pa.array(tokens, pa.string())] if decoded else [])]
+                    values, edges, tokens, start = [], [0], [], at
+                    yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
 
     return source.mapInArrow(lean(run), schema)
 
@@ -272,7 +294,7 @@ def digests(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "
     """(key, n_tokens, ids_sha256, decoded_sha256) per row, from one pass that encodes and decodes each whole text.
 
     Null and empty texts have no tokens and the digests of the empty string. Repeated rows give repeated results.
-    A text is worked on as a whole, whatever its length; memory is that of one Arrow batch and the memo.
+    A text is worked on as a whole, whatever its length; memory is that of one Arrow batch, the longest text and the memo.
     """
     small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
@@ -282,8 +304,8 @@ def digests(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "
         sha = hashlib.sha256
         for batch in source:
             number, of_ids, of_text = [], [], []
-            for value in batch.column(1).to_pylist():
-                ids, tokens, n = own.text(value) if value else ("", "", 0)
+            for value in batch.column(1):
+                ids, tokens, n = own.text(value.as_py() or "")
                 number.append(n)
                 of_ids.append(sha(ids.encode()).hexdigest())
                 of_text.append(sha(tokens.encode()).hexdigest())

@@ -98,6 +98,15 @@ def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= most else df.hint("merge")
 
 
+def free_heaps(spark: SparkSession) -> None:
+    """Have the executors collect their garbage now, so that their heaps shrink to about what is in use: heaps keep the size they once grew to, while Python workers need room beside them.
+
+    One task a core, which an idle cluster deals to all executors; one that gets none keeps its heap, results are the same. A heap may grow again up to its limit.
+    """
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')")).collect()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
