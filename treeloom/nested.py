@@ -14,6 +14,7 @@ from treeloom.plans.query import XPath, select_nodes
 from treeloom.session import shared_folder
 from treeloom.sources import sinks
 from treeloom.sources.shred import documents, read_files, shred
+from treeloom.tables import merged
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -139,7 +140,7 @@ def nest_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = P.customer_nodes(spark, sf_dir)
     own = _at(nodes, "/customer")
     first, last = (f(nodes, own).select("doc_id", F.col("sval").alias(n)) for f, n in ((navigate.first_child, "first"), (navigate.last_child, "last")))
-    return first.join(last, "doc_id")
+    return first.join(merged(last), "doc_id")
 
 
 @_query("nest_texts", "SELECT doc_id, date AS value FROM p")
@@ -160,7 +161,7 @@ def nest_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = _at(nodes, "/customer")
     balance, segment = (navigate.attribute(nodes, own, n).select("doc_id", F.col("value").alias(n)) for n in ("balance", "segment"))
     b, s = F.col("balance"), F.col("segment")
-    return balance.join(segment, "doc_id").select("doc_id", typed.as_int(b).alias("as_int"), typed.as_uint(b).cast("long").alias("as_uint"), typed.as_llong(b).alias("as_llong"), typed.as_double(b).alias("as_double"), F.round(typed.as_float(b).cast("double"), 1).alias("as_float"), typed.as_string(s).alias("as_string"), typed.as_bool(s).alias("as_bool"))
+    return balance.join(merged(segment), "doc_id").select("doc_id", typed.as_int(b).alias("as_int"), typed.as_uint(b).cast("long").alias("as_uint"), typed.as_llong(b).alias("as_llong"), typed.as_double(b).alias("as_double"), F.round(typed.as_float(b).cast("double"), 1).alias("as_float"), typed.as_string(s).alias("as_string"), typed.as_bool(s).alias("as_bool"))
 
 
 # edits, queried afterwards
@@ -173,7 +174,7 @@ def _edited(name: str, change: Callable[[DataFrame], DataFrame], xpath: str, sql
 def _pairs(nodes: DataFrame, where: str, source: str) -> DataFrame:
     """(doc_id, pre, source): of each year, the two nodes of these paths."""
     of = lambda path, name: XPath(path).evaluate_nodes(nodes, _at(nodes, "//year")).select("doc_id", "context", F.col("pre").alias(name))
-    return of(where, "pre").join(of(source, "source"), ["doc_id", "context"]).drop("context")
+    return of(where, "pre").join(merged(of(source, "source")), ["doc_id", "context"]).drop("context")
 
 
 _edited("nest_set_name", lambda n: edit.set_name(n, _at(n, "//order[@status = 'P']"), "pending"), "//pending/@key", "SELECT doc_id, key AS value FROM p WHERE status = 'P'")
@@ -204,7 +205,7 @@ def nest_copy_between(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each customer gets a copy of the name in the document before."""
     nodes = P.customer_nodes(spark, sf_dir)
     names = _at(nodes, "//name").select((F.col("doc_id") + 1).alias("doc_id"), F.col("doc_id").alias("source_doc"), F.col("pre").alias("source"))
-    copied = edit.insert_copy(nodes, _at(nodes, "/customer").join(names, "doc_id"))
+    copied = edit.insert_copy(nodes, _at(nodes, "/customer").join(merged(names), "doc_id"))
     return _found(copied, "/customer[name[2]]")
 
 
@@ -278,7 +279,7 @@ def _round_trip(name: str, encoding: str, flags: int = serialize.DEFAULT, given:
         back, files = read_files(spark, f"{folder}/*.xml", encoding=given)
         names = XPath("concat(/supplier/@key, ' ', /supplier/name)").evaluate_string(back)
         found = back.where("kind = 'document'").select("doc_id", "encoding")
-        return files.join(names, "doc_id").join(found, "doc_id").select("value", "status", "encoding")
+        return files.join(merged(names), "doc_id").join(merged(found), "doc_id").select("value", "status", "encoding")
 
     _query(name, f"SELECT concat(s_suppkey, ' né ', s_name) AS value, 'ok' AS status, '{encoding}' AS encoding FROM supplier", False)(run)
 

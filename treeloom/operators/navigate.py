@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from treeloom.schema import NODE_COLUMNS
+from treeloom.tables import merged
 
 _REST = [c for c in NODE_COLUMNS if c != "doc_id"]
 _KEY = ["doc_id", "context"]
@@ -19,7 +20,7 @@ _KEY = ["doc_id", "context"]
 
 def at(nodes: DataFrame, contexts: DataFrame) -> DataFrame:
     """The context nodes themselves."""
-    return nodes.join(contexts.select("doc_id", "pre").distinct(), ["doc_id", "pre"]).withColumn("context", F.col("pre")).select(*_KEY, *_REST)
+    return nodes.join(merged(contexts.select("doc_id", "pre").distinct()), ["doc_id", "pre"]).withColumn("context", F.col("pre")).select(*_KEY, *_REST)
 
 
 def _own(nodes: DataFrame, contexts: DataFrame) -> DataFrame:
@@ -39,7 +40,7 @@ def _below(nodes: DataFrame, contexts: DataFrame, attributes: bool, name: str |
     right = nodes.where(kind if attributes else ~kind)
     right = right if name is None else right.where(F.col("name") == name)
     left = contexts.select("doc_id", F.col("pre").alias("context")).distinct().withColumn("parent", F.col("context"))
-    return left.join(right, ["doc_id", "parent"]).select(*_KEY, *_REST)
+    return left.join(merged(right), ["doc_id", "parent"]).select(*_KEY, *_REST)
 
 
 def children(nodes: DataFrame, contexts: DataFrame, name: str | None = None) -> DataFrame:
@@ -81,8 +82,8 @@ def _beside(nodes: DataFrame, contexts: DataFrame, step: int, attributes: bool,
     kind = F.col("kind") == "attribute"
     right = nodes.where(kind if attributes else ~kind)
     if name is None:
-        return own.withColumn("ord", F.col("c_ord") + step).join(right, ["doc_id", "parent", "ord"]).select(*_KEY, *_REST)
-    found = own.join(right.where(F.col("name") == name), ["doc_id", "parent"]).where(F.col("ord") > F.col("c_ord") if step > 0 else F.col("ord") < F.col("c_ord"))
+        return own.withColumn("ord", F.col("c_ord") + step).join(merged(right), ["doc_id", "parent", "ord"]).select(*_KEY, *_REST)
+    found = own.join(merged(right.where(F.col("name") == name)), ["doc_id", "parent"]).where(F.col("ord") > F.col("c_ord") if step > 0 else F.col("ord") < F.col("c_ord"))
     return _picked(found.select(*_KEY, *_REST), F.col("ord"), step < 0)
 
 
@@ -104,12 +105,12 @@ def previous_attribute(nodes: DataFrame, contexts: DataFrame) -> DataFrame:
 
 
 def parent(nodes: DataFrame, contexts: DataFrame) -> DataFrame:
-    return _own(nodes, contexts).withColumn("pre", F.col("c_parent")).join(nodes, ["doc_id", "pre"]).select(*_KEY, *_REST)
+    return _own(nodes, contexts).withColumn("pre", F.col("c_parent")).join(merged(nodes), ["doc_id", "pre"]).select(*_KEY, *_REST)
 
 
 def root(nodes: DataFrame, contexts: DataFrame) -> DataFrame:
     left = contexts.select("doc_id", F.col("pre").alias("context")).distinct()
-    return left.join(nodes.where("kind = 'document'"), "doc_id").select(*_KEY, *_REST)
+    return left.join(merged(nodes.where("kind = 'document'")), "doc_id").select(*_KEY, *_REST)
 
 
 def document_element(nodes: DataFrame) -> DataFrame:
@@ -128,16 +129,16 @@ def child_value(nodes: DataFrame, contexts: DataFrame, name: str | None = None)
     left = contexts.select("doc_id", F.col("pre").alias("context")).distinct()
     inner = left.withColumn("pre", F.col("context")) if name is None else child(nodes, contexts, name).select(*_KEY, "pre")
     found = _picked(_below(nodes, inner, False).where(F.col("kind").isin("pcdata", "cdata")), F.col("pre")).select("doc_id", F.col("context").alias("pre"), "value")
-    return left.join(inner, _KEY, "left").join(found, ["doc_id", "pre"], "left").select(*_KEY, F.coalesce("value", F.lit("")).alias("value"))
+    return left.join(merged(inner), _KEY, "left").join(merged(found), ["doc_id", "pre"], "left").select(*_KEY, F.coalesce("value", F.lit("")).alias("value"))
 
 
 def path(nodes: DataFrame, contexts: DataFrame, delimiter: str = "/") -> DataFrame:
     """(doc_id, context, path): the names from the root on, joined."""
     own = at(nodes, contexts)
-    above = own.select(*_KEY, F.explode("anc").alias("pre")).join(nodes.select("doc_id", "pre", F.col("name").alias("step")), ["doc_id", "pre"])
+    above = own.select(*_KEY, F.explode("anc").alias("pre")).join(merged(nodes.select("doc_id", "pre", F.col("name").alias("step"))), ["doc_id", "pre"])
     names = above.groupBy(*_KEY).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pre", "step"))), lambda x: x["step"]), delimiter).alias("above"))
     whole = F.when(F.size("anc") == 0, F.col("name")).otherwise(F.concat("above", F.lit(delimiter), "name"))
-    return own.join(names, _KEY, "left").select(*_KEY, whole.alias("path"))
+    return own.join(merged(names), _KEY, "left").select(*_KEY, whole.alias("path"))
 
 
 def first_element_by_path(nodes: DataFrame, contexts: DataFrame, steps: str, delimiter: str = "/") -> DataFrame:
@@ -148,12 +149,12 @@ def first_element_by_path(nodes: DataFrame, contexts: DataFrame, steps: str, del
     for step in [s for s in steps.split(delimiter) if s and s != "."]:
         if step == "..":
             above = nodes.select("doc_id", "pre", "parent").where("parent is not null")
-            start = start.join(above, ["doc_id", "pre"]).select(*_KEY, F.col("parent").alias("pre"))
+            start = start.join(merged(above), ["doc_id", "pre"]).select(*_KEY, F.col("parent").alias("pre"))
         else:
             below = nodes.where((F.col("name") == step) & (F.col("kind") != "attribute")).select("doc_id", "parent", F.col("pre").alias("next"))
-            start = start.withColumnRenamed("pre", "parent").join(below, ["doc_id", "parent"]).select(*_KEY, F.col("next").alias("pre"))
+            start = start.withColumnRenamed("pre", "parent").join(merged(below), ["doc_id", "parent"]).select(*_KEY, F.col("next").alias("pre"))
     chosen = start.groupBy(*_KEY).agg(F.min("pre").alias("pre"))
-    return chosen.join(nodes, ["doc_id", "pre"]).select(*_KEY, *_REST)
+    return chosen.join(merged(nodes), ["doc_id", "pre"]).select(*_KEY, *_REST)
 
 
 def find_attribute(nodes: DataFrame, contexts: DataFrame, wanted: Column) -> DataFrame:
@@ -167,7 +168,7 @@ def find_child(nodes: DataFrame, contexts: DataFrame, wanted: Column) -> DataFra
 
 def descendants(nodes: DataFrame, contexts: DataFrame) -> DataFrame:
     tagged = nodes.where("kind <> 'attribute'").withColumn("context", F.explode("anc"))
-    return contexts.select("doc_id", F.col("pre").alias("context")).distinct().join(tagged, _KEY).select(*_KEY, *_REST)
+    return contexts.select("doc_id", F.col("pre").alias("context")).distinct().join(merged(tagged), _KEY).select(*_KEY, *_REST)
 
 
 def find_node(nodes: DataFrame, contexts: DataFrame, wanted: Column) -> DataFrame:
@@ -177,13 +178,13 @@ def find_node(nodes: DataFrame, contexts: DataFrame, wanted: Column) -> DataFram
 def find_child_by_attribute(nodes: DataFrame, contexts: DataFrame, attribute_name: str, value: str, name: str | None = None) -> DataFrame:
     """The first child, of a name or of any, with an attribute of this name and value."""
     owners = nodes.where((F.col("kind") == "attribute") & (F.col("name") == attribute_name) & (F.col("value") == value)).select("doc_id", F.col("parent").alias("pre")).distinct()
-    return _picked(children(nodes, contexts, name).where("kind = 'element' or kind = 'declaration'").join(owners, ["doc_id", "pre"], "left_semi").select(*_KEY, *_REST), F.col("pre"))
+    return _picked(children(nodes, contexts, name).where("kind = 'element' or kind = 'declaration'").join(merged(owners), ["doc_id", "pre"], "left_semi").select(*_KEY, *_REST), F.col("pre"))
 
 
 def traverse(nodes: DataFrame, contexts: DataFrame, stop: Callable[[], Column] | None = None) -> DataFrame:
     """All descendants with depth, in document order within each context; with stop, none from the first row on for which it holds (that row is the last)."""
     own = _own(nodes, contexts).select(*_KEY, "c_level")
-    rows = descendants(nodes, contexts).join(own, _KEY).withColumn("depth", F.col("level") - F.col("c_level") - 1).drop("c_level")
+    rows = descendants(nodes, contexts).join(merged(own), _KEY).withColumn("depth", F.col("level") - F.col("c_level") - 1).drop("c_level")
     if stop is None:
         return rows
     before = Window.partitionBy(*_KEY).orderBy("pre").rowsBetween(Window.unboundedPreceding, -1)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from treeloom.tables import merged
+
 #: Format flags. Fixed values.
 INDENT, WRITE_BOM, RAW, NO_DECLARATION, NO_ESCAPES, SAVE_FILE_TEXT = 0x01, 0x02, 0x04, 0x08, 0x10, 0x20
 DEFAULT = INDENT
@@ -48,9 +50,9 @@ def pieces(nodes: DataFrame, indent: str = "\t", flags: int = DEFAULT, base: int
     given = nodes.where("kind = 'attribute'").select("doc_id", F.col("parent").alias("pre"), F.struct("ord", F.concat(F.lit(" "), _named(name), F.lit('="'), attribute(value), F.lit('"')).alias("t")).alias("a"))
     lists = given.groupBy("doc_id", "pre").agg(F.concat_ws("", F.transform(F.array_sort(F.collect_list("a")), lambda x: x["t"])).alias("attrs"))
     below = nodes.where("kind <> 'attribute'").groupBy("doc_id", F.col("parent").alias("pre")).agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("kind", "value"), F.col("pre")).alias("only"))
-    rows = nodes.where("kind not in ('attribute', 'document')").join(lists, ["doc_id", "pre"], "left").join(below, ["doc_id", "pre"], "left")
+    rows = nodes.where("kind not in ('attribute', 'document')").join(merged(lists), ["doc_id", "pre"], "left").join(merged(below), ["doc_id", "pre"], "left")
     parents = below.where("n = 1 and only.kind in ('pcdata', 'cdata')").select("doc_id", F.col("pre").alias("parent"), F.lit(True).alias("inline"))
-    rows = rows.join(parents.join(nodes.where("kind = 'element'").select("doc_id", F.col("pre").alias("parent")), ["doc_id", "parent"]), ["doc_id", "parent"], "left")
+    rows = rows.join(merged(parents.join(merged(nodes.where("kind = 'element'").select("doc_id", F.col("pre").alias("parent"))), ["doc_id", "parent"])), ["doc_id", "parent"], "left")
     rows = rows.where("inline is null")  # the only text of an element goes into its parent's stretch
     attrs = F.coalesce("attrs", F.lit(""))
     inner = F.when(F.col("only.kind") == "cdata", cdata(F.col("only.value"))).otherwise(content(F.col("only.value")))
@@ -76,22 +78,22 @@ def _joined(found: DataFrame) -> DataFrame:
 
 def save(nodes: DataFrame, indent: str = "\t", flags: int = DEFAULT) -> DataFrame:
     """(doc_id, xml) of whole documents; a declaration is put first unless there is one or the flags say no."""
-    texts = nodes.where("kind = 'document'").select("doc_id").join(_joined(pieces(nodes, indent, flags)), "doc_id", "left")
+    texts = nodes.where("kind = 'document'").select("doc_id").join(merged(_joined(pieces(nodes, indent, flags))), "doc_id", "left")
     first = nodes.where("level = 1 and kind = 'element'").groupBy("doc_id").agg(F.min("pre").alias("f"))
     declared = nodes.where("level = 1 and kind = 'declaration'").groupBy("doc_id").agg(F.min("pre").alias("d"))
     line = '<?xml version="1.0"?>' + ("" if flags & RAW else "\n")
     has = F.col("d").isNotNull() & (F.col("f").isNull() | (F.col("d") < F.col("f")))
     head = F.lit("") if flags & NO_DECLARATION else F.when(has, "").otherwise(line)
     mark = "﻿" if flags & WRITE_BOM else ""
-    rows = texts.join(first, "doc_id", "left").join(declared, "doc_id", "left")
+    rows = texts.join(merged(first), "doc_id", "left").join(merged(declared), "doc_id", "left")
     return rows.select("doc_id", F.concat(F.lit(mark), head, F.coalesce("xml", F.lit(""))).alias("xml"))
 
 
 def printed(nodes: DataFrame, contexts: DataFrame, indent: str = "\t", flags: int = DEFAULT, depth: int = 0) -> DataFrame:
     """(doc_id, context, xml) of the subtrees of contexts, without a declaration."""
-    own = contexts.select("doc_id", F.col("pre").alias("context")).distinct().join(nodes.select("doc_id", F.col("pre").alias("context"), F.col("level").alias("top"), F.col("kind").alias("of")), ["doc_id", "context"])
+    own = contexts.select("doc_id", F.col("pre").alias("context")).distinct().join(merged(nodes.select("doc_id", F.col("pre").alias("context"), F.col("level").alias("top"), F.col("kind").alias("of"))), ["doc_id", "context"])
     tagged = nodes.withColumn("context", F.explode(F.concat("anc", F.array("pre"))))
-    inside = own.join(tagged, ["doc_id", "context"])
+    inside = own.join(merged(tagged), ["doc_id", "context"])
     # a subtree is written as a document of its own, with its root at the level of document elements
     low = F.when(F.col("of") == "document", F.lit(0)).otherwise(F.col("top") - 1 - depth)
     whole = inside.withColumns({"doc": F.struct("doc_id", "context"), "level": F.col("level") - low}).withColumn("parent", F.when(F.col("pre") == F.col("context"), F.lit(-1)).otherwise(F.col("parent")))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from treeloom.functions import numbers as N
 from treeloom.functions import strings as S
 from treeloom.plans import grammar as G
+from treeloom.tables import merged
 
 #: What a relation carries of its nodes; what isn't used is pruned from the plan.
 NODE = ["kind", "name", "value", "sval", "parent", "size", "level", "ord", "nsib", "anc", "dup"]
@@ -45,7 +46,7 @@ class Scope:
     def attach(self, values: DataFrame, default: Column | None) -> Column:
         """The column v of values (d, it, v), or default where there is none."""
         name = f"v{next(self.names)}"
-        self.df = self.df.join(values.withColumnRenamed("v", name), ["d", "it"], "left")
+        self.df = self.df.join(merged(values.withColumnRenamed("v", name)), ["d", "it"], "left")
         return F.coalesce(F.col(name), default) if default is not None else F.col(name)
 
     def exists(self, rows: DataFrame) -> Column:
@@ -88,7 +89,7 @@ class Lift:
         if contexts is None:
             rows = self.all.where("kind = 'document'").withColumn("it", F.array(F.lit(0)))
         else:
-            rows = self.all.join(contexts.select(F.col("doc_id").alias("d"), "pre").distinct(), ["d", "pre"]).withColumn("it", F.array("pre"))
+            rows = self.all.join(merged(contexts.select(F.col("doc_id").alias("d"), "pre").distinct()), ["d", "pre"]).withColumn("it", F.array("pre"))
         return Scope(rows.withColumns({"pos": F.lit(1.0), "last": F.lit(1.0)}), contexts is None)
 
     def _context(self, scope: Scope) -> Relation:
@@ -122,7 +123,7 @@ class Lift:
             return Relation(self._once(left.df.unionByName(right.df)))
         if isinstance(tree, G.Variable):
             given = self.variables[tree.name].select(F.col("doc_id").alias("d"), "pre").distinct()
-            return Relation(scope.df.select("d", "it").join(given, "d").join(self.all, ["d", "pre"]).select("d", "it", "pre", *NODE))
+            return Relation(scope.df.select("d", "it").join(merged(given), "d").join(merged(self.all), ["d", "pre"]).select("d", "it", "pre", *NODE))
         if isinstance(tree, G.Call) and tree.name == "id":  # there are no declarations of identifiers
             return self._empty()
         raise TypeError(tree)
@@ -130,7 +131,7 @@ class Lift:
     def _root(self, scope: Scope) -> Relation:
         if scope.roots:
             return self._context(scope)
-        return Relation(scope.df.select("d", "it").join(self.all.where("kind = 'document'"), "d").select("d", "it", "pre", *NODE), True)
+        return Relation(scope.df.select("d", "it").join(merged(self.all.where("kind = 'document'")), "d").select("d", "it", "pre", *NODE), True)
 
     @staticmethod
     def _once(df: DataFrame) -> DataFrame:
@@ -171,26 +172,26 @@ class Lift:
         left = rel.df.select("d", "it", F.col("pre").alias("cpre"), F.col("kind").alias("x_kind"), F.col("parent").alias("x_parent"), F.col("size").alias("x_size"), F.col("ord").alias("x_ord"), F.col("anc").alias("x_anc"))
         right = self.all.where(fits if axis in ("attribute", "ancestor-or-self", "descendant-or-self") else fits & (F.col("kind") != "attribute"))
         if axis in ("child", "attribute"):
-            found = left.withColumn("parent", F.col("cpre")).join(right, ["d", "parent"])
+            found = left.withColumn("parent", F.col("cpre")).join(merged(right), ["d", "parent"])
         elif axis == "parent":
-            found = left.withColumn("pre", F.col("x_parent")).join(right, ["d", "pre"])
+            found = left.withColumn("pre", F.col("x_parent")).join(merged(right), ["d", "pre"])
         elif axis in ("ancestor", "ancestor-or-self"):
             above = F.col("x_anc") if axis == "ancestor" else F.concat("x_anc", F.array("cpre"))
-            found = left.withColumn("pre", F.explode(above)).join(right, ["d", "pre"])
+            found = left.withColumn("pre", F.explode(above)).join(merged(right), ["d", "pre"])
         elif axis in ("descendant", "descendant-or-self"):
             if axis == "descendant":
                 tagged = right.withColumn("cpre", F.explode("anc"))
             else:  # attributes are found from themselves only
                 tagged = right.withColumn("cpre", F.explode(F.when(F.col("kind") == "attribute", F.array("pre")).otherwise(F.concat("anc", F.array("pre")))))
-            found = left.join(tagged, ["d", "cpre"])
+            found = left.join(merged(tagged), ["d", "cpre"])
         elif axis in ("following-sibling", "preceding-sibling"):
             later = F.col("ord") > F.col("x_ord") if axis == "following-sibling" else F.col("ord") < F.col("x_ord")
-            found = left.where("x_kind <> 'attribute'").withColumn("parent", F.col("x_parent")).join(right, ["d", "parent"]).where(later)
+            found = left.where("x_kind <> 'attribute'").withColumn("parent", F.col("x_parent")).join(merged(right), ["d", "parent"]).where(later)
         elif axis == "following":
-            found = left.join(right, "d").where(F.col("pre") > F.col("cpre") + F.col("x_size"))
+            found = left.join(merged(right), "d").where(F.col("pre") > F.col("cpre") + F.col("x_size"))
         else:
             begin = F.when(F.col("x_kind") == "attribute", F.col("x_parent")).otherwise(F.col("cpre"))
-            found = left.join(right, "d").where(F.col("pre") + F.col("size") < begin)
+            found = left.join(merged(right), "d").where(F.col("pre") + F.col("size") < begin)
         return found.select(*out)
 
     def _sideways(self, rel: Relation, axis: str, test: G.Test) -> DataFrame:
@@ -201,14 +202,14 @@ class Lift:
         if axis.endswith("-sibling"):
             edge = F.min("ord") if axis == "following-sibling" else F.max("ord")
             left = rows.groupBy("d", "it", "parent").agg(edge.alias("edge"))
-            found = left.join(right, ["d", "parent"]).where(F.col("ord") > F.col("edge") if axis == "following-sibling" else F.col("ord") < F.col("edge"))
+            found = left.join(merged(right), ["d", "parent"]).where(F.col("ord") > F.col("edge") if axis == "following-sibling" else F.col("ord") < F.col("edge"))
         elif axis == "following":
             left = rows.groupBy("d", "it").agg(F.min(F.col("pre") + F.col("size")).alias("edge"))
-            found = left.join(right, "d").where(F.col("pre") > F.col("edge"))
+            found = left.join(merged(right), "d").where(F.col("pre") > F.col("edge"))
         else:
             begin = F.when(F.col("kind") == "attribute", F.col("parent")).otherwise(F.col("pre"))
             left = rows.groupBy("d", "it").agg(F.max(begin).alias("edge"))
-            found = left.join(right, "d").where(F.col("pre") + F.col("size") < F.col("edge"))
+            found = left.join(merged(right), "d").where(F.col("pre") + F.col("size") < F.col("edge"))
         return found.withColumn("cpre", F.lit(-1)).select("d", "it", "cpre", "pre", *NODE)
 
     def _nth_sibling(self, rel: Relation, axis: str, test: G.Test, n: int) -> DataFrame:
@@ -218,7 +219,7 @@ class Lift:
         rows = rows.withColumn("upto", F.sum("fit").over(order))
         left = rel.df.where("kind <> 'attribute'").select("d", "it", F.col("pre").alias("cpre"))
         places = rows.select("d", F.col("pre").alias("cpre"), "parent", (F.col("upto") + n if axis == "following-sibling" else F.col("upto") - F.col("fit") - (n - 1)).alias("upto"))
-        return left.join(places, ["d", "cpre"]).join(rows.where("fit = 1"), ["d", "parent", "upto"]).select("d", "it", "cpre", "pre", *NODE)
+        return left.join(merged(places), ["d", "cpre"]).join(merged(rows.where("fit = 1")), ["d", "parent", "upto"]).select("d", "it", "cpre", "pre", *NODE)
 
     def _predicate(self, df: DataFrame, tree: object, reverse: bool) -> DataFrame:
         """The rows (d, it, cpre, pre, NODE) for which the predicate holds; positions are within (d, it, cpre)."""
@@ -251,7 +252,7 @@ class Lift:
             return self.keep(tree.right, scope, wanted)
         rows = self.nodes(tree, scope).df if tree.type == G.NODES else self._matching(tree, scope)
         if rows is not None:
-            scope.df = scope.df.join(rows.select("d", "it"), ["d", "it"], "left_semi" if wanted else "left_anti")
+            scope.df = scope.df.join(merged(rows.select("d", "it")), ["d", "it"], "left_semi" if wanted else "left_anti")
             return None
         value = self.boolean(tree, scope)
         scope.df = scope.df.where(value if wanted else ~value)
@@ -270,7 +271,7 @@ class Lift:
             if op != "=":
                 return None
             other = self.nodes(right, scope).df.select("d", "it", "sval")
-            return self.nodes(left, scope).df.select("d", "it", "sval").join(other, ["d", "it", "sval"], "left_semi")
+            return self.nodes(left, scope).df.select("d", "it", "sval").join(merged(other), ["d", "it", "sval"], "left_semi")
         constant = self._constant(right)
         if constant is None or (isinstance(constant, bool) and op in ("=", "!=")):
             return None
@@ -365,7 +366,7 @@ class Lift:
         wanted = F.when(F.instr("name", ":") > 0, F.concat(F.lit("xmlns:"), S.prefix(F.col("name")))).when(F.col("kind") == "attribute", F.lit(None)).otherwise("xmlns")
         owners = first.where(F.col("kind").isin("element", "attribute")).withColumn("name", wanted).withColumn("parent", F.explode(F.concat("anc", F.array("pre")))).select("d", "it", "name", "parent")
         declared = self.all.where((F.col("kind") == "attribute") & _hidden(F.col("name")) & ~F.col("dup")).select("d", "parent", "name", F.col("value").alias("uri"))
-        return scope.attach(owners.join(declared, ["d", "parent", "name"]).groupBy("d", "it").agg(F.max_by("uri", "parent").alias("v")), F.lit(""))
+        return scope.attach(owners.join(merged(declared), ["d", "parent", "name"]).groupBy("d", "it").agg(F.max_by("uri", "parent").alias("v")), F.lit(""))
 
     def boolean(self, tree: object, scope: Scope) -> Column:
         if tree.type == G.NODES:
@@ -396,7 +397,7 @@ class Lift:
     def _lang(self, wanted: Column, scope: Scope) -> Column:
         owners = scope.df.where("kind <> 'attribute'").withColumn("parent", F.explode(F.concat("anc", F.array("pre")))).select("d", "it", "parent")
         given = self.all.where("kind = 'attribute' and name = 'xml:lang' and not dup").select("d", "parent", F.col("value").alias("language"))
-        own = S.lower_ascii(scope.attach(owners.join(given, ["d", "parent"]).groupBy("d", "it").agg(F.max_by("language", "parent").alias("v")), None))
+        own = S.lower_ascii(scope.attach(owners.join(merged(given), ["d", "parent"]).groupBy("d", "it").agg(F.max_by("language", "parent").alias("v")), None))
         wanted = S.lower_ascii(wanted)
         return F.coalesce((own == wanted) | F.startswith(own, F.concat(wanted, F.lit("-"))), F.lit(False))
 
