@@ -118,3 +118,18 @@ def test_numbering_across_batches(length):
     loose = pa.Table.from_pylist([dict(zip(columns.ARROW.names, r, strict=True)) for r in wanted], columns.ARROW)
     loose = loose.select(["doc_id", "level", "kind", "name", "value", "offset", "status", "error_offset", "encoding"])
     assert [tuple(r.values()) for b in columns.numbered(iter(loose.to_batches(length))) for r in b.to_pylist()] == wanted
+
+
+def test_orders_are_made_by_one_move(spark):
+    """An order without items, items without an order, values that are null, and all in few batches."""
+    orders = spark.createDataFrame([(k, "O", 1.5) for k in range(40)] + [(40, None, 2.0)], "o_orderkey long, o_orderstatus string, o_totalprice double")
+    of = spark.createDataFrame([(k, n, k) for k in (*range(1, 40), 41) for n in (2, 1)] + [(3, 3, None)], "l_orderkey long, l_linenumber long, l_partkey long")
+    rest = {"l_suppkey": 5, "l_quantity": 1.0, "l_extendedprice": 2.0, "l_discount": 0.0, "l_tax": 0.0, "l_returnflag": "N", "l_linestatus": "O"}
+    items = of.withColumns({k: F.lit(v) for k, v in rest.items()} | {"l_shipdate": F.lit("1996-03-13").cast("date")})
+    made = P.orders_xml(orders, items)
+    assert plan(made).count("Exchange") == 1
+    item = lambda k, n: f'<item part="{k}" supp="5" line="{n}" qty="1.00" price="2.00" disc="0.00" flag="N" ship="1996-03-13"/>'
+    wanted = {k: f'<order key="{k}" status="O" total="1.50">{item(k, 1) + item(k, 2) if k else ""}</order>' for k in range(40)} | {40: None}
+    assert {r["doc_id"]: r["xml"] for r in made.collect()} == wanted and made.count() == 41
+    places = made.select(F.spark_partition_id().alias("p"), F.pmod(F.hash("doc_id"), F.lit(tables.partitions(spark))).alias("bucket"))
+    assert places.where("p <> bucket").isEmpty()
