@@ -83,6 +83,17 @@ def test_bpe_memo_is_bounded_by_bytes(monkeypatch):
     assert 0 < sum(map(len, held)) <= 200_000
 
 
+def test_bpe_memo_holds_many_words(monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO_BYTES", 200_000)
+    own, made = bpe.Encoder(VOCABULARY), []
+    encoded = own.vocabulary.encode_split
+    monkeypatch.setattr(own.vocabulary, "encode_split", lambda word: made.append(word) or encoded(word))
+    text = " ".join(a + b + c for a in "bcdfghjk" for b in ("a", "ei", "ou", "u", "ie", "io", "oa") for c in "lmnprstv")
+    first = own.text(text)
+    assert own.text(text) == first and len(made) == 448
+    assert first[1] == own.vocabulary.decode(own.ids(text)) and first[2] == len(own.ids(text))
+
+
 def test_bpe_results_in_several_batches(spark):
     texts = [f"{c} " * n for c, n in zip("abcdefg", (150_000, 150_000, 3, 0, 300_000, 1, 2), strict=True)]
     rows = bpe.encode(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").coalesce(1), VOCABULARY, decoded="back").collect()

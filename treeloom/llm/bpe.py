@@ -75,6 +75,9 @@ class Vocabulary:
         self.offsets = [0]
         for name in names:
             self.offsets.append(self.offsets[-1] + len(name))
+        #: ids as text, and the tokens by them
+        self.written = [str(i) for i in range(size)]
+        self.tokens = {text: self.token(i) for i, text in enumerate(self.written)}
         inner = {i: self._inner(t) for t, i in known.items()}
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         #: left id << 32 | right id to the rank of their merge
@@ -148,25 +151,30 @@ class Vocabulary:
         """Ids of one word, given in byte symbols without the end mark."""
         text = word + _END if self.suffix else word
         n = len(text)
-        lengths, shorter = self.lengths, self.shorter
+        lengths, shorter, compatible = self.lengths, self.shorter, self.compatible
         dead = bytearray(n + 1)
         path: list[int] = []
         starts: list[int] = []
         at = 0
         longest = self._longest(text)
-        token = longest[0] if n else -1
+        last = n - 1
+        token = longest.get(last, -1)
         while at < n:
             while token >= 0:
                 end = at + lengths[token]
-                if not dead[end] and (not path or self.fits(path[-1], token)):
-                    break
+                if not dead[end]:
+                    if not path:
+                        break
+                    known = compatible.get(path[-1] << 32 | token)
+                    if self.fits(path[-1], token) if known is None else known:
+                        break
                 token = shorter[token]
             if token >= 0:
                 path.append(token)
                 starts.append(at)
                 at = end
                 if at < n:
-                    token = longest[at]
+                    token = longest.get(last - at, -1)
             else:
                 dead[at] = 1
                 if not path:
@@ -175,13 +183,11 @@ class Vocabulary:
                 token = shorter[path.pop()]
         return path
 
-    def _longest(self, text: str) -> list[int]:
-        """The longest token that begins at each place, or -1, by one scan of the reversed text."""
-        found, lengths, last = [-1] * len(text), self.lengths, len(text) - 1
-        for end, i in self.automaton.iter(text[::-1]):
-            if found[last - end] < 0 or lengths[i] > lengths[found[last - end]]:
-                found[last - end] = i
-        return found
+    def _longest(self, text: str) -> dict[int, int]:
+        """The longest token that begins at each place, by the place counted from the end, by one scan of the reversed text."""
+        found = list(self.automaton.iter(text[::-1]))
+        found.reverse()  # of the tokens that begin at a place the scan tells the longest first
+        return dict(found)
 
     def split(self, text: str) -> list[str]:
         """The words of a text without special tokens."""
@@ -200,29 +206,32 @@ class Vocabulary:
 
 
 class Encoder:
-    """Vocabulary with a memo from words to (ids as text, tokens as text)."""
+    """Vocabulary with a memo from words to their ids as text: tokens are looked up from the ids, so that many words fit."""
 
     def __init__(self, path: str) -> None:
         self.vocabulary = Vocabulary(path)
-        self.memo: dict[str, tuple[str, str]] = {}
-        self.older: dict[str, tuple[str, str]] = {}
+        self.memo: dict[str, str] = {}
+        self.older: dict[str, str] = {}
         self.held = 0  # bytes of memo
 
-    def _word(self, word: str) -> tuple[str, str]:
-        got = self.memo.get(word) or self.older.get(word)
+    def _word(self, word: str) -> str:
+        got = self.memo.get(word)
+        if got is not None:
+            return got
+        got = self.older.get(word)
         if got is None:
-            ids = self.vocabulary.encode_split(word)
-            got = (" ".join(map(str, ids)), self.vocabulary.decode(ids))
-        # 150: the entry and its pair
-        size = sys.getsizeof(word) + sys.getsizeof(got[0]) + sys.getsizeof(got[1]) + 150
-        if size <= MEMO_BYTES // 100 and word not in self.memo:
+            written = self.vocabulary.written
+            got = " ".join([written[i] for i in self.vocabulary.encode_split(word)])
+        # 100: the entry
+        size = sys.getsizeof(word) + sys.getsizeof(got) + 100
+        if size <= MEMO_BYTES // 100:
             if self.held + size > MEMO_BYTES // 2:
                 self.older, self.memo, self.held = self.memo, {}, 0
             self.memo[word] = got
             self.held += size
         return got
 
-    def _parts(self, text: str) -> list[tuple[str, str]]:
+    def _parts(self, text: str) -> list[str]:
         get, word = self.memo.get, self._word
         return [get(w) or word(w) for w in self.vocabulary.split(text)]
 
@@ -235,13 +244,14 @@ class Encoder:
             parts, at = [], 0
             for m in own.specials.finditer(text):
                 parts += self._parts(text[at : m.start()])
-                parts.append((str(own.special[m[0]]), m[0]))
+                parts.append(str(own.special[m[0]]))
                 at = m.end()
             parts += self._parts(text[at:])
         if not parts:
             return "", "", 0
-        ids = " ".join([p[0] for p in parts])
-        return ids, " ".join([p[1] for p in parts]), ids.count(" ") + 1
+        joined = " ".join(parts)
+        ids = joined.split(" ")
+        return joined, " ".join(map(own.tokens.__getitem__, ids)), len(ids)
 
     def ids(self, text: str) -> list[int]:
         joined = self.text(text)[0]
